@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.llm import packing, simhash, sstable
 from panelforge.llm.automaton import dedup_words
 from panelforge.llm.suffix_array import dedup_bytes
 from panelforge.session import ship
 
 
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = BYTE_BPE) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,10 +29,32 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.store(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+    return sstable.checksums(sstable.read(manifest))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op10_suffix_automaton)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array,
+        op2_sstable,
+        op5_simhash,
+        op6_packing,
+        op10_suffix_automaton,
+    )
+}
 ORACLE: dict[str, str] = {}
