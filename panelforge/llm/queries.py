@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelforge.llm import packing, simhash, sstable
+from panelforge.llm import decontaminate, langid, packing, simhash, sstable, warc
 from panelforge.llm.automaton import dedup_words
 from panelforge.llm.suffix_array import dedup_bytes
 from panelforge.session import ship
@@ -34,6 +35,14 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.checksums(sstable.read(manifest))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.read_chunks(warc.store(table(spark, sf_dir, "pages"))))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def held_out(doc_id: str) -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs.where(~held_out("doc_id"))))
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -52,8 +71,11 @@ QUERIES = {
     for f in (
         op1_suffix_array,
         op2_sstable,
+        op3_decontamination,
+        op4_warc,
         op5_simhash,
         op6_packing,
+        op9_language,
         op10_suffix_automaton,
     )
 }
