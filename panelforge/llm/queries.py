@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, langid, packing, simhash, sstable, warc
+from panelforge.llm import decontaminate, langid, packing, quotes, simhash, sstable, subspace, warc
 from panelforge.llm.automaton import dedup_words
 from panelforge.llm.suffix_array import dedup_bytes
 from panelforge.session import ship
@@ -51,6 +51,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "reply_to", "root_turn", "depth", "n_quotes", F.sha2("own_text", 256).alias("own_sha256"))
+
+
+def op8_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -75,6 +84,8 @@ QUERIES = {
         op4_warc,
         op5_simhash,
         op6_packing,
+        op7_quotations,
+        op8_subspace,
         op9_language,
         op10_suffix_automaton,
     )
