@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from panelforge.llm import windows
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -32,66 +32,79 @@ def first_keys(text: np.ndarray) -> np.ndarray:
     return key
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, rank) of a byte array: groups of equal prefixes are refined at twice the depth until each holds one suffix."""
     n = len(text)
-    key = first_keys(text)
-    sa = np.argsort(key, kind="stable")
-    sorted_key = key[sa]
-    head = np.append(True, sorted_key[1:] != sorted_key[:-1])[:n]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
+    key = first_keys(text) if key is None else key
+    sa = np.argsort(key)
+    in_order = key[sa]
+    head = np.ones(n, bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=head[1:])
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank[sa] = group
-    depth = 7
+    rank = np.zeros(n + 1, np.int64)  # of a group's first place, from 1; 0 is the end of the text
+    rank[sa] = group + 1
+    slots, depth = np.arange(n), 7
     while True:
-        single = head & np.append(head[1:], True)[:n]
-        slots = np.flatnonzero(~single)
+        lone = head[slots] & np.append(head[slots[1:]] | (slots[1:] != slots[:-1] + 1), True)[: len(slots)]
+        slots = slots[~lone]
         if not len(slots):
-            return sa, rank[:n]
+            return sa, rank[:n] - 1
         sub = sa[slots]
-        order = np.lexsort((rank[np.minimum(sub + depth, n)], group[slots]))
-        sub = sub[order]
+        wide = group[slots] * (n + 1) + rank[np.minimum(sub + depth, n)]
+        order = np.argsort(wide)
+        sub, wide = sub[order], wide[order]
         sa[slots] = sub
-        own, deeper = group[slots], rank[np.minimum(sub + depth, n)]
-        split = np.append(True, (own[1:] != own[:-1]) | (deeper[1:] != deeper[:-1]))
+        split = np.ones(len(slots), bool)
+        np.not_equal(wide[1:], wide[:-1], out=split[1:])
         head[slots] = split
         group[slots] = np.maximum.accumulate(np.where(split, slots, 0))
-        rank[sub] = group[slots]
+        rank[sub] = group[slots] + 1
         depth *= 2
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
+def kasai(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray, limit: int, key: np.ndarray | None = None) -> np.ndarray:
     """Common prefix of each suffix with the one before it in the array, at most `limit`.
 
     Kasai's walk keeps the last length less one from place to place; here it walks all pieces of the text (given by their
-    starts) in lockstep, so that each step is one vector operation.
+    starts) in lockstep, so that each step is one vector operation. Seven bytes are compared at a time.
     """
     n = len(text)
+    key = first_keys(text) if key is None else key
     lcp = np.zeros(n, np.int64)
     stops = np.append(starts[1:], n)
     order = np.argsort(starts - stops, kind="stable")  # longest piece first: the active ones stay a prefix
     starts, lengths = starts[order], (stops - starts)[order]
-    padded = np.zeros(n + limit + 1, np.int64)
-    padded[:n] = text
-    padded[:n] += 1
+    padded = np.full(n + limit + 7, -1, np.int64)
+    padded[:n] = key
+    before = np.full(n, n)
+    before[sa[1:]] = sa[:-1]
     h = np.zeros(len(starts), np.int64)
     for t in range(int(lengths[0]) if len(lengths) else 0):
         live = int(np.searchsorted(-lengths, -t, "left"))
         i = starts[:live] + t
-        r = rank[i]
-        has = r > 0
-        j = np.where(has, sa[np.maximum(r - 1, 0)], n)
-        run = np.where(has, np.maximum(h[:live] - 1, 0), 0)
-        at = np.flatnonzero(has & (run < limit))
+        j = before[i]
+        run = np.maximum(h[:live] - 1, 0)
+        run[j == n] = 0
+        at = np.flatnonzero((j < n) & (run < limit))
+        x, y = i[at] + run[at], j[at] + run[at]
         while len(at):
-            a = padded[i[at] + run[at]]
-            more = (a == padded[np.minimum(j[at] + run[at], n + limit)]) & (a > 0)
-            at = at[more]
-            run[at] += 1
-            at = at[run[at] < limit]
+            differ = padded[x] ^ padded[y]
+            ends = np.maximum(x, y) + 7 > n
+            same = (differ == 0) & ~ends
+            step = np.full(len(at), 7)
+            part = ~same
+            if part.any():
+                d = differ[part]
+                high = d >> 27  # in two parts, each exact as a float
+                bits = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 27, np.frexp(d.astype(np.float64))[1])
+                equal = 7 - -(-bits // 9)
+                step[part] = np.minimum(equal, n - np.maximum(x, y)[part])
+            run[at] += step
+            go = same & (run[at] < limit)
+            at, x, y = at[go], x[go] + 7, y[go] + 7
+        np.minimum(run, limit, out=run)
         h[:live] = run
-        lcp[r] = run
+        lcp[rank[i]] = run
     return lcp
 
 
@@ -102,8 +115,9 @@ class Block:
         size = np.array([len(c) for c in contents], np.int64)
         starts = np.cumsum(size) - size
         text = np.frombuffer(b"".join(contents), np.uint8)
-        sa, rank = suffix_array(text)
-        lcp = kasai(text, sa, rank, starts, W)
+        key = first_keys(text)
+        sa, rank = suffix_array(text, key)
+        lcp = kasai(text, sa, rank, starts, W, key)
         group = np.cumsum(lcp < W) - 1
         windows_of = size - W + 1
         owner = np.repeat(np.arange(len(contents)), windows_of)
