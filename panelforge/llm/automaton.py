@@ -12,6 +12,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelforge.llm import windows
 
@@ -95,6 +96,10 @@ class SuffixAutomaton:
 class RepeatedWords(windows.Plan):
     """Flags each word under a W-word window that starts anywhere else."""
 
+    def __init__(self, *args, texts: bool = False, **more):
+        super().__init__(*args, **more)
+        self.texts = texts
+
     def weights(self, ids, places):
         return np.array([min(2, len(p)) for p in places], np.int64)
 
@@ -148,7 +153,7 @@ class RepeatedWords(windows.Plan):
                 d, a, _ = where[0]
                 spans[d].extend((a + x, a + y - 1 + W) for x, y in said[i])
         out = []
-        for doc_id, text, mine in zip(ids, texts, spans, strict=True):
+        for doc_id, text, mine, extra in zip(ids, texts, spans, self.extras, strict=True):
             words = text.split()
             kept, at, removed = [], 0, []
             for a, b in sorted(mine):
@@ -162,10 +167,25 @@ class RepeatedWords(windows.Plan):
                     at = b
             kept += words[at:]
             body = b" ".join(kept)
-            out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), removed))
+            row = (doc_id, len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), removed)
+            out.append((*row, self.cut(text, removed).decode(), extra.decode()) if self.texts else row)
         cols = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string()]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text", "extra"]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names[: len(cols)])
+
+    @staticmethod
+    def cut(text: bytes, removed: list[int]) -> bytes:
+        """The text without the words of the removed runs, each up to the next word; what is kept stays as it is."""
+        if not removed:
+            return text
+        start, _ = windows.WordUnits.bounds(np.frombuffer(text, np.uint8))
+        start = np.append(start, len(text)).tolist()
+        parts, at = [], 0
+        for a, b in zip(removed[0::2], removed[1::2], strict=True):
+            parts.append(text[at : start[a]])
+            at = start[b]
+        return b"".join([*parts, text[at:]])
 
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35) -> DataFrame:
@@ -178,3 +198,17 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<long>"
     return windows.run(docs, RepeatedWords, id_col, text_col, length, max(2, length // 4), schema, words=True)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35) -> DataFrame:
+    """The rows with all their columns, repeated passages cut out of the text; a text that loses nothing stays as it is.
+
+    The other columns travel with the text, so nothing is joined. A null text becomes empty.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    kinds = docs.select(*others).schema
+    extra = F.to_json(F.struct(*others), {"ignoreNullFields": "false"})
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<long>, kept_text string, extra string"
+    out = windows.run(docs, RepeatedWords, id_col, text_col, length, max(2, length // 4), schema, extra=extra, words=True, texts=True)
+    back = out.select(F.from_json("extra", kinds).alias("x"), "kept_text")
+    return back.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("x").getField(c).alias(c) for c in docs.columns))

@@ -4,6 +4,8 @@ A window is ``W`` consecutive units (bytes or words) of one document. Every wind
 inside it (leftmost on ties) as its anchor, so equal windows pick equal anchors at equal places. Consecutive windows with
 one anchor form a segment. The data flow, all of it by hash partitioning:
 
+Documents are dealt to shards by a hash of their id, in compressed blobs. Then:
+
 1. each scan task sends the anchor hashes of its documents, one entry a shard of documents, to the bin of the hash;
 2. a bin returns to each shard the hashes that more than one place holds;
 3. a shard of documents collapses equal candidate segments and sends one of each to the bin of its anchor;
@@ -18,7 +20,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.session import partitions, plan_bytes, ship
@@ -28,7 +31,7 @@ BLOCK = 1 << 19  # units hashed at once; positions within a block fit the low bi
 POS_BITS = U64(20)
 POS_MASK = U64((1 << 20) - 1)
 PRIME = 0x9E3779B97F4A7C15 | 1
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -125,8 +128,8 @@ class WordUnits:
         return edge[0::2], edge[1::2]
 
     @classmethod
-    def hash_words(cls, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hash of each word, by prefix sums over blocks of bytes."""
+    def hash_words(cls, raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE_HASH) -> np.ndarray:
+        """64-bit hash of each word (which may be empty), by prefix sums over blocks of bytes."""
         out = np.empty(len(start), np.uint64)
         i = 0
         while i < len(start):
@@ -135,7 +138,7 @@ class WordUnits:
             b = end[j - 1]
             p, q = powers(int(b - a) + 1)
             total = np.zeros(int(b - a) + 1, np.uint64)
-            np.cumsum(BYTE_HASH[raw[a:b]] * p[: b - a], dtype=np.uint64, out=total[1:])
+            np.cumsum(table[raw[a:b]] * p[: b - a], dtype=np.uint64, out=total[1:])
             s, e = start[i:j] - a, end[i:j] - a
             out[i:j] = mix((total[e] - total[s]) * q[s] + (e - s).astype(np.uint64))
             i = j
@@ -202,6 +205,16 @@ def unpack48(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(*columns) -> bytes:
+    """64-bit columns, bytes of one rank together: high bytes that are all zero cost nothing once compressed."""
+    return b"".join(np.asarray(c).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
+
+def from_planes(blob: bytes, at: int, n: int, columns: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8, 8 * n * columns, at).reshape(columns, 8, n).transpose(0, 2, 1)
+    return np.ascontiguousarray(raw).view("<i8")[:, :, 0]
+
+
 def bin_of(h48: np.ndarray, bins: int) -> np.ndarray:
     return (h48 % U64(bins)).astype(np.int64)
 
@@ -221,6 +234,46 @@ class Plan:
     def __init__(self, W: int, k: int, words: bool, shards: int, bins: int):
         self.W, self.k, self.words, self.shards, self.bins = W, k, words, shards, bins
 
+    # -- 0 --------------------------------------------------------------------------------------------------------
+    def pack(self, batches):
+        """Documents dealt to shards in compressed blobs."""
+        held: dict[int, list] = {}
+        size = 0
+
+        def out():
+            blobs = []
+            for rows in held.values():
+                ids = np.array([r[0] or 0 for r in rows], "<i8").tobytes()
+                none = np.array([r[0] is None for r in rows]).tobytes()
+                sizes = np.array([len(x) for r in rows for x in r[1:]], "<u4").tobytes()
+                blobs.append(zstandard.ZstdCompressor(level=3).compress(b"".join([len(rows).to_bytes(4, "little"), ids, none, sizes, *[x for r in rows for x in r[1:]]])))
+            batch = pa.record_batch([pa.array(held, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
+            held.clear()
+            return batch
+
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            extras = utf8(batch.column("extra"))
+            for doc_id, text, extra, shard in zip(batch.column("id").to_pylist(), texts, extras, batch.column("shard").to_pylist(), strict=True):
+                held.setdefault(shard, []).append((doc_id, text or b"", extra or b""))
+                size += len(text or b"")
+            if size >= 24 << 20:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    @staticmethod
+    def unpack(blob: bytes):
+        blob = zstandard.decompress(blob)
+        n = int.from_bytes(blob[:4], "little")
+        ids = np.frombuffer(blob, "<i8", n, 4).tolist()
+        none = np.frombuffer(blob, bool, n, 4 + 8 * n)
+        size = np.frombuffer(blob, "<u4", 2 * n, 4 + 9 * n)
+        stop = np.cumsum(size) + 4 + 17 * n
+        parts = [blob[e - s : e] for e, s in zip(stop.tolist(), size.tolist(), strict=True)]
+        return [None if x else i for i, x in zip(ids, none, strict=True)], parts[0::2], parts[1::2]
+
     # -- 1 --------------------------------------------------------------------------------------------------------
     def announce(self, batches):
         """Anchor hashes of a scan task, unique by (hash, shard), in one blob a bin and flush."""
@@ -231,20 +284,22 @@ class Plan:
             h = np.concatenate([x[0] for x in held])
             shard = np.concatenate([x[1] for x in held])
             doc = np.concatenate([x[2] for x in held])
-            order = np.lexsort((doc, shard, h))
+            order = np.argsort(h)
+            h, shard, doc = h[order], shard[order], doc[order]
+            tie = np.append(True, h[1:] != h[:-1])
+            order = np.argsort(np.cumsum(tie) * self.shards + shard)
             h, shard, doc = h[order], shard[order], doc[order]
-            same = (h[1:] == h[:-1]) & (shard[1:] == shard[:-1])
-            first = np.flatnonzero(np.append(True, ~same))
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])))
             count = np.diff(np.append(first, len(h)))
-            last = first + count - 1
-            several = count > 1 if self.words else doc[first] != doc[last]
+            several = count > 1 if self.words else np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
             h, shard = h[first], shard[first]
             b = bin_of(h, self.bins)
             order = np.argsort(b, kind="stable")
             cuts = np.flatnonzero(np.diff(b[order])) + 1
             for part in np.split(order, cuts):
                 n = len(part).to_bytes(4, "little")
-                yield int(b[part[0]]), n + pack48(h[part]) + (shard[part].astype("<u4") * 2 + several[part]).astype("<u4").tobytes()
+                where = (shard[part] * 2 + several[part]).astype("<i8")
+                yield int(b[part[0]]), zstandard.ZstdCompressor(level=1).compress(n + planes(np.diff(h[part], prepend=U64(0)), where))
 
         def out(rows):
             bins, payloads = zip(*rows, strict=True)
@@ -269,9 +324,10 @@ class Plan:
         """A bin's sorted runs, merged; returns to each shard the hashes that more than one place holds."""
         hs, ss = [], []
         for blob in table.column("payload").to_pylist():
-            n = int.from_bytes(blob[:4], "little")
-            hs.append(unpack48(blob[4 : 4 + 6 * n]))
-            ss.append(np.frombuffer(blob[4 + 6 * n :], "<u4"))
+            blob = zstandard.decompress(blob)
+            gaps, where = from_planes(blob, 4, int.from_bytes(blob[:4], "little"), 2)
+            hs.append(np.cumsum(gaps.view(np.uint64), dtype=np.uint64))
+            ss.append(where)
         h, s = np.concatenate(hs), np.concatenate(ss)
         order = np.argsort(h, kind="stable")
         h, s = h[order], s[order]
@@ -317,9 +373,12 @@ class Plan:
         return contents, anchors, places
 
     def load(self, docs: pa.Table, replies: pa.Table):
-        ids, texts = docs.column("id").to_pylist(), utf8(docs.column("text").combine_chunks())
+        ids, texts, self.extras = [], [], []
+        for blob in docs.column("payload").to_pylist():
+            for column, part in zip((ids, texts, self.extras), self.unpack(blob), strict=True):
+                column += part
         order = order_of(ids, texts)
-        ids, texts = [ids[i] for i in order], [texts[i] or b"" for i in order]
+        ids, texts, self.extras = ([column[i] for i in order] for column in (ids, texts, self.extras))
         kinds, blobs = replies.column("kind").to_pylist(), replies.column("payload").to_pylist()
         hashes = [unpack48(b) for k, b in zip(kinds, blobs, strict=True) if k == 0]
         wanted = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
@@ -338,11 +397,9 @@ class Plan:
         order = np.argsort(b, kind="stable")
         rows = []
         for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
-            index = part.astype("<u4").tobytes()
-            size = np.array([len(contents[i]) for i in part], "<u4").tobytes()
-            weight = self.weights(ids, [places[i] for i in part]).astype("<i8").tobytes()
-            body = b"".join([contents[i] for i in part])
-            rows.append((int(b[part[0]]), shard, len(part).to_bytes(4, "little") + index + size + weight + pack48(h[part]) + body))
+            columns = [np.diff(part, prepend=0), [len(contents[i]) for i in part], self.weights(ids, [places[i] for i in part]), h[part] & U64(0xFFFFFFFF)]
+            blob = b"".join([len(part).to_bytes(4, "little"), planes(*columns), *[contents[i] for i in part]])
+            rows.append((int(b[part[0]]), shard, zstandard.ZstdCompressor(level=1).compress(blob)))
         bins, shards, payloads = zip(*rows, strict=True)
         return pa.table([pa.array(bins, pa.int32()), pa.array(shards, pa.int32()), pa.array(payloads, pa.binary())], schema=schema)
 
@@ -350,14 +407,12 @@ class Plan:
     def received(table: pa.Table):
         """Yields (shard, index, contents, weights, anchors) of each blob of a bin."""
         for shard, blob in zip(table.column("shard").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            blob = zstandard.decompress(blob)
             n = int.from_bytes(blob[:4], "little")
-            at = 4
-            index = np.frombuffer(blob, "<u4", n, at)
-            size = np.frombuffer(blob, "<u4", n, at + 4 * n)
-            weight = np.frombuffer(blob, "<i8", n, at + 8 * n)
-            anchors = unpack48(blob[at + 16 * n : at + 22 * n])
-            stop = np.cumsum(size) + at + 22 * n
-            yield shard, index, [blob[e - s : e] for e, s in zip(stop.tolist(), size.tolist(), strict=True)], weight, anchors
+            index, size, weight, anchors = from_planes(blob, 4, n, 4)
+            index, body = np.cumsum(index), 4 + 32 * n
+            stop = np.cumsum(size) + body
+            yield shard, index, [blob[e - s : e] for e, s in zip(stop.tolist(), size.tolist(), strict=True)], weight, anchors.view(np.uint64)
 
     # -- to be given by operators -----------------------------------------------------------------------------------
     def weights(self, ids, places) -> np.ndarray:
@@ -378,16 +433,17 @@ def answers(rows: list[tuple[int, bytes]], kind: int) -> pa.Table:
     )
 
 
-def run(docs: DataFrame, plan_type, id_col: str, text_col: str, W: int, k: int, result: str, **more) -> DataFrame:
-    """The five steps as one lazy plan; `result` is the schema that plan_type.finish returns."""
+def run(docs: DataFrame, plan_type, id_col: str, text_col: str, W: int, k: int, result: str, extra: Column | None = None, **more) -> DataFrame:
+    """The five steps as one lazy plan; `result` is the schema that plan_type.finish returns. `extra`: a string to carry along."""
     spark = ship(docs.sparkSession)
     size = plan_bytes(docs) or 0
-    shards = max(4 * partitions(spark), size // SHARD_BYTES)
-    plan = plan_type(W, k, shards=shards, bins=shards, **more)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    shards = max(2 * partitions(spark), size // SHARD_BYTES)
+    plan = plan_type(W, k, shards=shards, bins=partitions(spark), **more)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit("") if extra is None else extra).alias("extra"))
     source = source.withColumn("shard", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(shards)).cast("int"))
     replies = "shard int, kind int, payload binary"
-    met = source.mapInArrow(plan.announce, "bin int, payload binary").groupBy("bin").applyInArrow(lambda t: plan.meet(t), replies)
-    sent = source.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(lambda d, r: plan.send(d, r), "bin int, shard int, payload binary")
+    met = source.drop("extra").mapInArrow(plan.announce, "bin int, payload binary").groupBy("bin").applyInArrow(lambda t: plan.meet(t), replies)
+    packed = source.mapInArrow(plan.pack, "shard int, payload binary")
+    sent = packed.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(lambda d, r: plan.send(d, r), "bin int, shard int, payload binary")
     told = met.unionByName(sent.groupBy("bin").applyInArrow(lambda t: plan.decide(t), replies))
-    return source.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lambda d, r: plan.finish(d, r), result)
+    return packed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lambda d, r: plan.finish(d, r), result)
