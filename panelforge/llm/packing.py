@@ -29,11 +29,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int | None,
 
     def cut(batches):
         code = tokens.encoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], code.type).tobytes()
+        end = np.array([] if end_id is None else [end_id], "<u4")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(code.encode(text) + end, code.type).astype("<u4")
+            coded = code.encode(batch.column("text").to_pylist())
+            for doc_id, ids in zip(batch.column("id").to_pylist(), coded, strict=True):
+                ids = np.concatenate([ids.astype("<u4"), end])
                 head = len(ids) % capacity or min(len(ids), capacity)
                 edges = [0, *range(head, len(ids) + 1, capacity)] if len(ids) else [0]
                 for number, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

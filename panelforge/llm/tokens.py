@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct piece of a text encoded once a worker."""
+"""Token ids of whole texts by the tokenizers library, each distinct piece of a text encoded once while it is remembered."""
 
 from __future__ import annotations
 
@@ -7,18 +7,24 @@ import re
 
 import numpy as np
 
-#: A space next to white space or a control character, or a special token: no piece ends there with certainty.
-UNSURE = re.compile(r"^ | $| [\s\x00-\x20\x7f-\xa0᠎​﻿]|[\s\x00-\x20\x7f-\xa0᠎​﻿] ")
-CACHE_PIECES = 300_000
-LONGEST_PIECE = 64
+from panelforge.llm.windows import BYTE_HASH, WordUnits, mix
+
+#: Ends of a piece at which the library might not start anew: white space, control and format characters.
+UNSURE = re.compile(r"[\s\x00-\x20\x7f-\xa0\u180e\u200b\ufeff]")
+CHECK_HASH = mix(BYTE_HASH)
+CACHE_PIECES = 2_000_000
+LEARN_AT_ONCE = 20_000
+LONGEST_PIECE = 200
+GROUP_BYTES = 2 << 20
 
 
 class Encoder:
-    """encode(text) gives the little-endian bytes of the ids, as Tokenizer.encode(text, add_special_tokens=False) does.
+    """encode(texts) gives arrays of ids, as Tokenizer.encode(text, add_special_tokens=False) does.
 
-    The pre-tokenizer of byte-level BPE starts a new piece at a space between two characters that are not white space, so a text
-    is cut there and the ids of known pieces are looked up. A text with any other space, or with a special token, goes
-    to the library whole. The cache is emptied when full, so memory is bounded.
+    The pre-tokenizer of byte-level BPE starts a new piece at a space between two characters that are not white space, so texts
+    are cut there. Pieces are told apart by two 64-bit hashes and looked up in a sorted table; new ones are encoded together and
+    told apart by the space that their first token starts with. A text with any other space, a special token or a very
+    long piece goes to the library whole. Of more than CACHE_PIECES pieces the later half is dropped, so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -26,34 +32,113 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
         self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-        self.pieces: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if UNSURE.search(text) or (self.special and self.special.search(text)):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        known = self.pieces
-        try:
-            return self.whole(first) + b"".join([known[p] for p in rest])
-        except KeyError:
-            pass
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        new = [p for p in dict.fromkeys(rest) if p not in known]
-        ids = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        found = {p: np.array(x.ids, self.type).tobytes() for p, x in zip(new, ids, strict=True)}
-        out = b"".join([found[p] if p in found else known[p] for p in rest])
-        known.update((p, x) for p, x in found.items() if len(p) <= LONGEST_PIECE)
-        return self.whole(first) + out
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = np.zeros(size, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.cuts = bool(self.spaced.any()) and not any(" " in s for s in self.special)
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # of known pieces, sorted by key
+        self.number = np.zeros(0, np.int32)  # their places in the table of ids
+        self.flat, self.stop = np.zeros(0, self.type), np.zeros(1, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
+
+    def sure(self, piece: str) -> bool:
+        return bool(piece) and len(piece) <= LONGEST_PIECE and not UNSURE.search(piece[0] + piece[-1]) and not any(s in piece for s in self.special)
+
+    def learn(self, key: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> None:
+        """Adds new pieces; those that can't be cut out are not added."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        good = [i for i, t in enumerate(texts) if self.sure(t)]
+        if len(self.number) + len(good) > CACHE_PIECES:
+            n = CACHE_PIECES // 2
+            old = self.number < n
+            self.key, self.check, self.number = self.key[old], self.check[old], self.number[old]
+            self.stop = self.stop[: n + 1]
+            self.flat = self.flat[: self.stop[-1]]
+        parts, stops = [self.flat], [self.stop]
+        for a in range(0, len(good), LEARN_AT_ONCE):
+            new = [texts[i] for i in good[a : a + LEARN_AT_ONCE]]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, self.type)
+            stop = np.append(np.flatnonzero(self.spaced[ids])[1:], len(ids))
+            if len(stop) != len(new):
+                own = [self.whole(" " + p) for p in new]
+                ids, stop = np.concatenate(own), np.cumsum([len(p) for p in own])
+            parts.append(ids)
+            stops.append(stops[-1][-1] + stop)
+        first = len(self.stop) - 1
+        self.flat, self.stop = np.concatenate(parts), np.concatenate(stops)
+        key = np.concatenate([self.key, key[good]])
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        self.check = np.concatenate([self.check, check[good]])[order]
+        self.number = np.concatenate([self.number, np.arange(first, first + len(good), dtype=np.int32)])[order]
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Numbers of pieces, -1 where unknown; key ascends."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), self.number[at], -1)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        if not self.cuts:
+            return [self.whole(t or "") for t in texts]
+        out, a, size = [], 0, 0
+        for i, data in enumerate(raw, 1):
+            size += len(data)
+            if size >= GROUP_BYTES or i == len(raw):
+                out += self.group(texts[a:i], raw[a:i])
+                a, size = i, 0
+        return out
+
+    def group(self, texts: list[str | None], raw: list[bytes]) -> list[np.ndarray]:
+        data = b" ".join(raw)
+        codes = np.frombuffer(data, np.uint8)
+        space = np.flatnonzero(codes == 32)
+        begin, end = np.append(0, space + 1), np.append(space, len(codes))
+        origin = np.cumsum([0, *(len(r) + 1 for r in raw)])  # where each text starts
+        first = np.searchsorted(begin, origin[:-1])
+        after = np.append(first[1:], len(begin))
+        key, check = WordUnits.hash_words(codes, begin, end), WordUnits.hash_words(codes, begin, end, CHECK_HASH)
+        order = np.argsort(key)
+        lead = np.append(True, key[order[1:]] != key[order[:-1]])
+        distinct = order[lead]
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(lead) - 1
+        number = self.find(key[distinct], check[distinct])
+        new = distinct[number < 0]
+        self.learn(key[new], check[new], [data[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+        number = self.find(key[distinct], check[distinct])[group]
+        number[check != check[distinct][group]] = -1
+        unknown = number < 0
+        unknown[first] = False
+        unknown[first] |= begin[first] == end[first]
+        bad = np.append(0, np.cumsum(unknown))
+        number[unknown] = 0
+        number[first] = 0
+        if not len(self.flat):
+            return [self.whole(t or "") for t in texts]
+        size = self.stop[number + 1] - self.stop[number]
+        size[unknown] = 0
+        size[first] = 0
+        stop = np.cumsum(size)
+        ids = self.flat[np.arange(stop[-1]) + np.repeat(self.stop[number] - (stop - size), size)]
+        total = np.append(0, stop)
+        out = []
+        for text, a, b in zip(texts, first.tolist(), after.tolist(), strict=True):
+            lead_text = data[begin[a] : end[a]].decode("utf-8", "replace")
+            if not text:
+                out.append(np.zeros(0, self.type))
+            elif b - a == 1 or bad[b] > bad[a] or not self.sure(lead_text):
+                out.append(self.whole(text))
+            else:
+                out.append(np.concatenate([self.whole(lead_text), ids[total[a] : total[b]]]))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
