@@ -32,7 +32,7 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.store(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
-    return sstable.checksums(sstable.read(manifest))
+    return sstable.checksums(manifest)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

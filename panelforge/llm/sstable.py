@@ -2,7 +2,7 @@
 
 A shard file holds documents in ascending key order:
 
-* data blocks of about BLOCK bytes, each zlib-compressed: entries of (shared prefix with the key before, rest of the key, number
+* data blocks of about BLOCK bytes, each zstd-compressed: entries of (shared prefix with the key before, rest of the key, number
   of ids, ids), the first entry of a block with its whole key;
 * the block index: first key, offset, size and first token position of each block;
 * a Bloom filter over the keys;
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ class Writer:
     def flush(self) -> None:
         if self.block_key is None:
             return
-        data = zlib.compress(bytes(self.block), 1)
+        data = zstandard.ZstdCompressor(level=1).compress(bytes(self.block))
         self.out.write(data)
         self.index.append((self.block_key, self.at, len(data), self.block_first))
         self.at += len(data)
@@ -139,7 +140,7 @@ class Reader:
     def block(self, i: int) -> Iterator[tuple[bytes, bytes, int]]:
         """Entries of a block: (key, ids, position of the first id in the shard)."""
         at, size, first = self.places[i]
-        data, j, key = zlib.decompress(self.file.read_at(size, at)), 0, b""
+        data, j, key = zstandard.decompress(self.file.read_at(size, at)), 0, b""
         while j < len(data):
             shared, j = read_varint(data, j)
             rest, j = read_varint(data, j)
@@ -180,10 +181,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
     def shard(batches):
         writer, path, number = None, None, 0
         code = tokens.encoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], code.type).tobytes()
+        end = np.array([] if end_id is None else [end_id], code.type)
         held: list[tuple[bytes, bytes]] = []
         for batch in batches:
-            for doc_id, text, number in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "shard")), strict=True):
+            coded = code.encode(batch.column("text").to_pylist())
+            for doc_id, ids, number in zip(batch.column("id").to_pylist(), coded, batch.column("shard").to_pylist(), strict=True):
                 if writer is None:
                     path = files.fresh(folder, ".sst")
                     writer = Writer(path, code.type.itemsize)
@@ -192,7 +194,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
                     for entry in sorted(held):
                         writer.add(*entry)
                     held = []
-                held.append((key, code.encode(text) + end))
+                held.append((key, np.concatenate([ids, end]).tobytes()))
         if writer is not None:
             for entry in sorted(held):
                 writer.add(*entry)
@@ -209,19 +211,27 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
     return spark.read.schema(schema).parquet(path)
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """All documents of all shards: doc_id, start (ids of all documents before it), n_tokens, ids (bytes) and width."""
+def crc32(ids: bytes, width: int) -> int:
+    """Unsigned, of the ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
+
+
+def scan(manifest: DataFrame, column: str, kind: pa.DataType, sql: str, of) -> DataFrame:
+    """All documents of all shards: doc_id, start (ids of all documents before it), n_tokens and `column`, of(ids, width)."""
     spark = ship(manifest.sparkSession)
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard: small at any size of the corpus
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
 
+    def pack(rows):
+        types = [pa.int64(), pa.int64(), pa.int64(), kind]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "start", "n_tokens", column])
+
     def entries(batches):
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                rows, size = [], 0
-                shard = Reader(path)
+                rows, size, shard = [], 0, Reader(path)
                 for key, ids, first in shard:
-                    rows.append((id_of(key), base + first, len(ids) // shard.width, ids, shard.width))
+                    rows.append((id_of(key), base + first, len(ids) // shard.width, of(ids, shard.width)))
                     size += len(ids)
                     if size > 4 << 20:
                         yield pack(rows)
@@ -229,25 +239,18 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    def pack(rows):
-        cols = zip(*rows, strict=True)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "n_tokens", "ids", "width"])
-
     placed = based.repartition(4 * partitions(spark))
-    return placed.mapInArrow(entries, "doc_id long, start long, n_tokens long, ids binary, width int")
+    return placed.mapInArrow(entries, f"doc_id long, start long, n_tokens long, {column} {sql}")
 
 
-def checksums(entries: DataFrame) -> DataFrame:
-    """Adds ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit integers) and drops the ids."""
+def read(manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids of all documents."""
+    return scan(manifest, "ids", pa.list_(pa.int64()), "array<long>", lambda ids, width: np.frombuffer(ids, f"<u{width}"))
 
-    def crc(batches):
-        for batch in batches:
-            ids, width = batch.column("ids").to_pylist(), batch.column("width").to_pylist()
-            sums = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(ids, width, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return entries.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def checksums(manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of all documents."""
+    return scan(manifest, "ids_crc32", pa.int64(), "long", crc32)
 
 
 def store(docs: DataFrame, vocabulary: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
