@@ -191,6 +191,17 @@ class Index:
                     a = max(reached, end_ - n - 2 * k)
 
 
+def parts_of(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str):
+    """The benchmark as broadcast parts of at most PART_ITEMS items, once its size is known to be within BENCHMARK_BYTES."""
+    spark = ship(docs.sparkSession)
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    if size > BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes; at most {BENCHMARK_BYTES} are broadcast")
+    parsed = [(r["item"], words_of(r["text"])) for r in items.orderBy("item", "text").toLocalIterator()]
+    return spark.sparkContext.broadcast([parsed[a : a + PART_ITEMS] for a in range(0, len(parsed), PART_ITEMS)])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """Matches of benchmark items in whole texts: doc_id, item_id, first_word, words and distance.
 
@@ -199,13 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     null items match nothing. Rows with one id, or with none, are documents of their own, and of items with one id each
     reports its own matches. Extra columns are ignored. Empty tables give an empty result.
     """
-    spark = ship(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    if size > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {BENCHMARK_BYTES} are broadcast")
-    parsed = [(r["item"], words_of(r["text"])) for r in items.orderBy("item", "text").toLocalIterator()]
-    shared = spark.sparkContext.broadcast([parsed[a : a + PART_ITEMS] for a in range(0, len(parsed), PART_ITEMS)])
+    shared = parts_of(docs, benchmark, item_col, item_text)
 
     def find(batches):
         parts = [Index(p, similarity, rounds) for p in shared.value]
@@ -221,3 +226,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(find, MATCH)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """The rows in which contaminated() finds no item, with all their columns."""
+    shared = parts_of(docs, benchmark, item_col, item_text)
+
+    def keep(batches):
+        parts = [Index(p, similarity, rounds) for p in shared.value]
+        for batch in batches:
+            texts = [words_of(t) for t in batch.column(text_col).to_pylist()]
+            ok = np.ones(len(texts), bool)
+            for a, b in blocks([len(t) for t in texts]):
+                for index in parts:
+                    ok[[a + d for d, *_ in index.matches(texts[a:b])]] = False
+            yield batch.filter(pa.array(ok))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -1,8 +1,9 @@
 """Language identification by compression with zstandard raw-content dictionaries, one per language.
 
 Fitting takes a bounded sample: SAMPLE_DOCS labelled documents a language, those with the smallest hash of their id, an equal
-share of DICTIONARY_BYTES from the head of each (SAMPLE_CHARS at most), lower-cased. Every text is lower-cased too and compressed whole, in chunks, once a dictionary; the smallest size
-names the language. The score is the margin over the next language, as a share of that language's size.
+share of DICTIONARY_BYTES from the head of each (SAMPLE_CHARS at most), lower-cased. Every text is lower-cased too and
+compressed whole, in chunks, once a dictionary; the smallest size names the language. The score is the margin over the next
+language, as a share of that language's size.
 """
 
 from __future__ import annotations
@@ -102,3 +103,17 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=["id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(classify, "id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows that identify() does not reject, with all their columns."""
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(dictionaries)
+
+    def keep(batches):
+        model = Classifier(shared.value)
+        for batch in batches:
+            found = [model.predict(t) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array([n != UNKNOWN and s >= margin for n, s in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
