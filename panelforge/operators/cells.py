@@ -51,8 +51,11 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     n = F.greatest(F.size(ring) - 1, F.lit(0))
     parts = F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("sx"), (a["y"] + b["y"]).alias("sy")))
     twice = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v["c"])
-    out = [F.aggregate(parts, F.lit(0.0), lambda s, v, a=a: s + v[a] * v["c"]) / F.nullif(3 * twice, F.lit(0.0)) for a in ("sx", "sy")]
-    return out[0], out[1]
+
+    def center(axis: str) -> Column:
+        return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v[axis] * v["c"]) / F.nullif(3 * twice, F.lit(0.0))
+
+    return center("sx"), center("sy")
 
 
 def complete_scenes(bands: DataFrame, scene: str, band: str, required: Sequence[str]) -> DataFrame:

@@ -37,11 +37,10 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, q: np.ndarray, alpha: float) -> float:
-    """Weighted ridge with an unpenalised intercept, evaluated at q."""
-    w = w / w.sum()
-    mx, my = w @ x, w @ y
+    """Weighted ridge with an unpenalised intercept, evaluated at q; the weights count as they are."""
+    mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
     xc, yc = x - mx, y - my
-    beta = np.linalg.solve((xc * w[:, None]).T @ xc * len(y) + alpha * np.eye(x.shape[1]), (xc * w[:, None]).T @ yc * len(y))
+    beta = np.linalg.solve((xc * w[:, None]).T @ xc + alpha * np.eye(x.shape[1]), (xc * w[:, None]).T @ yc)
     return float(my + (q - mx) @ beta)
 
 
@@ -50,12 +49,7 @@ def local_ridge(x: np.ndarray, y: np.ndarray, d: np.ndarray, q: np.ndarray, alph
     ok = np.isfinite(d) & np.isfinite(y)
     if ok.sum() < 3:
         return float(y[ok].mean()) if ok.any() else float("nan")
-    w = 1.0 / (d[ok] + 1e-6) ** power
-    w = w / w.mean()
-    xm, ym = np.average(x[ok], axis=0, weights=w), np.average(y[ok], weights=w)
-    xc, yc = x[ok] - xm, y[ok] - ym
-    beta = np.linalg.solve((xc * w[:, None]).T @ xc + alpha * np.eye(x.shape[1]), (xc * w[:, None]).T @ yc)
-    return float(ym + (q - xm) @ beta)
+    return ridge(x[ok], y[ok], 1.0 / (d[ok] + 1e-6) ** power, q, alpha)
 
 
 def mixed_ridge(x, y, d, q, alpha: float = 30.0, power: float = 1.0) -> float:

@@ -42,7 +42,7 @@ def coverage(df: DataFrame, key: str, sensor: str, date: str, cloud: str, variab
     """n_records, n_dates, mean and median cloud, and the mean share of variables that a row has."""
     share = total([F.col(v).isNotNull().cast("double") for v in variables]) / len(variables)
     aggregates = {
-        "n_records": F.count("*"),
+        "n_records": F.count(F.lit(1)),
         "n_dates": F.count_distinct(F.to_date(date)),
         "cloud_mean": F.avg(cloud),
         "cloud_median": F.median(cloud),
@@ -91,7 +91,7 @@ def total_variation(df: DataFrame, column: str, group: str, a, b) -> DataFrame:
 
 def presence(df: DataFrame, key: str, by: str, values: Sequence) -> DataFrame:
     """Whether an entity has a row for each value."""
-    out = df.groupBy(key).pivot(by, list(values)).agg(F.count("*"))
+    out = df.groupBy(key).pivot(by, list(values)).agg(F.count(F.lit(1)))
     return out.select(key, *((F.coalesce(F.col(f"`{v}`"), F.lit(0)) > 0).cast("int").alias(f"has_{n}") for v, n in names_of(values).items()))
 
 

@@ -15,6 +15,13 @@ def grid(spark, start: str, end: str, step_days: int = 14) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr(f"interval {step_days} days"))).alias("grid_date"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which null keys meet."""
+    named = right.withColumnsRenamed({k: f"{k}_r_" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_r_")) for k in keys]
+    return left.join(named, on, "left").drop(*(f"{k}_r_" for k in keys))
+
+
 def coverage_gaps(df: DataFrame, keys: Sequence[str], date: str, cloud: str, months: bool = True) -> DataFrame:
     """Records, distinct dates, first, last, span, median and largest gap, cloud mean and median, records by month.
 
@@ -35,13 +42,13 @@ def coverage_gaps(df: DataFrame, keys: Sequence[str], date: str, cloud: str, mon
         F.when(F.sum("nc_") > 0, F.sum("sc_") / F.sum("nc_")).alias("cloud_mean"),
     )
     middle = rows.groupBy(*keys).agg(F.median("c_").alias("cloud_median"))
-    out = out.join(middle, [out[k].eqNullSafe(middle[k]) for k in keys], "left").drop(*(middle[k] for k in keys))
+    out = join_null_safe(out, middle, keys)
     if months:
         tagged = rows.withColumn("m_", F.date_format("d_", "yyyy_MM"))
-        wide = tagged.groupBy(*keys).pivot("m_", levels(tagged, "m_")).agg(F.count("*"))
+        wide = tagged.groupBy(*keys).pivot("m_", levels(tagged, "m_")).agg(F.count(F.lit(1)))
         names = [c for c in wide.columns if c not in keys]
         wide = wide.select(*keys, *(F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in names))
-        out = out.join(wide, [out[k].eqNullSafe(wide[k]) for k in keys], "left").drop(*(wide[k] for k in keys))
+        out = join_null_safe(out, wide, keys)
     return out
 
 
@@ -155,7 +162,7 @@ def irregular(df: DataFrame, keys: Sequence[str], date: str, value: str, weight:
         "median": q[3], "min": F.array_min(y), "max": F.array_max(y), "range": F.array_max(y) - F.array_min(y),
         "q05": q[0], "q10": q[1], "q25": q[2], "q75": q[4], "q90": q[5], "q95": q[6], "iqr": q[4] - q[2],
         "rms": F.sqrt(mean(y, lambda v: v * v)), "cv": sd / (F.abs(m) + F.lit(1e-6)), "initial": y[0], "final": y[n - 1], "final_minus_initial": y[n - 1] - y[0],
-        "day_of_peak": top_position(p), "day_of_minimum": F.filter(p, lambda e: e["y"] == F.array_min(y))[0]["x"],
+        "day_of_peak": top_position(p), "day_of_minimum": F.get(F.filter(p, lambda e: e["y"] == F.array_min(y)), F.lit(0))["x"],
         "fraction_above_median": mean(y, lambda v: (v > q[3]).cast("double")), "fraction_below_q25": mean(y, lambda v: (v < q[2]).cast("double")),
         "skewness": F.when((n > 2) & (sd > 1e-12), mean(y, lambda v: F.pow((v - m) / sd, F.lit(3)))),
         "excess_kurtosis": F.when((n > 2) & (sd > 1e-12), mean(y, lambda v: F.pow((v - m) / sd, F.lit(4))) - 3),

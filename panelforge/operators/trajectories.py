@@ -30,6 +30,10 @@ def mean(values: Column, of: Callable[[Column], Column] = lambda v: v) -> Column
     return F.when(F.size(values) > 0, added(values, of) / F.size(values))
 
 
+def value_at(p: Points, x: float) -> Column:
+    return F.get(F.filter(p, lambda q: q["x"] == x), F.lit(0))["y"]
+
+
 def ys(p: Points) -> Column:
     return F.transform(p, lambda q: q["y"])
 
@@ -51,7 +55,7 @@ def area_of(p: Points) -> Column:
 
 def top_position(p: Points) -> Column:
     """The first position of the largest value."""
-    return F.filter(p, lambda q: q["y"] == F.array_max(ys(p)))[0]["x"]
+    return F.get(F.filter(p, lambda q: q["y"] == F.array_max(ys(p))), F.lit(0))["x"]
 
 
 def std_of(values: Column) -> Column:
@@ -76,7 +80,7 @@ def average_rank(values: Column, v: Column) -> Column:
 
 def phenology(p: Points, months: Sequence[int]) -> dict[str, Column]:
     """auc, season_mean, amplitude, peak_month, early and late means, June to August, green-up and senescence slopes."""
-    at = {m: F.filter(p, lambda q, m=m: q["x"] == m)[0]["y"] for m in (6, 8) if m in months}
+    at = {m: value_at(p, m) for m in (6, 8) if m in months}
     return {
         "auc": area_of(p),
         "season_mean": mean(ys(p)),
@@ -114,7 +118,7 @@ def shape(p: Points) -> dict[str, Column]:
         "lag1_autocorr": F.when(many, correlation(neighbours)),
         "linear_trend_r2": F.when(two & (syy > 0), sxy * sxy / (sxx * syy)),
         "turning_fraction": F.when(many, F.coalesce(mean(turns), F.lit(0.0))),
-        "peak_sharpness": F.when(two, ordered[0] - ordered[1]),
+        "peak_sharpness": F.when(two, F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))),
         "center_of_mass_month": F.when(two & (span > 0), added(weights, lambda q: q["x"] * q["w"]) / mass),
         "shape_entropy": F.when(two & (span > 0), entropy / F.ln(F.size(p))),
     }
@@ -163,7 +167,7 @@ def anomaly(current: Points, history: Points, shared: Column, months: Sequence[i
         "season_mean_delta": mean(gap),
         "season_mean_ratio": ratio(mean(ys(current)), mean(ys(history)), eps),
         "auc_delta": area_of(current) - area_of(history),
-        "august_delta": F.transform(F.filter(shared, lambda q: q["x"] == 8), lambda q: q["a"] - q["b"])[0],
+        "august_delta": F.get(F.transform(F.filter(shared, lambda q: q["x"] == 8), lambda q: q["a"] - q["b"]), F.lit(0)),
         "late_season_delta": mean(F.transform(F.filter(shared, lambda q: q["x"].isin([float(m) for m in late])), lambda q: q["a"] - q["b"])),
         "peak_month_shift": top_position(current) - top_position(history),
     }

@@ -58,11 +58,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    narrow: a table of few short columns, put in a sixteenth of the shuffle's partitions so that files don't get tiny.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(max(1, partitions(spark) // 16)) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +73,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back: workers live on after a task and share their executor's limit."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan, or None where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
