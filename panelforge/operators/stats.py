@@ -74,7 +74,7 @@ def adjust_pvalues(df: DataFrame, p: str, method: str, name: str = "p_adjusted",
     m = F.count(p).over(part)
     rank = F.row_number().over(order)
     if method == "bonferroni":
-        rows = rows.withColumn(name, F.least(F.lit(1.0), F.col(p) * m))
+        rows = rows.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m)))
     elif method == "holm":
         rows = rows.withColumn("s_", F.col(p) * (m - rank + 1))
         run = F.max("s_").over(order.rowsBetween(Window.unboundedPreceding, 0))

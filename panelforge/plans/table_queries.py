@@ -205,7 +205,7 @@ def pvalues(spark, d):
     return table(spark, d, "part").select(k.alias("id"), F.col("p_size").alias("g"), F.when(k % 9 != 0, ((k * 7919) % 997 + 0.5) / 20000.0).alias("p"))
 
 
-@query("l: id, d: p bonf", f"WITH {PV} SELECT id, p, least(1.0, p * count(p) OVER (PARTITION BY g)) AS bonf FROM pv")
+@query("l: id, d: p bonf", f"WITH {PV} SELECT id, p, CASE WHEN p IS NOT NULL THEN least(1.0, p * count(p) OVER (PARTITION BY g)) END AS bonf FROM pv")
 def p_adjust_bonferroni(spark, d):
     return stats.adjust_pvalues(pvalues(spark, d), "p", "bonferroni", "bonf", ["g"])
 
