@@ -124,7 +124,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     rows = materialize(source.mapInArrow(raw, "id long, key binary"), "vectors")
-    distinct = materialize(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "distinct")
+    distinct = materialize(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "distinct", narrow=True)
     by_dim = {r["d"]: r["n"] for r in distinct.groupBy((F.octet_length("key") / kind.itemsize).cast("int").alias("d")).agg(F.count("*").alias("n")).collect()}
     splits = {}
     for dim, n in by_dim.items():
@@ -157,7 +157,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     placed = distinct.mapInArrow(place, "dim long, tile long, key binary, node long, copies long")
     saved = placed.groupBy("dim", "tile").applyInArrow(lambda t: save(t), "dim long, tile long, path string, low array<double>, high array<double>")
-    manifest = materialize(saved, "tiles").orderBy("dim", "tile").collect()  # at most MAX_TILES rows a dimension
+    manifest = materialize(saved, "tiles", narrow=True).orderBy("dim", "tile").collect()  # at most MAX_TILES rows a dimension
     pairs = []
     for dim in by_dim:
         own = [r for r in manifest if r["dim"] == dim]
@@ -197,7 +197,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.fromiter(total.values(), np.int64, len(total)), b])), pa.array(np.arange(len(ids)) >= len(total))], names=["a", "b", "link"])
 
     units = spark.createDataFrame(pairs, "one string, other string") if pairs else spark.range(0).selectExpr("'' as one", "'' as other")
-    found = materialize(units.repartition(max(1, min(len(pairs), 4 * partitions(spark)))).mapInArrow(join, "a long, b long, link boolean"), "links")
+    found = materialize(units.repartition(max(1, min(len(pairs), 4 * partitions(spark)))).mapInArrow(join, "a long, b long, link boolean"), "links", narrow=True)
     counts = found.where("not link").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
     roots = components(found.where("link").select("a", "b"))
     classes = distinct.join(counts, "node", "left").join(roots, "node", "left")
