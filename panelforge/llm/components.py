@@ -39,7 +39,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     very many links.
     """
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    edges = materialize(edges, "links")
+    edges = materialize(edges, "links", narrow=True)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -47,7 +47,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "star")
+        edges = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "star", narrow=True)
         now = _state(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

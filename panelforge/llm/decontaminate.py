@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.windows import PRIME, U64, WordUnits, mix
-from panelforge.session import ship
+from panelforge.session import release, ship
 
 SIMILARITY = 0.8
 ROUNDS = 24
@@ -241,5 +241,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 for index in parts:
                     ok[[a + d for d, *_ in index.matches(texts[a:b])]] = False
             yield batch.filter(pa.array(ok))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)

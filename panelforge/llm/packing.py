@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import tokens
-from panelforge.session import materialize, partitions, ship
+from panelforge.session import materialize, partitions, release, ship
 
 TRIPLE_LENGTHS = 160  # lengths that enter the index of triples: those with the most pieces
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -42,6 +42,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int | None,
             if rows:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(cut, PIECES)
@@ -165,7 +166,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = cut.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "counts")
+    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "counts", narrow=True)
     # at most `capacity` rows whatever the corpus
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     table = spark.sparkContext.broadcast(Plan(histogram, capacity).table())

@@ -89,7 +89,7 @@ def replies(parsed: DataFrame) -> DataFrame:
 
 def threads(links: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, root_turn, depth) by pointer doubling: rounds grow with the logarithm of the deepest thread."""
-    state = materialize(links.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "threads")
+    state = materialize(links.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "threads", narrow=True)
     while True:
         up = state.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"))
         if not state.join(up, ["conv_id", "root_turn"], "left_semi").limit(1).count():
@@ -97,7 +97,7 @@ def threads(links: DataFrame) -> DataFrame:
         state = state.join(up, ["conv_id", "root_turn"], "left").select(
             "conv_id", "turn", "reply_to", F.coalesce("next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
         )
-        state = materialize(state, "threads")
+        state = materialize(state, "threads", narrow=True)
 
 
 def conversations(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.components import components, forest
 from panelforge.llm.windows import mix
-from panelforge.session import materialize, partitions, ship
+from panelforge.session import materialize, partitions, release, ship
 
 SEED = 42
 THRESHOLD = 3
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = rows.groupBy("fp").agg(F.min("id").alias("least"))
     linked = components(link(known, threshold))
     whole = known.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    whole = materialize(whole, "classes")
+    whole = materialize(whole, "classes", narrow=True)
     root = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = whole.join(root, "root").select("fp", "component_id")
     out = rows.join(by_fp, "fp")
@@ -232,6 +232,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         for batch in batches:
             s = np.array([sketch(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, WORDS)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s[:, 0].copy()), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "fp", "sketch"])
+        release()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     rows = materialize(source.mapInArrow(take, "id long, fp long, sketch binary"), "sketches")
@@ -261,6 +262,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 yield from out()
         if held:
             yield from out()
+        release()
 
     def meet(batches):
         table, links, size = anchors16()[:, 0], [], 0
@@ -307,7 +309,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     met = known.select("sketch").mapInArrow(spread, "key long, sketches binary").repartition(4 * partitions(spark), "key").sortWithinPartitions("key")
     linked = components(met.mapInArrow(meet, "a long, b long"))
     whole = known.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
-    whole = materialize(whole, "classes")
+    whole = materialize(whole, "classes", narrow=True)
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     by_fp = whole.join(least, "root").select("fp", "component_id")
     return rows.select("id", "fp").join(by_fp, "fp").where("id <> component_id").select(F.col("id").alias("doc_id"), "component_id")

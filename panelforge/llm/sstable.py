@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import files, tokens
-from panelforge.session import partitions, scratch, ship
+from panelforge.session import partitions, release, scratch, ship
 
 MAGIC = b"PFSSTB01"
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -200,6 +200,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
                 writer.add(*entry)
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [number], "path": [path], "documents": [writer.documents], "tokens": [writer.tokens]})
+        release()
 
     schema = "shard long, path string, documents long, tokens long"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

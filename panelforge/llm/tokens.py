@@ -12,10 +12,10 @@ from panelforge.llm.windows import BYTE_HASH, WordUnits, mix
 #: Ends of a piece at which the library might not start anew: white space, control and format characters.
 UNSURE = re.compile(r"[\s\x00-\x20\x7f-\xa0\u180e\u200b\ufeff]")
 CHECK_HASH = mix(BYTE_HASH)
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 LEARN_AT_ONCE = 20_000
 LONGEST_PIECE = 200
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 class Encoder:

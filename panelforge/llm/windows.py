@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import partitions, plan_bytes, ship
+from panelforge.session import partitions, plan_bytes, release, ship
 
 U64 = np.uint64
 BLOCK = 1 << 19  # units hashed at once; positions within a block fit the low bits of a sort key
@@ -262,6 +262,7 @@ class Plan:
                 size = 0
         if held:
             yield out()
+        release()
 
     @staticmethod
     def unpack(blob: bytes):
@@ -318,6 +319,8 @@ class Plan:
                 held, size = [], 0
         if size:
             yield out(flush())
+        held = []
+        release()
 
     # -- 2 --------------------------------------------------------------------------------------------------------
     def meet(self, table: pa.Table) -> pa.Table:
