@@ -20,6 +20,7 @@ from panelforge.llm import tokens
 from panelforge.session import materialize, partitions, release, ship
 
 TRIPLE_LENGTHS = 160  # lengths that enter the index of triples: those with the most pieces
+SALTS = 1024  # ranks are counted by (length, salt): at most capacity x SALTS counts
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -162,7 +163,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
-    salts = 4 * partitions(spark)
+    salts = min(SALTS, 4 * partitions(spark))
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = cut.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
