@@ -190,6 +190,24 @@ def binary_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()
     return out.drop("g_")
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str, descending: bool = False, buckets: int = 64) -> DataFrame:
+    """Sum of `value` over all rows up to and with the row's place in a global order, equal places sharing it.
+
+    No task sees the whole table: approximate quantiles cut the order into buckets, each bucket is summed within itself and
+    shifted by the totals of the buckets before it, of which there are few.
+    """
+    fractions = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(order, F.array(*map(F.lit, fractions)), F.lit(10_000)).alias("b")).first()["b"] or []
+    edges = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    rows = df.withColumn("bucket_", F.size(F.filter(edges, lambda b: b <= F.col(order))))
+    sums = rows.groupBy("bucket_").agg(F.sum(value).alias("part_"))
+    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket_") if descending else "bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("bucket_", F.coalesce(F.sum("part_").over(before), F.lit(0)).alias("shift_"))
+    within = Window.partitionBy("bucket_").orderBy(F.desc(order) if descending else order)
+    out = rows.withColumn(name, F.sum(value).over(within)).join(F.broadcast(sums), "bucket_")
+    return out.withColumn(name, F.col(name) + F.col("shift_")).drop("bucket_", "shift_")
+
+
 def gram(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, centred cross products) of complete rows: one aggregate of k(k+1)/2 sums, a k x k matrix on the driver."""
     rows = df.select(*(num(c).alias(c) for c in columns)).dropna()

@@ -192,3 +192,29 @@ def catalog_selection(spark, d):
     return table(spark, d, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("k"))
 
 
+
+
+def competition_predictions(spark, d):
+    from panelforge.plans import competition
+
+    rows = places(spark, d).select("id", "label", F.slice(F.transform("e", lambda x: x.cast("double")), 4, 5).alias("x"), F.col("e")[2].cast("double").alias("y"))
+    membership = competition.make_splits(rows, "id", "label", 60, 4)
+    return competition.predict(membership, rows, label_edges(spark, d), "id", "label", "x", "y")
+
+
+@query("s: method, l: splits, d: rmse_mean rmse_worst rmse_pooled")
+def pseudo_competition(spark, d):
+    """Splits, neighbours, five predictors and their summary in one plan."""
+    return evaluate.method_summary(competition_predictions(spark, d))
+
+
+@query("l: user_id, d: click_mean records, l: dates")
+def feature_table(spark, d):
+    """The whole build: panel blocks, recipes, checked merge, pruning and contract."""
+    from panelforge.operators.recipes import FeatureRecipe
+    from panelforge.plans.feature_table import PanelSpec, build
+
+    e = events(spark, d)
+    spec = PanelSpec("sat", "user_id", "event_type", "ts", "cloud", ["v"], "2024-01-01", "2024-01-31", (1,), recipes=(FeatureRecipe("v_slope", "v", "user_id", "slope", "ts"),))
+    out, _ = build(e.select("user_id").distinct(), "user_id", {"events": (e, spec)})
+    return out.select("user_id", F.col("sat__click__v__mean").alias("click_mean"), F.col("sat_cov__click__n_records").alias("records"), F.col("sat__n_unique_dates").alias("dates"))

@@ -679,10 +679,10 @@ def feature_inventory(spark, d):
 
 @query("l: id, s: tier", f"WITH {GEO}, n AS (SELECT i, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) WHERE r <= 3 GROUP BY i), q AS (SELECT *, (SELECT count(*) FROM n b WHERE b.m >= a.m) * 1.0 / (SELECT count(*) FROM n) AS s FROM n a) SELECT i AS id, CASE WHEN s >= 0.8 THEN 'A' WHEN s >= 0.6 THEN 'B' WHEN s >= 0.4 THEN 'C' WHEN s >= 0.2 THEN 'D' ELSE 'E' END AS tier FROM q")
 def support_tiers(spark, d):
-    """Share of rows at least as far from their neighbours, cut into five tiers; ranks by label blocks are merged by value counts."""
+    """Share of rows at least as far from their neighbours, cut into five tiers: a running total over distinct distances."""
     m = neighbours.nearest(label_edges(spark, d), 3).groupBy("i").agg(F.avg("d").alias("m"))
-    steps = m.groupBy("m").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("m"))
-    at_least = steps.select("m", (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("s"))
+    steps = stats.running_total(m.groupBy("m").agg(F.count("*").alias("n")), "m", "n", "reached", descending=True)
+    whole = m.agg(F.count("*").alias("all_"))
+    at_least = steps.crossJoin(F.broadcast(whole)).select("m", (F.col("reached") / F.col("all_")).alias("s"))
     s = F.col("s")
     return m.join(at_least, "m").select(F.col("i").alias("id"), F.when(s >= 0.8, "A").when(s >= 0.6, "B").when(s >= 0.4, "C").when(s >= 0.2, "D").otherwise("E").alias("tier"))

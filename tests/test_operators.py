@@ -270,3 +270,14 @@ def test_ks_by_hand(spark):
     df = spark.createDataFrame([(float(v), True) for v in a] + [(float(v), False) for v in b], "x double, first boolean")
     want = max(abs(sum(v <= t for v in a) / 40 - sum(v <= t for v in b) / 25) for t in range(13))
     assert one(stats.shift_screen(df, ["x"], "first"))["ks"] == pytest.approx(want)
+
+
+def test_running_total_over_buckets(spark):
+    rng = random.Random(2)
+    rows = [(float(rng.randint(0, 30)), rng.randint(1, 5)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "x double, n int")
+    for descending in (False, True):
+        got = {(r["x"], r["t"]) for r in stats.running_total(df, "x", "n", "t", descending, 8).collect()}
+        want = {(x, sum(n for y, n in rows if (y >= x if descending else y <= x))) for x, _ in rows}
+        assert got == want
+    assert stats.running_total(df.limit(0), "x", "n", "t").count() == 0
