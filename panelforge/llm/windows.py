@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import partitions, plan_bytes, release, ship
+from panelforge.session import fewer, partitions, plan_bytes, release, ship
 
 U64 = np.uint64
 BLOCK = 1 << 19  # units hashed at once; positions within a block fit the low bits of a sort key
@@ -449,4 +449,5 @@ def run(docs: DataFrame, plan_type, id_col: str, text_col: str, W: int, k: int,
     packed = source.mapInArrow(plan.pack, "shard int, payload binary")
     sent = packed.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(lambda d, r: plan.send(d, r), "bin int, shard int, payload binary")
     told = met.unionByName(sent.groupBy("bin").applyInArrow(lambda t: plan.decide(t), replies))
-    return packed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lambda d, r: plan.finish(d, r), result)
+    done = packed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lambda d, r: plan.finish(d, r), result)
+    return done if more.get("texts") else fewer(done)
