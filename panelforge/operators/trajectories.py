@@ -18,6 +18,11 @@ def points(columns: Mapping[int | float, Column | str]) -> Points:
     return F.filter(F.array(*cells), lambda p: p["y"].isNotNull())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: inside a lambda an outer expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def within(p: Points, low: float = float("-inf"), high: float = float("inf")) -> Points:
     return F.filter(p, lambda q: (q["x"] >= low) & (q["x"] <= high))
 
@@ -45,8 +50,11 @@ def pairs(values: Column, of: Callable[[Column, Column], Column]) -> Column:
 
 
 def slope_of(p: Points) -> Column:
-    mx, my = mean(p, lambda q: q["x"]), mean(p, lambda q: q["y"])
-    return F.when(F.size(p) >= 2, ratio(added(p, lambda q: (q["x"] - mx) * (q["y"] - my)), added(p, lambda q: (q["x"] - mx) * (q["x"] - mx)), 0.0))
+    def given(m: Column) -> Column:
+        return ratio(added(p, lambda q: (q["x"] - m["x"]) * (q["y"] - m["y"])), added(p, lambda q: (q["x"] - m["x"]) * (q["x"] - m["x"])), 0.0)
+
+    center = F.struct(mean(p, lambda q: q["x"]).alias("x"), mean(p, lambda q: q["y"]).alias("y"))
+    return F.when(F.size(p) >= 2, let(center, given))
 
 
 def area_of(p: Points) -> Column:
@@ -55,21 +63,28 @@ def area_of(p: Points) -> Column:
 
 def top_position(p: Points) -> Column:
     """The first position of the largest value."""
-    return F.get(F.filter(p, lambda q: q["y"] == F.array_max(ys(p))), F.lit(0))["x"]
+    return let(F.array_max(ys(p)), lambda top: F.get(F.filter(p, lambda q: q["y"] == top), F.lit(0))["x"])
+
+
+def low_position(p: Points) -> Column:
+    """The first position of the smallest value."""
+    return let(F.array_min(ys(p)), lambda low: F.get(F.filter(p, lambda q: q["y"] == low), F.lit(0))["x"])
 
 
 def std_of(values: Column) -> Column:
     """Population standard deviation."""
-    m = mean(values)
-    return F.sqrt(mean(values, lambda v: (v - m) * (v - m)))
+    return let(mean(values), lambda m: F.sqrt(mean(values, lambda v: (v - m) * (v - m))))
 
 
 def correlation(pairs_: Column, a: str = "a", b: str = "b") -> Column:
     """Pearson over an array of structs, NULL where a side is constant."""
-    ma, mb = mean(pairs_, lambda q: q[a]), mean(pairs_, lambda q: q[b])
-    cov = added(pairs_, lambda q: (q[a] - ma) * (q[b] - mb))
-    va, vb = added(pairs_, lambda q: (q[a] - ma) * (q[a] - ma)), added(pairs_, lambda q: (q[b] - mb) * (q[b] - mb))
-    return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+
+    def given(m: Column) -> Column:
+        cov = added(pairs_, lambda q: (q[a] - m["a"]) * (q[b] - m["b"]))
+        va, vb = added(pairs_, lambda q: (q[a] - m["a"]) * (q[a] - m["a"])), added(pairs_, lambda q: (q[b] - m["b"]) * (q[b] - m["b"]))
+        return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+
+    return let(F.struct(mean(pairs_, lambda q: q[a]).alias("a"), mean(pairs_, lambda q: q[b]).alias("b")), given)
 
 
 def average_rank(values: Column, v: Column) -> Column:
@@ -102,25 +117,31 @@ def shape(p: Points) -> dict[str, Column]:
     signs = F.filter(F.transform(slopes, lambda s: F.signum(s)), lambda s: s != 0)
     turns = pairs(signs, lambda a, b: (a != b).cast("double"))
     neighbours = pairs(y, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    mx, my = mean(p, lambda q: q["x"]), mean(y)
-    sxx, syy = added(p, lambda q: (q["x"] - mx) * (q["x"] - mx)), added(y, lambda v: (v - my) * (v - my))
-    sxy = added(p, lambda q: (q["x"] - mx) * (q["y"] - my))
     ordered = F.sort_array(y, asc=False)
-    low, span = F.array_min(y), F.array_max(y) - F.array_min(y)
-    weights = F.transform(p, lambda q: F.struct(q["x"].alias("x"), ((q["y"] - low) / span).alias("w")))
-    mass = added(weights, lambda q: q["w"])
-    entropy = -added(F.filter(weights, lambda q: q["w"] > 0), lambda q: q["w"] / mass * F.ln(q["w"] / mass))
+    span = F.array_max(y) - F.array_min(y)
+
+    def fit(m: Column) -> Column:
+        sxx, syy = added(p, lambda q: (q["x"] - m["x"]) * (q["x"] - m["x"])), added(y, lambda v: (v - m["y"]) * (v - m["y"]))
+        sxy = added(p, lambda q: (q["x"] - m["x"]) * (q["y"] - m["y"]))
+        return F.when(syy > 0, sxy * sxy / (sxx * syy))
+
+    def weighed(of: Callable[[Column, Column], Column]) -> Column:
+        """of(weights by position, their sum), the weights being values scaled to 0..1."""
+        bounds = F.struct(F.array_min(y).alias("low"), span.alias("span"))
+        scaled = let(bounds, lambda b: F.transform(p, lambda q: F.struct(q["x"].alias("x"), ((q["y"] - b["low"]) / b["span"]).alias("w"))))
+        return F.when(two & (span > 0), let(scaled, lambda w: let(added(w, lambda q: q["w"]), lambda mass: of(w, mass))))
+
     two, many = F.size(p) >= 2, F.size(p) >= 3
     return {
         "total_variation": F.when(two, added(pairs(y, lambda a, b: F.abs(b - a)))),
         "roughness": F.when(many, mean(bends, lambda b: F.abs(b))),
         "curvature_energy": F.when(many, mean(bends, lambda b: b * b)),
         "lag1_autocorr": F.when(many, correlation(neighbours)),
-        "linear_trend_r2": F.when(two & (syy > 0), sxy * sxy / (sxx * syy)),
+        "linear_trend_r2": F.when(two, let(F.struct(mean(p, lambda q: q["x"]).alias("x"), mean(y).alias("y")), fit)),
         "turning_fraction": F.when(many, F.coalesce(mean(turns), F.lit(0.0))),
         "peak_sharpness": F.when(two, F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))),
-        "center_of_mass_month": F.when(two & (span > 0), added(weights, lambda q: q["x"] * q["w"]) / mass),
-        "shape_entropy": F.when(two & (span > 0), entropy / F.ln(F.size(p))),
+        "center_of_mass_month": weighed(lambda w, mass: added(w, lambda q: q["x"] * q["w"]) / mass),
+        "shape_entropy": weighed(lambda w, mass: -added(F.filter(w, lambda q: q["w"] > 0), lambda q: q["w"] / mass * F.ln(q["w"] / mass)) / F.ln(F.size(w))),
     }
 
 
