@@ -21,7 +21,10 @@ DICTIONARY_BYTES = 96 << 10
 LANGUAGES = 256
 CHUNK = 4 << 10
 LEVEL = 6
-MARGIN = 0.005
+MARGIN = 0.002
+SHORT = 1024  # bytes of a text under which the dictionary's slices vote too: sizes of short texts are coarse
+SLICES = 6
+LEAD = 256
 SAMPLE_CHARS = 2048
 UNKNOWN = "und"
 
@@ -55,17 +58,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return out
 
 
+def coder(dictionary: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(dictionary.ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+class Short:
+    """Bytes that a short text adds to a piece of the dictionary: alone it might not be compressed at all."""
+
+    def __init__(self, dictionary: bytes):
+        self.coder, self.lead = coder(dictionary), dictionary[:LEAD]
+        self.base = len(self.coder.compress(self.lead))
+
+    def size(self, data: bytes) -> int:
+        return max(1, len(self.coder.compress(self.lead + data)) - self.base)
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = []
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name] or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.coders = [coder(dictionaries[n]) for n in self.names]
+        self.slices = []
+        for n in self.names:
+            d = dictionaries[n]
+            step = max(1, len(d) // SLICES)
+            self.slices.append([Short(d), *(Short(d[a : a + step]) for a in range(0, step * SLICES, step))])
 
     def sizes(self, data: bytes) -> list[int]:
-        """Compressed size of a whole text under each dictionary."""
+        """Compressed size of a whole text under each dictionary; what a short text adds, summed over the dictionary and its slices."""
+        if len(data) < SHORT:
+            return [sum(p.size(data) for p in parts) for parts in self.slices]
         chunks = [data[a : a + CHUNK] for a in range(0, len(data), CHUNK)]
         return [sum(len(c.compress(x)) for x in chunks) for c in self.coders]
 
