@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.operators import evaluate, learning, neighbours, seasonal, stats
+from panelforge.operators import evaluate, learning, neighbours, seasonal, selection, stats
 from panelforge.operators.trajectories import with_features
 from panelforge.plans.panel_queries import EV, MONTHS, events
 from panelforge.plans.registry import query, table
@@ -218,3 +218,59 @@ def feature_table(spark, d):
     spec = PanelSpec("sat", "user_id", "event_type", "ts", "cloud", ["v"], "2024-01-01", "2024-01-31", (1,), recipes=(FeatureRecipe("v_slope", "v", "user_id", "slope", "ts"),))
     out, _ = build(e.select("user_id").distinct(), "user_id", {"events": (e, spec)})
     return out.select("user_id", F.col("sat__click__v__mean").alias("click_mean"), F.col("sat_cov__click__n_records").alias("records"), F.col("sat__n_unique_dates").alias("dates"))
+
+
+@query(
+    "l: split_id, s: method, d: selection_rmse held_out_rmse",
+    f"WITH {PR}, s AS (SELECT split_id, method, sqrt(avg(pow(predicted - observed, 2))) AS rmse FROM pr GROUP BY ALL), o AS (SELECT *, (sum(rmse) OVER (PARTITION BY method) - rmse) / (count(*) OVER (PARTITION BY method) - 1) AS others FROM s), b AS (SELECT *, max(CASE WHEN method = 'm_type' THEN others END) OVER (PARTITION BY split_id) AS base FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY split_id ORDER BY others, method) AS i FROM b WHERE method = 'm_type' OR others <= base * 0.995) SELECT split_id, method, others AS selection_rmse, rmse AS held_out_rmse FROM r WHERE i = 1",
+)
+def gated_selection(spark, d):
+    return selection.gated_selection(predictions(spark, d), "m_type", 0.005)
+
+
+@query("s: rule, b: passed", f"WITH {PR}, m AS (SELECT sqrt(avg(pow(m_user - observed, 2))) AS u, sqrt(avg(pow(m_type - observed, 2))) AS t FROM base) SELECT rule, passed FROM m CROSS JOIN LATERAL (VALUES ('user_beats_type', u < t), ('gain_of_a_tenth', u < 0.9 * t)) v(rule, passed)")
+def decision_gates(spark, d):
+    e = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col("observed"), F.lit(2))))
+    m = base(spark, d).agg(e("m_user").alias("u"), e("m_type").alias("t"))
+    return selection.decide(m, {"user_beats_type": F.col("u") < F.col("t"), "gain_of_a_tenth": F.col("u") < 0.9 * F.col("t")})
+
+
+@query("l: id, d: predicted", f"WITH {PR}, f AS (SELECT split_id, regr_slope(observed, m_user) AS b, regr_intercept(observed, m_user) AS a FROM base WHERE id % 5 <> 0 GROUP BY split_id) SELECT id, a + b * m_user AS predicted FROM base JOIN f USING (split_id) WHERE id % 5 = 0")
+def affine_prior(spark, d):
+    return selection.affine_prior(base(spark, d).withColumn("train", F.col("id") % 5 != 0), ["split_id"], "train", "m_user", "observed")
+
+
+@query("l: id, d: predicted", f"WITH {PR}, x AS (SELECT id, split_id, observed, m_user AS predicted, CASE WHEN m_user <= 60 THEN 'low' ELSE 'high' END AS regime FROM base), s AS (SELECT split_id, regime, avg(observed - predicted) AS s FROM x WHERE id % 5 <> 0 GROUP BY ALL) SELECT id, predicted + coalesce(s, 0) AS predicted FROM x LEFT JOIN s USING (split_id, regime) WHERE id % 5 = 0")
+def piecewise_calibration(spark, d):
+    x = base(spark, d).withColumn("predicted", F.col("m_user")).withColumn("train", F.col("id") % 5 != 0).withColumn("regime", F.when(F.col("m_user") <= 60, "low").otherwise("high"))
+    return selection.piecewise_calibration(x, ["split_id"], "train", "regime")
+
+
+@query("l: id, d: reliability", f"WITH {PR}, x AS (SELECT id, split_id, m_user - observed AS e FROM base), m AS (SELECT *, median(e) OVER (PARTITION BY split_id) AS md FROM x), s AS (SELECT split_id, 1.4826 * median(abs(e - md)) AS s FROM m GROUP BY split_id) SELECT id, greatest(0.35, least(1.0, 0.8 * s / greatest(abs(e), 1e-12))) AS reliability FROM m JOIN s USING (split_id)")
+def label_reliability(spark, d):
+    return selection.reliability(base(spark, d).withColumn("e", F.col("m_user") - F.col("observed")), ["split_id"], "e", 0.8)
+
+
+@query("l: i j rank, d: r", f"WITH {MO}, c AS (SELECT a.user_id AS i, b.user_id AS j, CASE WHEN count(*) FILTER (x.v IS NOT NULL AND y.v IS NOT NULL) >= 3 THEN corr(x.v, y.v) END AS r FROM mo a JOIN mo b ON a.user_id % 10 = b.user_id % 10 AND a.user_id < b.user_id CROSS JOIN LATERAL (VALUES {', '.join(f'({m}, a.tn{m:02d}, b.tn{m:02d})' for m in MONTHS)}) z(m, p, q) CROSS JOIN LATERAL (SELECT CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN p END AS v) x CROSS JOIN LATERAL (SELECT CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN q END AS v) y GROUP BY ALL), b AS (SELECT i, j, CASE WHEN isnan(r) THEN NULL ELSE r END AS r FROM c UNION ALL SELECT j, i, CASE WHEN isnan(r) THEN NULL ELSE r END FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r DESC NULLS LAST, j) AS rank FROM b) SELECT i, j, rank, r FROM k WHERE rank <= 3")
+def temporal_neighbours(spark, d):
+    w = monthly(spark, d).select("user_id", (F.col("user_id") % 10).alias("block"), F.array(*COLS["tn"].values()).alias("curve"))
+    return selection.curve_neighbours(selection.curve_pairs(w, "user_id", "curve", ["block"]), 3)
+
+
+@query("d: eta_squared p")
+def eta_permutation(spark, d):
+    return selection.permutation_p(customers(spark, d), "id", "muni", "x1", 99)
+
+
+@query("s: check_ status, l: observed", "WITH f AS (SELECT 1990 + p_size % 13 AS yr, p_brand AS name, p_type AS digest FROM part WHERE p_size % 13 <> 4) SELECT check_, CASE WHEN observed = 0 THEN 'ok' ELSE st END AS status, observed FROM (SELECT (SELECT count(*) FROM range(1990, 2003) t(y) WHERE y NOT IN (SELECT yr FROM f)) AS a, (SELECT count(*) FROM (SELECT yr FROM f GROUP BY yr HAVING count(DISTINCT name) > 1)) AS b, (SELECT count(*) FROM (SELECT name FROM f GROUP BY name HAVING count(DISTINCT digest) > 1)) AS c) CROSS JOIN LATERAL (VALUES ('missing_years', 'error', a), ('repeated_years', 'warning', b), ('content_conflicts', 'error', c)) v(check_, st, observed)")
+def yearly_file_audit(spark, d):
+    f = table(spark, d, "part").where("p_size % 13 <> 4").select((F.lit(1990) + F.col("p_size") % 13).alias("yr"), F.col("p_brand").alias("name"), F.col("p_type").alias("digest"))
+    return selection.audit_files(f, "yr", "name", "digest", list(range(1990, 2003))).withColumnRenamed("check", "check_")
+
+
+@query("l: label id, d: predicted")
+def residual_graph_correction(spark, d):
+    e = F.col("embedding")
+    rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), e[1].cast("double").alias("anchor"), F.when(F.col("vec_id") % 10 >= 3, e[2].cast("double")).alias("target"))
+    g = neighbours.rbf_graph(label_edges(spark, d), 8).join(rows.select(F.col("id").alias("i"), (F.col("label") + 0).alias("label")), "i")
+    return selection.residual_correction(g, rows, ["label"], "id")

@@ -281,3 +281,35 @@ def test_running_total_over_buckets(spark):
         want = {(x, sum(n for y, n in rows if (y >= x if descending else y <= x))) for x, _ in rows}
         assert got == want
     assert stats.running_total(df.limit(0), "x", "n", "t").count() == 0
+
+
+def test_spread_and_dual_scores():
+    from panelforge.operators import selection
+
+    x = np.array([[0.0, 0], [1, 0], [10, 0], [10, 10], [0.5, 0]])
+    assert selection.farthest_points(x, 3) == [0, 3, 2]
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=(6, 40))
+    scores = selection.dual_pca(y, 3)
+    z = (y - y.mean(axis=0)) / y.std(axis=0)
+    assert np.sort(np.abs(np.linalg.svd(z, compute_uv=False)[:3])) == pytest.approx(np.sort(np.linalg.norm(scores, axis=0)))
+    assert selection.dual_pca(y, 3, y) == pytest.approx(scores)
+
+
+def test_permutation_finds_groups(spark):
+    from panelforge.operators import selection
+
+    df = spark.createDataFrame([(i, i % 2, float(i % 2) * 5 + (i % 7) / 10) for i in range(40)], "id long, g long, v double")
+    r = one(selection.permutation_p(df, "id", "g", "v", 39))
+    assert r["eta_squared"] > 0.9 and r["p"] == pytest.approx(1 / 40)
+
+
+def test_learning_pieces(spark):
+    from panelforge.operators import learning
+
+    g = learning.grid(spark, {"a": [1, 2], "b": [3, 4, 5]})
+    assert g.count() == 6 and learning.sample_candidates(g, 4).count() == 4
+    assert learning.convex_weights(np.eye(3), np.array([0.2, 0.3, 0.5])) == pytest.approx([0.2, 0.3, 0.5])
+    assert learning.convex_weights(np.eye(2), np.array([2.0, -1.0])) == pytest.approx([1.0, 0.0])
+    t = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 3.0), ("b", 1.0, 1.0)], "g string, x double, y double")
+    assert {r["g"]: r["tau"] for r in learning.kendall(t, "x", "y", ["g"]).collect()} == {"a": pytest.approx(1 / 3), "b": None}
