@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import tokens
-from panelforge.session import materialize, partitions, release, ship
+from panelforge.session import fewer, materialize, partitions, release, ship
 
 TRIPLE_LENGTHS = 160  # lengths that enter the index of triples: those with the most pieces
 SALTS = 1024  # ranks are counted by (length, salt): at most capacity x SALTS counts
@@ -193,4 +193,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int | N
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = cut.withColumn("row", F.row_number().over(within)).join(counts.select("length", "salt", "before"), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("row") - 1).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return fewer(ranked).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -240,7 +240,7 @@ def scan(manifest: DataFrame, column: str, kind: pa.DataType, sql: str, of) -> D
                 if rows:
                     yield pack(rows)
 
-    placed = based.repartition(4 * partitions(spark))
+    placed = based.repartition(partitions(spark))
     return placed.mapInArrow(entries, f"doc_id long, start long, n_tokens long, {column} {sql}")
 
 
