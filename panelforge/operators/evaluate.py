@@ -51,8 +51,8 @@ def loso_routing(df: DataFrame, tier: str, split: str = "split_id", method: str
 
 
 def fold_tails(df: DataFrame, split: str, is_train: str, value: str, low: float = 0.15, high: float = 0.85, strict: bool = False) -> DataFrame:
-    """Tail labels with thresholds from each split's training rows only."""
-    bounds = df.where(F.col(is_train)).groupBy(split).agg(F.percentile(value, F.lit(low)).alias("tail_low"), F.percentile(value, F.lit(high)).alias("tail_high"))
+    """Tail labels with thresholds from each split's training rows only, rounded to 9 places: a threshold that is a value must equal it."""
+    bounds = df.where(F.col(is_train)).groupBy(split).agg(F.round(F.percentile(value, F.lit(low)), 9).alias("tail_low"), F.round(F.percentile(value, F.lit(high)), 9).alias("tail_high"))
     return df.join(F.broadcast(bounds), split).withColumn("tail", tails(value, "tail_low", "tail_high", strict))
 
 

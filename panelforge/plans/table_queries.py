@@ -472,7 +472,7 @@ def loso_tier_routing(spark, d):
     return evaluate.loso_routing(predictions(spark, d), "tier")
 
 
-TA = f"{PR}, tr_ AS (SELECT *, id % 5 <> 0 AS train FROM pr), bd AS (SELECT split_id, quantile_cont(observed, 0.15) AS lo, quantile_cont(observed, 0.85) AS hi FROM tr_ WHERE train AND method = 'm_user' GROUP BY split_id), ta AS (SELECT tr_.*, CASE WHEN observed <= lo THEN 'low' WHEN observed >= hi THEN 'high' ELSE 'center' END AS tail FROM tr_ JOIN bd USING (split_id))"
+TA = f"{PR}, tr_ AS (SELECT *, id % 5 <> 0 AS train FROM pr), bd AS (SELECT split_id, round(quantile_cont(observed, 0.15), 9) AS lo, round(quantile_cont(observed, 0.85), 9) AS hi FROM tr_ WHERE train AND method = 'm_user' GROUP BY split_id), ta AS (SELECT tr_.*, CASE WHEN observed <= lo THEN 'low' WHEN observed >= hi THEN 'high' ELSE 'center' END AS tail FROM tr_ JOIN bd USING (split_id))"
 
 
 def tailed(spark, d):
