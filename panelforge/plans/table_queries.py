@@ -476,8 +476,8 @@ TA = f"{PR}, tr_ AS (SELECT *, id % 5 <> 0 AS train FROM pr), bd AS (SELECT spli
 
 
 def tailed(spark, d):
-    p = predictions(spark, d).withColumn("train", F.col("id") % 5 != 0)
-    return evaluate.fold_tails(p, "split_id", "train", "observed")
+    b = evaluate.fold_tails(base(spark, d).withColumn("train", F.col("id") % 5 != 0), "split_id", "train", "observed")
+    return b.unpivot(["id", "split_id", "observed", "tail"], METHODS, "method", "predicted")
 
 
 @query("l: id, s: method tail", f"WITH {TA} SELECT id, method, tail FROM ta")
