@@ -140,7 +140,7 @@ def irregular(df: DataFrame, keys: Sequence[str], date: str, value: str, weight:
     All from one shuffle by the keys: the daily rows are gathered as an ordered array of at most one entry a calendar day,
     and every descriptor is an expression over that array.
     """
-    from panelforge.operators.trajectories import added, correlation, low_position, mean, pairs, slope_of, std_of, top_position, ys
+    from panelforge.operators.trajectories import added, correlation, low_position, mean, median_of, pairs, quadratic_of, slope_of, std_of, top_position, ys
 
     w = F.coalesce(F.col(weight), F.lit(0.0)) if weight else F.lit(1.0)
     rows = df.select(*keys, F.unix_date(F.to_date(date)).alias("d_"), F.col(value).cast("double").alias("v_"), w.alias("w_")).where("d_ is not null and v_ is not null and w_ > 0")
@@ -161,6 +161,7 @@ def irregular(df: DataFrame, keys: Sequence[str], date: str, value: str, weight:
         "n_days": n.cast("long"), "span_days": p[n - 1]["x"], "mean": m, "weighted_mean": added(p, lambda e: e["y"] * e["w"]) / added(p, lambda e: e["w"]), "std": sd,
         "median": q[3], "min": F.array_min(y), "max": F.array_max(y), "range": F.array_max(y) - F.array_min(y),
         "q05": q[0], "q10": q[1], "q25": q[2], "q75": q[4], "q90": q[5], "q95": q[6], "iqr": q[4] - q[2],
+        "mad": median_of(F.transform(y, lambda v: F.abs(v - q[3]))), "median_gap_days": median_of(F.transform(step, lambda s: s["gap"])), "quadratic_curvature": quadratic_of(p),
         "rms": F.sqrt(mean(y, lambda v: v * v)), "cv": sd / (F.abs(m) + F.lit(1e-6)), "initial": y[0], "final": y[n - 1], "final_minus_initial": y[n - 1] - y[0],
         "day_of_peak": top_position(p), "day_of_minimum": low_position(p),
         "fraction_above_median": mean(y, lambda v: (v > q[3]).cast("double")), "fraction_below_q25": mean(y, lambda v: (v < q[2]).cast("double")),

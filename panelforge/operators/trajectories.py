@@ -57,6 +57,26 @@ def slope_of(p: Points) -> Column:
     return F.when(F.size(p) >= 2, let(center, given))
 
 
+def quadratic_of(p: Points) -> Column:
+    """Second-degree coefficient of the least squares parabola, of at least 3 positions; from sums over centred positions."""
+
+    def given(m: Column) -> Column:
+        c = F.transform(p, lambda q: F.struct((q["x"] - m).alias("x"), q["y"].alias("y")))
+        n = F.size(p)
+        sums = F.struct(
+            added(c, lambda q: q["x"] * q["x"]).alias("xx"), added(c, lambda q: q["x"] * q["x"] * q["x"]).alias("xxx"), added(c, lambda q: q["x"] * q["x"] * q["x"] * q["x"]).alias("xxxx"),
+            added(c, lambda q: q["y"]).alias("y"), added(c, lambda q: q["x"] * q["y"]).alias("xy"), added(c, lambda q: q["x"] * q["x"] * q["y"]).alias("xxy"),
+        )
+        return let(sums, lambda s: ratio(s["xxy"] - s["xx"] * s["y"] / n - s["xxx"] / s["xx"] * s["xy"], s["xxxx"] - s["xx"] * s["xx"] / n - s["xxx"] * s["xxx"] / s["xx"], 0.0))
+
+    return F.when(F.size(p) >= 3, let(mean(p, lambda q: q["x"]), given))
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array without missing values."""
+    return let(F.sort_array(values), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+
+
 def area_of(p: Points) -> Column:
     return F.when(F.size(p) >= 2, added(pairs(p, lambda a, b: (a["y"] + b["y"]) / 2 * (b["x"] - a["x"]))))
 

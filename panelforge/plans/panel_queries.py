@@ -416,7 +416,7 @@ def lag_correlation(spark, d):
     return w.select("user_id", "best.lag", "best.r")
 
 
-IRR = ["n_observations", "n_days", "span_days", "mean", "weighted_mean", "std", "median", "min", "max", "range", "q05", "q25", "q75", "q95", "iqr", "rms", "cv", "initial", "final", "day_of_peak", "fraction_above_median", "fraction_below_q25", "skewness", "excess_kurtosis", "maximum_gap_days", "slope_day", "mean_absolute_velocity", "maximum_growth_velocity", "velocity_variability", "total_variation", "positive_variation", "direction_changes", "lag1_observation_autocorrelation", "observed_auc", "covered_days", "n_contiguous_intervals", "late_minus_early", "acceleration_proxy"]
+IRR = ["n_observations", "n_days", "span_days", "mean", "weighted_mean", "std", "median", "min", "max", "range", "q05", "q25", "q75", "q95", "iqr", "rms", "cv", "initial", "final", "day_of_peak", "fraction_above_median", "fraction_below_q25", "skewness", "excess_kurtosis", "maximum_gap_days", "slope_day", "mean_absolute_velocity", "maximum_growth_velocity", "velocity_variability", "total_variation", "positive_variation", "direction_changes", "lag1_observation_autocorrelation", "observed_auc", "covered_days", "n_contiguous_intervals", "late_minus_early", "acceleration_proxy", "mad", "median_gap_days", "quadratic_curvature"]
 
 
 @query(
@@ -428,7 +428,7 @@ IRR = ["n_observations", "n_days", "span_days", "mean", "weighted_mean", "std",
  (list(v ORDER BY d))[1] AS initial, (list(v ORDER BY d DESC))[1] AS final, (list(t ORDER BY v DESC, t))[1] AS day_of_peak, avg(CASE WHEN v > q50 THEN 1.0 ELSE 0 END) AS fraction_above_median, avg(CASE WHEN v < q25 THEN 1.0 ELSE 0 END) AS fraction_below_q25, CASE WHEN count(*) > 2 AND any_value(sd) > 1e-12 THEN avg(pow((v - m) / sd, 3)) END AS skewness, CASE WHEN count(*) > 2 AND any_value(sd) > 1e-12 THEN avg(pow((v - m) / sd, 4)) - 3 END AS excess_kurtosis,
  max(gap) AS maximum_gap_days, CASE WHEN count(*) >= 2 THEN regr_slope(v, t) END AS slope_day, avg(abs(rate)) AS mean_absolute_velocity, max(rate) AS maximum_growth_velocity, stddev_pop(rate) AS velocity_variability, sum(abs(dy)) AS total_variation, sum(greatest(dy, 0)) FILTER (dy IS NOT NULL) AS positive_variation, CASE WHEN count(*) >= 2 THEN coalesce(sum(turn), 0) END AS direction_changes,
  CASE WHEN count(*) >= 4 AND var_pop(pv) > 0 AND var_pop(v) FILTER (pv IS NOT NULL) > 0 THEN corr(v, pv) END AS lag1_observation_autocorrelation, CASE WHEN count(*) >= 2 THEN coalesce(sum((v + pv) * gap / 2.0) FILTER (gap <= 5), 0) END AS observed_auc, CASE WHEN count(*) >= 2 THEN coalesce(sum(gap) FILTER (gap <= 5), 0) END AS covered_days, CASE WHEN count(*) >= 2 THEN count(*) FILTER (gap <= 5) END AS n_contiguous_intervals,
- CASE WHEN count(*) >= 4 THEN avg(v) FILTER (i > k // 2) - avg(v) FILTER (i <= k // 2) END AS late_minus_early, CASE WHEN count(*) >= 4 THEN avg(rate) FILTER (i - 1 > (k - 1) // 2) - avg(rate) FILTER (i - 1 <= (k - 1) // 2) END AS acceleration_proxy FROM z GROUP BY user_id""",
+ CASE WHEN count(*) >= 4 THEN avg(v) FILTER (i > k // 2) - avg(v) FILTER (i <= k // 2) END AS late_minus_early, CASE WHEN count(*) >= 4 THEN avg(rate) FILTER (i - 1 > (k - 1) // 2) - avg(rate) FILTER (i - 1 <= (k - 1) // 2) END AS acceleration_proxy, median(abs(v - q50)) AS mad, median(gap) AS median_gap_days, CASE WHEN count(*) >= 3 THEN (sum(c * c * v) - sum(c * c) * sum(v) / count(*) - sum(c * c * c) / sum(c * c) * sum(c * v)) / (sum(c * c * c * c) - pow(sum(c * c), 2) / count(*) - pow(sum(c * c * c), 2) / sum(c * c)) END AS quadratic_curvature FROM (SELECT *, t - avg(t) OVER (PARTITION BY user_id) AS c FROM z) z GROUP BY user_id""",
 )
 def irregular_descriptors(spark, d):
     return temporal.irregular(events(spark, d), ["user_id"], "ts", "v", "cloud", 5)
