@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import materialize, ship
+from panelforge.session import fewer, materialize, ship
 
 QUOTE = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
 WROTE = re.compile(r"\b(wrote|writes|schrieb|escribió|a écrit)\s*:\s*$", re.IGNORECASE)
@@ -111,5 +111,5 @@ def conversations(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     ship(table.sparkSession)
     parsed = materialize(messages(table, conv_col, turn_col, role_col, text_col), "messages")
     linked = threads(replies(parsed))
-    out = parsed.join(linked, ["conv_id", "turn"], "left")
+    out = fewer(parsed.join(linked, ["conv_id", "turn"], "left"))
     return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "n_quotes", "own_text")

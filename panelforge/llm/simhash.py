@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.components import components, forest
 from panelforge.llm.windows import mix
-from panelforge.session import materialize, partitions, release, ship
+from panelforge.session import fewer, materialize, partitions, release, ship
 
 SEED = 42
 THRESHOLD = 3
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = materialize(whole, "classes", narrow=True)
     root = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = whole.join(root, "root").select("fp", "component_id")
-    out = rows.join(by_fp, "fp")
+    out = fewer(rows.join(by_fp, "fp"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -316,6 +316,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows without near copies of a row with a smaller id, with all their columns. Rows without an id stay."""
+    """The rows without near copies of a row with a smaller id, with all their columns.
+
+    Rows without an id stay. Of rows with one id and text one stays; other rows that share an id are documents of their own.
+    """
     copies = similar(docs, id_col, text_col, size, similarity).select(F.col("doc_id").alias("copy_"))
-    return docs.join(copies, docs[id_col] == F.col("copy_"), "left_anti")
+    out = docs.join(copies, docs[id_col] == F.col("copy_"), "left_anti")
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice_")).count().where("count > 1").select("twice_")
+    if not twice.limit(1).count():
+        return out
+    again = out.join(twice, out[id_col] == F.col("twice_"), "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(twice, out[id_col] == F.col("twice_"), "left_anti").unionByName(again)

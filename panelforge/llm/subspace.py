@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm import files
 from panelforge.llm.components import components, forest
-from panelforge.session import materialize, partitions, scratch, ship
+from panelforge.session import fewer, materialize, partitions, scratch, ship
 
 BLOCK_DIMS = 16
 TILE_ROWS = 4096
@@ -204,4 +204,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = classes.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     out = rows.where("key is not null").join(classes, "key").select("id", "n_links", "component_id")
     lone = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.unionByName(lone).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return fewer(out.unionByName(lone)).select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -9,10 +9,11 @@ import numpy as np
 
 from panelforge.llm.windows import BYTE_HASH, WordUnits, mix
 
-#: Ends of a piece at which the library might not start anew: white space, control and format characters.
-UNSURE = re.compile(r"[\s\x00-\x20\x7f-\xa0\u180e\u200b\ufeff]")
+#: White space, control and format characters: at such an end of a piece the library might not start anew.
+BAD = r"\s\x00-\x20\x7f-\xa0\u180e\u200b\ufeff"
+SURE = re.compile(rf"[^{BAD}](?:.*[^{BAD}])?", re.DOTALL)
 CHECK_HASH = mix(BYTE_HASH)
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 LEARN_AT_ONCE = 20_000
 LONGEST_PIECE = 200
 GROUP_BYTES = 1 << 20
@@ -35,10 +36,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.spaced = np.zeros(size, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.cuts = bool(self.spaced.any()) and not any(" " in s for s in self.special)
+        self.cuts = bool(self.spaced.any()) and not any(" " in s for s in special)
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # of known pieces, sorted by key
         self.number = np.zeros(0, np.int32)  # their places in the table of ids
         self.flat, self.stop = np.zeros(0, self.type), np.zeros(1, np.int64)
@@ -47,7 +49,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type)
 
     def sure(self, piece: str) -> bool:
-        return bool(piece) and len(piece) <= LONGEST_PIECE and not UNSURE.search(piece[0] + piece[-1]) and not any(s in piece for s in self.special)
+        return len(piece) <= LONGEST_PIECE and SURE.fullmatch(piece) is not None and self.special.search(piece) is None
 
     def learn(self, key: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> None:
         """Adds new pieces; those that can't be cut out are not added."""

@@ -206,7 +206,7 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("path").repartition(4 * partitions(spark)).mapInArrow(read, CHUNKS)
+    return manifest.select("path").repartition(partitions(spark)).mapInArrow(read, CHUNKS)
 
 
 def digests(chunks: DataFrame) -> DataFrame:

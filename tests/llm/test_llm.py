@@ -495,3 +495,28 @@ def test_pipeline(spark):
     assert not any(i in t for i in items for t in texts)
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.select("doc_id").distinct().count() == n
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_tables(spark, tmp_path, empty):
+    """Nulls in every column, empty and blank texts, repeated rows, extra and clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 80), "en" if i % 3 else None, "s", 1) for i in range(20)]
+    rows += [(20, None, None, None, None), (None, prose(rng, 50), "en", "s", 2), (21, "", "en", "s", 0), (22, " \n ", "en", None, 3), (3, rows[3][1], "en", "s", 4), (23, rows[4][1], "en", "s", 5), (24, "123 !!", "en", "s", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumn("extra", F.lit("x")).withColumn("fp", F.lit(None).cast("int"))
+    (df.limit(0) if empty else df).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, rows[5][1]), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.schema.names == df.schema.names
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert docs.count() == len(texts)
+    assert empty or texts[3] == rows[3][1]
+    kept = set(texts)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count()
+    assert packed == len(kept)
+    assert kept == (set() if empty else {*range(20), None} - {5})
