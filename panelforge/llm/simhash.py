@@ -6,6 +6,8 @@ home (covering radius 1), and halves within 1 bit of each other lie within 2 bit
 fingerprint goes to the at most 17 anchors within radius plus threshold, in both halves, and at each anchor the fingerprints at
 home there are compared with all that came. Equal texts collapse to one fingerprint first. An anchor's links leave it as a
 forest, never as all pairs.
+
+The pipeline's near copies are found on shingle sets instead: candidates by prefix filtering, each verified exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components, forest
-from panelforge.llm.windows import mix
 from panelforge.session import fewer, materialize, partitions, release, ship
 
 SEED = 42
@@ -186,11 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide sketches, for similarities at which 64 bits and a distance of 3 would miss most pairs.
-WORDS = 4
-BLOCKS = 12
+#: The near-copy stage: shingle sets at an exact Jaccard similarity.
 BITS = 16
-CUT = {0.8: 43}  # differing bits of 256 at a Jaccard similarity of about 0.76: most pairs at 0.8 differ in fewer
+SAMPLE_DOCS = 10_000  # documents whose shingles tell which are common
+COMMON = 3
 
 
 def anchors16() -> np.ndarray:
@@ -210,104 +210,178 @@ def anchors16() -> np.ndarray:
     return out
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """WORDS fingerprints from WORDS mixings of the same hashes."""
-    out = np.zeros(WORDS, np.int64)
-    for w in range(WORDS):
-        out[w] = fingerprint(hashes if w == 0 else mix(hashes + np.uint64(0x9E3779B97F4A7C15 * w % (1 << 64))))
-    return out
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def class_of(shingles: np.ndarray) -> int:
+    """Signed 64-bit digest of a set: rows with one set are one class."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)).view(np.int64))
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order rare to common, then by hash: sets that are similar enough share one of them."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        count = np.where(common[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(count, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def may_reach(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles whose first common one is at these places can still be similar enough."""
+    return np.minimum(n - place, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+
+def groups_of(batches, cols: list[str]):
+    """Columns of rows sorted by key, in pieces that end where a key ends."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(c).to_numpy() for c in cols])
+        rows += batch.num_rows
+        if rows > 1 << 18:
+            data = [np.concatenate(x) for x in zip(*held, strict=True)]
+            upto = int(np.searchsorted(data[0], data[0][-1]))  # the last key may go on
+            held, rows = [[x[upto:] for x in data]], len(data[0]) - upto
+            if upto:
+                yield [x[:upto] for x in data]
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def verified(pairs: DataFrame, heads: DataFrame, source: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b, similar): pairs of classes compared on the whole shingle sets of their texts. heads: fp and id; source: id and text."""
+    nodes = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = source.join(heads.join(nodes, "fp").select("fp", "id"), "id").select("fp", "text")
+    both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
+
+    def decide(batches):
+        last, left = None, None
+        for batch in batches:
+            a, b, ok = [], [], []
+            for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right")), strict=True):
+                if s != last or left is None:
+                    last, left = s, shingle_set(s, size)
+                right = shingle_set(t, size)
+                if class_of(left) != x or class_of(right) != y:  # another row with the id
+                    continue
+                same = len(np.intersect1d(left, right, assume_unique=True))
+                a.append(x)
+                b.append(y)
+                ok.append(same >= similarity * (len(left) + len(right) - same) - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
+        release()
+
+    return both.select("a", "b", "left", "right").mapInArrow(decide, "a long, b long, similar boolean")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of rows that are near copies of a row with a smaller id: the class id is the least id reachable.
 
-    Sketches of 256 bits are covered by anchors in BLOCKS blocks of 16 bits; a pair at an anchor links if its sketches differ in at
-    most CUT bits. Texts without words are copies of each other. Rows without an id are neither returned nor class ids. An
-    empty table gives an empty result.
+    Two rows are linked if the Jaccard similarity of their shingle sets is at least `similarity`; every link is verified on the
+    whole sets, and no such pair is left out. Rows with one set collapse. Similar sets share a shingle of their prefixes in any
+    one order, here from rare to common ones. Each row at a shingle is first compared with one row there; after the components
+    of those links, rows of different components are compared where places in the order and sizes still allow it. Texts without
+    words are copies of each other. Rows without an id are neither returned nor class ids. An empty table gives an empty result.
     """
     spark = ship(docs.sparkSession)
-    cut = CUT[similarity]
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity is above 0 and at most 1")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+    def sampled(batches):
+        for batch in batches:
+            h = [shingle_set(text, size).view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*h, np.zeros(0, np.int64)]))], names=["h"])
+
+    every = max(1, source.count() // SAMPLE_DOCS)
+    seen = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(sampled, "h long")
+    often = seen.groupBy("h").count().where(F.col("count") >= COMMON).toArrow()
+    hashes = often.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    shared_order = spark.sparkContext.broadcast((hashes[order], often.column("count").to_numpy()[order]))
 
     def take(batches):
+        common, counts = shared_order.value
         for batch in batches:
-            s = np.array([sketch(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s[:, 0].copy()), pa.array([x.tobytes() for x in s], pa.binary())], names=["id", "fp", "sketch"])
+            fp, n, first = [], [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, size)
+                fp.append(class_of(s))
+                n.append(len(s))
+                first.append(prefix(s, common, counts, similarity).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary())], names=["id", "fp", "n", "prefix"])
         release()
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    rows = materialize(source.mapInArrow(take, "id long, fp long, sketch binary"), "sketches")
-    known = rows.groupBy("fp").agg(F.min(F.struct("id", "sketch")).alias("m")).select("fp", "m.id", "m.sketch")
+    rows = materialize(source.mapInArrow(take, "id long, fp long, n long, prefix binary"), "prefixes")
+    known = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")), "sets", narrow=True)
 
     def spread(batches):
-        table, held = anchors16(), []
-
-        def out():
-            data = np.concatenate(held)
-            blocks = data.view(np.uint16).reshape(len(data), -1)[:, :BLOCKS]
-            keys = table[blocks] + (np.arange(BLOCKS) << BITS)[None, :, None]
-            row, block, col = np.nonzero(table[blocks] >= 0)
-            keys = keys[row, block, col]
-            order = np.argsort(keys, kind="stable")
-            edges = np.flatnonzero(np.diff(keys[order])) + 1
-            groups = np.split(order, edges)
-            held.clear()
-            for a in range(0, len(groups), 4096):
-                some = groups[a : a + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[g[0]] for g in some], pa.int64()), pa.array([data[row[g]].tobytes() for g in some], pa.binary())], names=["key", "sketches"])
-
         for batch in batches:
-            if batch.num_rows:
-                held.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS))
-            if sum(map(len, held)) >= 8192:
-                yield from out()
-        if held:
-            yield from out()
-        release()
+            blobs = batch.column("prefix").to_pylist()
+            key, count = np.frombuffer(b"".join(blobs), np.int64), np.array([len(x) // 8 for x in blobs], np.int64)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(batch.column("n").to_numpy(), count) << 32 | place  # the size of the set and the place in its order
+            fp = np.repeat(batch.column("fp").to_numpy(), count)
+            for a in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (key, fp, at)], names=["key", "fp", "at"])
 
     def meet(batches):
-        table, links, size = anchors16()[:, 0], [], 0
-
-        def settle(key: int, blobs: list[bytes]):
-            data = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, WORDS)
-            block, anchor = key >> BITS, key & (1 << BITS) - 1
-            value = data.view(np.uint16).reshape(len(data), -1)[:, block]
-            home = np.flatnonzero(table[value] == anchor)
-            step = max(1, (1 << 20) // len(data))
-            for a in range(0, len(home), step):
-                h = data[home[a : a + step]]
-                i, j = np.nonzero(np.bitwise_count(h[:, :1] ^ data[:, 0]) <= cut // 2)
-                far = np.bitwise_count(h[i] ^ data[j]).sum(axis=1, dtype=np.int64)
-                i, j = i[far <= cut], j[far <= cut]
-                x, y = h[i, 0].view(np.int64), data[j, 0].view(np.int64)
-                differ = x != y
-                if differ.any():
-                    yield forest(x[differ], y[differ])
-
-        def settled(key, blobs):
-            nonlocal size
-            for pair in settle(key, blobs):
-                links.append(pair)
-                size += len(pair[0])
-            if size > PAIRS_AT_ONCE:
-                links[:] = [forest(*(np.concatenate(x) for x in zip(*links, strict=True)))]
-                size = len(links[0][0])
-
-        at, blobs = None, []
-        for batch in batches:
-            for key, blob in zip(batch.column("key").to_pylist(), batch.column("sketches").to_pylist(), strict=True):
-                if key != at:
-                    if blobs:
-                        settled(at, blobs)
-                    at, blobs = key, []
-                blobs.append(blob)
-        if blobs:
-            settled(at, blobs)
-        if links:
-            a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        """Rows of shingles that two classes share, with the class there that has it earliest and whether to compare with it."""
+        for key, fp, at in groups_of(batches, ["key", "fp", "at"]):
+            n, place = at >> 32, at & 0xFFFFFFFF
+            order = np.lexsort((fp, place, key))
+            key, fp, at, n, place = key[order], fp[order], at[order], n[order], place[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(first, len(key)))
+            hub = np.repeat(first, count)
+            near = (fp != fp[hub]) & may_reach(n, place, n[hub], place[hub], similarity)
+            keep = np.repeat(count > 1, count)
+            for a in range(0, int(keep.sum()), 1 << 16):
+                part = np.flatnonzero(keep)[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key, fp, at, fp[hub], near)], names=["key", "fp", "at", "hub", "near"])
+        release()
+
+    def rest(batches):
+        """Pairs at a shingle of classes in different components."""
+        for key, fp, at, label in groups_of(batches, ["key", "fp", "at", "label"]):
+            order = np.lexsort((label, key))
+            key, fp, label, n, place = key[order], fp[order], label[order], at[order] >> 32, at[order] & 0xFFFFFFFF
+            new = np.append(True, key[1:] != key[:-1])
+            group = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+            new = new | np.append(True, label[1:] != label[:-1])
+            after = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+            count = group - after
+            work, a = np.cumsum(count), 0
+            while a < len(key):
+                b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
+                c = count[a:b]
+                i = np.repeat(np.arange(a, b), c)
+                j = np.repeat(after[a:b], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                ok = may_reach(n[i], place[i], n[j], place[j], similarity)
+                x, y = fp[i[ok]], fp[j[ok]]
+                if len(x):
+                    pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0].copy()), pa.array(pair[1].copy())], names=["a", "b"])
+                a = b
+        release()
 
-    met = known.select("sketch").mapInArrow(spread, "key long, sketches binary").repartition(4 * partitions(spark), "key").sortWithinPartitions("key")
-    linked = components(met.mapInArrow(meet, "a long, b long"))
+    heads = rows.join(known, ["fp", "id"], "left_semi").where("n > 0").select("fp", "n", "prefix")
+    met = heads.mapInArrow(spread, "key long, fp long, at long").repartition(4 * partitions(spark), "key").sortWithinPartitions("key")
+    shared = materialize(met.mapInArrow(meet, "key long, fp long, at long, hub long, near boolean"), "shared")
+    tried = shared.where("near").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    tried = materialize(verified(tried, known, source, size, similarity), "compared", narrow=True)
+    links = tried.where("similar").select("a", "b")
+    label = components(links).select(F.col("node").alias("fp"), "component")
+    named = shared.join(label, "fp", "left").select("key", "fp", "at", F.coalesce("component", "fp").alias("label"))
+    left = named.repartition(4 * partitions(spark), "key").sortWithinPartitions("key").mapInArrow(rest, "a long, b long").distinct()
+    more = verified(left.join(tried, ["a", "b"], "left_anti"), known, source, size, similarity).where("similar").select("a", "b")
+    linked = components(links.unionByName(more))
     whole = known.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
     whole = materialize(whole, "classes", narrow=True)
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -338,6 +338,28 @@ def test_near_copies_at_four_fifths(spark):
     assert simhash.representatives(df.limit(0)).count() == 0
 
 
+def test_near_copies_are_verified_exactly(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        w = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(rng.choice((120, 240, 400)))]
+        for _ in range(3):
+            x = w.copy()
+            for at in rng.sample(range(len(x)), max(1, round(len(x) * rng.choice((0.006, 0.009, 0.011, 0.013, 0.016, 0.02))))):
+                x[at] = f"new{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(x)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    least = list(range(len(rows)))
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(4):
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {i: c for i, c in enumerate(least) if i != c}
+    assert 20 < len(want) < 110
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 50), rng.randint(0, 50)) for _ in range(30)] + [(7, 7), (None, 3)] + [(500, i) for i in range(501, 560)]
