@@ -1,12 +1,9 @@
-"""Benchmark decontamination by edit distance: CGK embedding, bit-sampling LSH, exact verification.
+"""Benchmark decontamination by edit distance: a lossless count filter, then exact verification of all it leaves.
 
-Texts are sequences of words. The CGK random walk copies the word under a pointer to the output and moves the pointer by a random
-bit of that word and step, so sequences within few edits agree in most output places. Each of ROUNDS tables keys a window by
-SAMPLED output places of its own walk; windows that share a key with an item are aligned with it exactly (Levenshtein over
-words, the window's ends free). Windows start at every word and are as long as the item.
-
-Before a walk a lossless count filter leaves out places that cannot match: an item of n words within K edits shares at least
-n - q + 1 - K q of its q-grams with its window, so a stretch of n + K words with fewer q-grams of the benchmark holds no match.
+Texts are sequences of words. An item of n words within K edits shares at least n - q + 1 - K q of its q-grams with the place where
+it matches, so a stretch of n + K words with fewer of the item's q-grams holds no match. Every stretch that is left is searched for
+its items by a bit-parallel edit distance (Levenshtein over words, the stretch's ends free), and where that reaches K it is
+aligned. No place is dropped unverified.
 """
 
 from __future__ import annotations
@@ -22,8 +19,6 @@ from panelforge.llm.windows import PRIME, U64, WordUnits, mix
 from panelforge.session import release, ship
 
 SIMILARITY = 0.8
-ROUNDS = 24
-SAMPLED = 2
 BENCHMARK_BYTES = 64 << 20
 PART_ITEMS = 20_000
 BLOCK_WORDS = 1 << 18
@@ -77,91 +72,75 @@ def alignment(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return cost, -row[end][1], end
 
 
+def reaches(masks: dict[int, int], n: int, k: int, text: list[int]) -> bool:
+    """Whether an item of n words matches somewhere in the text within k edits: Myers' bit vectors, masks by word."""
+    full, top = (1 << n) - 1, 1 << n - 1
+    plus, minus, score = full, 0, n
+    for y in text:
+        equal = masks.get(y, 0)
+        x = equal | minus
+        h = (((equal & plus) + plus) ^ plus) | equal
+        up, down = minus | ~(h | plus) & full, plus & h
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+            if score <= k:
+                return True
+        up = up << 1 & full
+        plus, minus = (down << 1 | ~(x | up)) & full, up & x
+    return score <= k
+
+
 class Index:
-    """A bounded part of the benchmark: classes of items by length, the q-grams of each class, and LSH tables over the items' walks."""
+    """A bounded part of the benchmark: the q-grams of each item and its words as bit masks."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float, rounds: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float):
         self.items = [(i, w) for i, w in items if len(w)]
-        self.rounds = rounds
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
-        members: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
-        for at, ((_, w), k) in enumerate(zip(self.items, self.edits, strict=True)):
+        self.q, self.least, self.masks = [], [], []
+        for (_, w), k in zip(self.items, self.edits, strict=True):
             n = len(w)
             q = next(q for q in (3, 2, 1) if n - q + 1 - k * q >= 1 or q == 1)
-            members[(q, n, k, max(1, n - q + 1 - k * q))].append(at)
-        self.classes = sorted(members)
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # q -> sorted (gram, class) pairs and a bitmap
-        for q in {c[0] for c in self.classes}:
-            pairs = sorted({(g, c) for c, key in enumerate(self.classes) if key[0] == q for m in members[key] for g in grams(self.items[m][1], q).tolist()})
+            self.q.append(q)
+            self.least.append(max(1, n - q + 1 - k * q))
+            masks: dict[int, int] = defaultdict(int)
+            for i, x in enumerate(w.tolist()):
+                masks[x] |= 1 << i
+            self.masks.append(dict(masks))
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # q -> sorted (gram, item) pairs and a bitmap
+        for q in set(self.q):
+            pairs = sorted({(g, m) for m, (_, w) in enumerate(self.items) if self.q[m] == q for g in grams(w, q).tolist()})
             known = np.array([g for g, _ in pairs], np.uint64)
             seen = np.zeros(1 << BITMAP, bool)
             seen[known & U64((1 << BITMAP) - 1)] = True
-            self.grams[q] = known, np.array([c for _, c in pairs]), seen
-        rng = np.random.default_rng(20)
-        self.steps = rng.integers(1, 1 << 63, size=(rounds, 4096), dtype=np.uint64) | U64(1)
-        self.sampled = {(n, r): sorted(np.random.default_rng((n, r)).choice(max(SAMPLED, n), SAMPLED, replace=False).tolist()) for n in {c[1] for c in self.classes} for r in range(rounds)}
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for n in {c[1] for c in self.classes}:
-            same = np.array([a for a, (_, w) in enumerate(self.items) if len(w) == n])
-            words = np.concatenate([self.items[a][1] for a in same])
-            for r in range(rounds):
-                keys = self.keys(words, np.arange(len(same)) * n, n, r)
-                order = np.argsort(keys, kind="stable")
-                self.tables[n, r] = keys[order], same[order]
-
-    def keys(self, words: np.ndarray, starts: np.ndarray, n: int, r: int) -> np.ndarray:
-        """LSH keys in table r of the windows of n words at the given places."""
-        wanted = self.sampled[n, r]
-        at, key = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64)
-        for j in range(wanted[-1] + 1):
-            place = starts + np.minimum(at, n - 1)
-            x = words[np.minimum(place, len(words) - 1)]
-            x[(at >= n) | (place >= len(words))] = 0
-            if j in wanted:
-                key = mix(key * U64(PRIME) + x)
-            at += (x * self.steps[r, j % 4096] >> U64(63)).astype(np.int64)
-        return key
-
-    def starts(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """By window length, the places that the count filter leaves."""
-        out: dict[int, list[np.ndarray]] = defaultdict(list)
+            self.grams[q] = known, np.array([m for _, m in pairs]), seen
+
+    def stretches(self, words: np.ndarray):
+        """(item position, first, last): ranges of places where the count filter lets a match of the item start."""
         for q, (known, owner, seen) in self.grams.items():
             g = grams(words, q)
             place = np.flatnonzero(seen[g & U64((1 << BITMAP) - 1)])
             lo, hi = np.searchsorted(known, g[place], "left"), np.searchsorted(known, g[place], "right")
             count = hi - lo
+            if not count.any():
+                continue
             at = np.repeat(place, count)
             c = owner[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
             order = np.argsort(c, kind="stable")
             at, c = at[order], c[order]
-            for one in np.unique(c).tolist():
-                _, n, k, least = self.classes[one]
-                p = at[np.searchsorted(c, one) : np.searchsorted(c, one, "right")]
+            edges = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            for x, y in zip(edges, [*edges[1:], len(c)], strict=True):
+                m, p = int(c[x]), at[x:y]
+                n, k, least = len(self.items[m][1]), self.edits[m], self.least[m]
                 if len(p) < least:
                     continue
                 first, last = p[: len(p) - least + 1], p[least - 1 :]
                 ok = last - first <= n + 2 * k - q
                 low, high = np.maximum(last[ok] - n - k + q, 0), first[ok] + k
                 if len(low):
-                    mark = np.zeros(len(words) + n + 2 * k + 2, np.int32)
-                    np.add.at(mark, low, 1)
-                    np.add.at(mark, high + 1, -1)
-                    out[n].append(np.flatnonzero(np.cumsum(mark)[: len(words)]))
-        return {n: np.unique(np.concatenate(x)) for n, x in out.items()}
-
-    def candidates(self, words: np.ndarray) -> dict[int, set[int]]:
-        """By item position, the places of windows that share a key with it."""
-        found: dict[int, set[int]] = defaultdict(set)
-        for n, starts in self.starts(words).items():
-            for r in range(self.rounds):
-                key = self.keys(words, starts, n, r)
-                table, members = self.tables[n, r]
-                a, b = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
-                hit = b > a
-                for s, x, y in zip(starts[hit].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
-                    for m in members[x:y].tolist():
-                        found[m].add(s)
-        return found
+                    cut = np.flatnonzero(low[1:] - high[:-1] > n)
+                    yield from zip([m] * (len(cut) + 1), low[np.append(0, cut + 1)].tolist(), high[np.append(cut, len(high) - 1)].tolist(), strict=True)
 
     def matches(self, texts: list[np.ndarray]):
         """Yields (text number, item id, first word, words, distance): verified matches, the best of each stretch of a text."""
@@ -169,21 +148,20 @@ class Index:
         if not len(words) or not self.items:
             return
         stop = np.cumsum([len(t) for t in texts])
-        for m, places in sorted(self.candidates(words).items()):
+        at, reached = -1, 0
+        for m, start, final in sorted(self.stretches(words)):
             item_id, item = self.items[m]
             n, k = len(item), self.edits[m]
-            want, reached = item.tolist(), -1
-            starts = np.array(sorted(places))
-            part = np.searchsorted(stop, starts, "right")
-            cut = np.flatnonzero((np.diff(starts) > n) | (np.diff(part) > 0)) + 1
-            for group in np.split(np.arange(len(starts)), cut):
-                d = int(part[group[0]])
+            if m != at:
+                at, want, reached = m, item.tolist(), 0
+            for d in range(*np.searchsorted(stop, [start, min(final, len(words) - 1)], "right") + [0, 1]):
                 low = int(stop[d]) - len(texts[d])
-                a, b = max(low, int(starts[group[0]]) - k), min(int(stop[d]), int(starts[group[-1]]) + n + 2 * k)
+                a, b = max(low, start - k, reached), min(int(stop[d]), final + n + 2 * k)
                 while b - a >= n - k:
                     end_ = min(b, a + 2 * n + 4 * k)  # long stretches in parts that overlap by more than a match
-                    cost, first, end = alignment(want, words[a:end_].tolist())
-                    if cost <= k and a + first >= reached:
+                    text = words[a:end_].tolist()
+                    if reaches(self.masks[m], n, k, text):
+                        cost, first, end = alignment(want, text)
                         yield d, item_id, a + first - low, end - first, cost
                         reached = a + end
                     if end_ == b:
@@ -202,7 +180,7 @@ def parts_of(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: st
     return spark.sparkContext.broadcast([parsed[a : a + PART_ITEMS] for a in range(0, len(parsed), PART_ITEMS)])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Matches of benchmark items in whole texts: doc_id, item_id, first_word, words and distance.
 
     An item matches where at most (1 - similarity) of its n words are edited. The benchmark is read to the driver in parts of
@@ -213,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = parts_of(docs, benchmark, item_col, item_text)
 
     def find(batches):
-        parts = [Index(p, similarity, rounds) for p in shared.value]
+        parts = [Index(p, similarity) for p in shared.value]
         for batch in batches:
             rows = []
             ids, texts = batch.column("id").to_pylist(), [words_of(t) for t in batch.column("text").to_pylist()]
@@ -228,12 +206,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return source.mapInArrow(find, MATCH)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows in which contaminated() finds no item, with all their columns."""
     shared = parts_of(docs, benchmark, item_col, item_text)
 
     def keep(batches):
-        parts = [Index(p, similarity, rounds) for p in shared.value]
+        parts = [Index(p, similarity) for p in shared.value]
         for batch in batches:
             texts = [words_of(t) for t in batch.column(text_col).to_pylist()]
             ok = np.ones(len(texts), bool)

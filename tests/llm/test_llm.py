@@ -233,6 +233,37 @@ def test_op3_leaks(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_op3_finds_edits_wherever_they_are(spark):
+    rng = random.Random(10)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (5, 14, 40, 60, 100) for _ in range(8)]
+    docs = []
+    for item in items:
+        n, k = len(item), len(item) // 5
+        for reach in (n // 2, n):
+            for how in ("delete", "insert", "replace"):
+                w = item.copy()
+                for at in sorted(rng.sample(range(reach), k), reverse=True):
+                    w[at : at + (how != "insert")] = [] if how == "delete" else ["edited"]
+                text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+                cut = rng.randint(0, len(text))
+                docs.append((len(docs), " ".join(text[:cut] + w + text[cut:])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert {(i, i // 6) for i in range(len(docs))} <= got
+    assert decontaminate.clean(df, bench).count() == 0
+
+
+def test_reaches_is_edit_distance():
+    rng = random.Random(2)
+    for _ in range(300):
+        item, text = ([rng.randint(0, 3) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        masks = {x: sum(1 << i for i, y in enumerate(item) if x == y) for x in item}
+        cost = decontaminate.alignment(item, text)[0]
+        assert [decontaminate.reaches(masks, len(item), k, text) for k in range(len(item) + 1)] == [cost <= k for k in range(len(item) + 1)]
+
+
 def test_alignment_is_edit_distance():
     rng = random.Random(1)
 
