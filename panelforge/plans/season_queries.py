@@ -123,7 +123,7 @@ def nested_search(spark, d):
     return learning.choose(scored.withColumn("outer_fold", F.col("i") % 5), ["outer_fold"], candidates, ["k", "alpha", "power"])
 
 
-query("l: i, d: predicted", name="leave_one_out")(lambda s, d: learning.leave_one_out(label_edges(s, d).where("i % 5 = 0"), features(s, d), "id", 12))
+query("l: i, d: predicted", name="leave_one_out")(lambda s, d: learning.leave_one_out(label_edges(s, d), features(s, d), "id", 12))
 query("s: tier method, d: weight", name="convex_stack")(lambda s, d: learning.convex_stack(base(s, d), ["tier"], METHODS, "observed"))
 query("l: k id cluster, d: silhouette", name="kmeans_regimes")(lambda s, d: learning.kmeans_regimes(customers(s, d), "id", ["x1", "x2", "x3"], [2, 3]))
 

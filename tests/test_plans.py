@@ -56,3 +56,11 @@ def test_registry_helpers():
     assert columns_of("l: a b, d: x") == [("a", "l"), ("b", "l"), ("x", "d")]
     sql = "WITH a AS (SELECT 1), b AS (SELECT (2)) SELECT * FROM a"
     assert sql[split_with(sql) :] == "SELECT * FROM a"
+
+
+def test_leave_one_out_predicts_every_row(spark):
+    from panelforge import plans
+
+    rows = plans.QUERIES["leave_one_out"](spark, "/root/testdata/sf0.001").collect()
+    ids = [r["vec_id"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r["i"] for r in rows) == sorted(ids)
