@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BITS = 16
 SAMPLE_DOCS = 10_000  # documents whose shingles tell which are common
 COMMON = 3
+SLOTS = 1 << 22  # of hashed ids, to send few texts to a join
 
 
 def anchors16() -> np.ndarray:
@@ -257,7 +258,20 @@ def groups_of(batches, cols: list[str]):
 def verified(pairs: DataFrame, heads: DataFrame, source: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b, similar): pairs of classes compared on the whole shingle sets of their texts. heads: fp and id; source: id and text."""
     nodes = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    texts = source.join(heads.join(nodes, "fp").select("fp", "id"), "id").select("fp", "text")
+    nodes = materialize(heads.join(nodes, "fp").select("fp", "id"), "nodes", narrow=True)
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+    taken = np.zeros(SLOTS, bool)
+    taken[nodes.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    marks = source.sparkSession.sparkContext.broadcast(np.packbits(taken))
+
+    def perhaps(batches):
+        """Rows whose id may be wanted: the join decides, but few other texts are sent to it."""
+        known = np.unpackbits(marks.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column("slot").to_numpy()])).select(["id", "text"])
+
+    few = source.withColumn("slot", slot).mapInArrow(perhaps, "id long, text string")
+    texts = few.join(nodes, "id").select("fp", "text")
     both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
 
     def decide(batches):
