@@ -12,7 +12,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelforge.llm import windows
 
@@ -96,9 +96,10 @@ class SuffixAutomaton:
 class RepeatedWords(windows.Plan):
     """Flags each word under a W-word window that starts anywhere else."""
 
-    def __init__(self, *args, texts: bool = False, **more):
+    def __init__(self, *args, columns: pa.Schema | None = None, replaced: str = "text", **more):
+        """columns: those of the rows to return instead of the digests, the text (`replaced`) cut."""
         super().__init__(*args, **more)
-        self.texts = texts
+        self.columns, self.replaced = columns, replaced
 
     def weights(self, ids, places):
         return np.array([min(2, len(p)) for p in places], np.int64)
@@ -152,8 +153,8 @@ class RepeatedWords(windows.Plan):
             elif i in said:
                 d, a, _ = where[0]
                 spans[d].extend((a + x, a + y - 1 + W) for x, y in said[i])
-        out = []
-        for doc_id, text, mine, extra in zip(ids, texts, spans, self.extras, strict=True):
+        out, cut = [], []
+        for doc_id, text, null, mine in zip(ids, texts, self.nulls, spans, strict=True):
             words = text.split()
             kept, at, removed = [], 0, []
             for a, b in sorted(mine):
@@ -167,12 +168,19 @@ class RepeatedWords(windows.Plan):
                     at = b
             kept += words[at:]
             body = b" ".join(kept)
-            row = (doc_id, len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), removed)
-            out.append((*row, self.cut(text, removed).decode(), extra.decode()) if self.texts else row)
-        cols = list(zip(*out, strict=True))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string()]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text", "extra"]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names[: len(cols)])
+            out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), removed))
+            if self.columns:
+                cut.append(None if null else self.cut(text, removed).decode())
+        if self.columns:
+            return self.rows(cut)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def rows(self, texts: list[str | None]) -> pa.Table:
+        """The rows as they came but for the text."""
+        others = dict(zip(self.others.type.names, self.others.flatten(), strict=True))
+        return pa.table([(pa.array(texts, pa.string()) if f.name == self.replaced else others[f.name]).cast(f.type) for f in self.columns], schema=self.columns)
 
     @staticmethod
     def cut(text: bytes, removed: list[int]) -> bytes:
@@ -203,12 +211,8 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35) -> DataFrame:
     """The rows with all their columns, repeated passages cut out of the text; a text that loses nothing stays as it is.
 
-    The other columns travel with the text, so nothing is joined. A null text becomes empty.
+    The other columns travel with the text as Arrow data, so nothing is joined or altered. A null text stays null. Rows with
+    one id, or with none, are documents of their own. Columns may have any names and types. An empty table gives an empty result.
     """
     others = [c for c in docs.columns if c != text_col]
-    kinds = docs.select(*others).schema
-    extra = F.to_json(F.struct(*others), {"ignoreNullFields": "false"})
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<long>, kept_text string, extra string"
-    out = windows.run(docs, RepeatedWords, id_col, text_col, length, max(2, length // 4), schema, extra=extra, words=True, texts=True)
-    back = out.select(F.from_json("extra", kinds).alias("x"), "kept_text")
-    return back.select(*(F.col("kept_text").alias(c) if c == text_col else F.col("x").getField(c).alias(c) for c in docs.columns))
+    return windows.run(docs, RepeatedWords, id_col, text_col, length, max(2, length // 4), docs.schema, others=others, words=True, columns=to_arrow_schema(docs.schema), replaced=text_col)

@@ -12,14 +12,18 @@ The pipeline's near copies are found on shingle sets instead: candidates by pref
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components, forest
-from panelforge.session import fewer, materialize, partitions, release, ship
+from panelforge.llm.windows import from_planes, planes
+from panelforge.session import materialize, partitions, release, ship
 
 SEED = 42
 THRESHOLD = 3
@@ -180,37 +184,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = rows.groupBy("fp").agg(F.min("id").alias("least"))
     linked = components(link(known, threshold))
     whole = known.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    whole = materialize(whole, "classes", narrow=True)
+    whole = materialize(whole, "classes")
     root = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = whole.join(root, "root").select("fp", "component_id")
-    out = fewer(rows.join(by_fp, "fp"))
+    out = rows.join(by_fp, "fp")
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: The near-copy stage: shingle sets at an exact Jaccard similarity.
-BITS = 16
-SAMPLE_DOCS = 10_000  # documents whose shingles tell which are common
-COMMON = 3
+FREQUENT = 1 << 20  # shingles whose counts order the prefixes: the most frequent ones of all documents, a broadcast of 16 MB
+KEY_SHIFT = np.uint64(24)  # shingles are counted by the upper 40 bits of their hashes
+COUNTED_AT_ONCE = 1 << 21
 SLOTS = 1 << 22  # of hashed ids, to send few texts to a join
 
 
-def anchors16() -> np.ndarray:
-    """For each 16-bit value its anchors within 2: the home first. Hamming code of length 15, the last bit free."""
-    v = np.arange(1 << BITS)
-    s = np.zeros(len(v), np.int64)
-    for p in range(1, 16):
-        s ^= np.where(v >> (p - 1) & 1, p, 0)
-    out = np.full((len(v), 9), -1, np.int64)
-    out[:, 0] = v ^ np.where(s > 0, 1 << np.maximum(s - 1, 0), 0)
-    for syndrome_ in range(1, 16):
-        pairs = [(a, a ^ syndrome_) for a in range(1, 16) if a < a ^ syndrome_]
-        at = np.flatnonzero(s == syndrome_)
-        for c, (a, b) in enumerate(pairs, 1):
-            out[at, c] = v[at] ^ (1 << (a - 1) | 1 << (b - 1))
-    out[:, 8] = out[:, 0] ^ 1 << 15
-    return out
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
@@ -220,18 +207,73 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)).view(np.int64))
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in the order rare to common, then by hash: sets that are similar enough share one of them."""
+def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order rare to frequent, then by hash: sets that are similar enough share one of them."""
     n = len(shingles)
     if not n:
         return shingles
     count = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        count = np.where(common[at] == shingles, counts[at], 0)
+    if len(frequent):
+        key = shingles >> KEY_SHIFT
+        at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
+        count = np.where(frequent[at] == key, counts[at], 0)
     return shingles[np.argsort(count, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
+def frequent_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, documents) of the shingles that most documents hold, sorted by key: at most FREQUENT, counted over all documents.
+
+    Counts leave a task sorted and as gaps, some 3 bytes a shingle. They decide the order of shingles and so what the search
+    costs; its result is the same under any order.
+    """
+    bins = partitions(source.sparkSession)
+
+    def tally(batches):
+        held, size_ = [], 0
+
+        def flush():
+            key, count = np.unique(np.concatenate(held), return_counts=True)
+            bin_ = (key * np.uint64(bins) >> np.uint64(40)).astype(np.int64)
+            rows = []
+            for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bin_)) + 1):
+                blob = len(part).to_bytes(4, "little") + planes(np.diff(key[part], prepend=np.uint64(0)), count[part])
+                rows.append((int(bin_[part[0]]), zstandard.ZstdCompressor(level=1).compress(blob)))
+            number, payload = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(payload, pa.binary())], names=["bin", "payload"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.append(shingle_set(text, size) >> KEY_SHIFT)
+                size_ += len(held[-1])
+                if size_ >= COUNTED_AT_ONCE:
+                    yield flush()
+                    held, size_ = [], 0
+        if size_:
+            yield flush()
+        release()
+
+    def top(table: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for blob in table.column("payload").to_pylist():
+            blob = zstandard.decompress(blob)
+            gaps, count = from_planes(blob, 4, int.from_bytes(blob[:4], "little"), 2)
+            keys.append(np.cumsum(gaps.view(np.uint64), dtype=np.uint64))
+            counts.append(count)
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, count = key[first], np.add.reduceat(count, first)
+        several = np.flatnonzero(count > 1)
+        several = several[np.argsort(-count[several], kind="stable")[: max(1, FREQUENT // bins)]]
+        return pa.table([pa.array(key[several].astype(np.int64)), pa.array(count[several])], names=["key", "n"])
+
+    found = source.select("text").mapInArrow(tally, "bin int, payload binary").groupBy("bin").applyInArrow(lambda t: top(t), "key long, n long").toArrow()
+    key = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], found.column("n").to_numpy()[order]
+
+
 def may_reach(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m shingles whose first common one is at these places can still be similar enough."""
     return np.minimum(n - place, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-9
@@ -256,9 +298,9 @@ def groups_of(batches, cols: list[str]):
 
 
 def verified(pairs: DataFrame, heads: DataFrame, source: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b, similar): pairs of classes compared on the whole shingle sets of their texts. heads: fp and id; source: id and text."""
+    """(a, b, similar): pairs of classes compared on the whole shingle sets of their texts. heads: fp, id and mark; source: id, mark and text."""
     nodes = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    nodes = materialize(heads.join(nodes, "fp").select("fp", "id"), "nodes", narrow=True)
+    nodes = materialize(heads.join(nodes, "fp").select("fp", "id", "mark"), "nodes")
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
     taken = np.zeros(SLOTS, bool)
     taken[nodes.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
@@ -268,72 +310,60 @@ def verified(pairs: DataFrame, heads: DataFrame, source: DataFrame, size: int, s
         """Rows whose id may be wanted: the join decides, but few other texts are sent to it."""
         known = np.unpackbits(marks.value).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(known[batch.column("slot").to_numpy()])).select(["id", "text"])
+            yield batch.filter(pa.array(known[batch.column("slot").to_numpy()])).select(["id", "mark", "text"])
 
-    few = source.withColumn("slot", slot).mapInArrow(perhaps, "id long, text string")
-    texts = few.join(nodes, "id").select("fp", "text")
+    few = source.withColumn("slot", slot).mapInArrow(perhaps, "id long, mark long, text string")
+    texts = few.join(nodes, ["id", "mark"]).select("fp", "text").dropDuplicates(["fp"])
     both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
 
     def decide(batches):
         last, left = None, None
         for batch in batches:
-            a, b, ok = [], [], []
-            for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right")), strict=True):
+            ok = []
+            for s, t in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 if s != last or left is None:
                     last, left = s, shingle_set(s, size)
                 right = shingle_set(t, size)
-                if class_of(left) != x or class_of(right) != y:  # another row with the id
-                    continue
                 same = len(np.intersect1d(left, right, assume_unique=True))
-                a.append(x)
-                b.append(y)
                 ok.append(same >= similarity * (len(left) + len(right) - same) - 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
         release()
 
     return both.select("a", "b", "left", "right").mapInArrow(decide, "a long, b long, similar boolean")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of rows that are near copies of a row with a smaller id: the class id is the least id reachable.
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, mark, head_id, head_mark) of each row with an id; mark: a hash of its text; head: the least (id, mark) of its group.
 
     Two rows are linked if the Jaccard similarity of their shingle sets is at least `similarity`; every link is verified on the
-    whole sets, and no such pair is left out. Rows with one set collapse. Similar sets share a shingle of their prefixes in any
-    one order, here from rare to common ones. Each row at a shingle is first compared with one row there; after the components
-    of those links, rows of different components are compared where places in the order and sizes still allow it. Texts without
-    words are copies of each other. Rows without an id are neither returned nor class ids. An empty table gives an empty result.
+    whole sets, and no such pair is left out. A group is a component of links. Rows with one set collapse. Similar sets share a
+    shingle of their prefixes in any one order, here from rare to frequent ones. Each set at a shingle is first compared with
+    one set there; after the components of those links, sets of different components are compared where places in the order
+    and sizes still allow it. Texts without words, null or not, are copies of each other. Rows that share an id are documents
+    of their own. An empty table gives an empty result.
     """
     spark = ship(docs.sparkSession)
     if not 0 < similarity <= 1:
         raise ValueError("similarity is above 0 and at most 1")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-
-    def sampled(batches):
-        for batch in batches:
-            h = [shingle_set(text, size).view(np.int64) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*h, np.zeros(0, np.int64)]))], names=["h"])
-
-    every = max(1, source.count() // SAMPLE_DOCS)
-    seen = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(sampled, "h long")
-    often = seen.groupBy("h").count().where(F.col("count") >= COMMON).toArrow()
-    hashes = often.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    shared_order = spark.sparkContext.broadcast((hashes[order], often.column("count").to_numpy()[order]))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text")).where("id is not null")
+    shared_order = spark.sparkContext.broadcast(frequent_shingles(source, size))
 
     def take(batches):
-        common, counts = shared_order.value
+        frequent, counts = shared_order.value
         for batch in batches:
             fp, n, first = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
                 fp.append(class_of(s))
                 n.append(len(s))
-                first.append(prefix(s, common, counts, similarity).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary())], names=["id", "fp", "n", "prefix"])
+                first.append(prefix(s, frequent, counts, similarity).tobytes())
+            names = ["id", "mark", "fp", "n", "prefix"]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary())], names=names)
         release()
 
-    rows = materialize(source.mapInArrow(take, "id long, fp long, n long, prefix binary"), "prefixes")
-    known = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")), "sets", narrow=True)
+    rows = materialize(source.mapInArrow(take, "id long, mark long, fp long, n long, prefix binary"), "prefixes")
+    known = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("x")).select("fp", "x.id", "x.mark"), "sets")
 
     def spread(batches):
         for batch in batches:
@@ -355,9 +385,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             count = np.diff(np.append(first, len(key)))
             hub = np.repeat(first, count)
             near = (fp != fp[hub]) & may_reach(n, place, n[hub], place[hub], similarity)
-            keep = np.repeat(count > 1, count)
-            for a in range(0, int(keep.sum()), 1 << 16):
-                part = np.flatnonzero(keep)[a : a + (1 << 16)]
+            keep = np.flatnonzero(np.repeat(count > 1, count))
+            for a in range(0, len(keep), 1 << 16):
+                part = keep[a : a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key, fp, at, fp[hub], near)], names=["key", "fp", "at", "hub", "near"])
         release()
 
@@ -385,33 +415,46 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 a = b
         release()
 
-    heads = rows.join(known, ["fp", "id"], "left_semi").where("n > 0").select("fp", "n", "prefix")
+    heads = rows.join(known, ["fp", "id", "mark"], "left_semi").where("n > 0").dropDuplicates(["fp"]).select("fp", "n", "prefix")
     met = heads.mapInArrow(spread, "key long, fp long, at long").repartition(4 * partitions(spark), "key").sortWithinPartitions("key")
     shared = materialize(met.mapInArrow(meet, "key long, fp long, at long, hub long, near boolean"), "shared")
     tried = shared.where("near").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
-    tried = materialize(verified(tried, known, source, size, similarity), "compared", narrow=True)
+    tried = materialize(verified(tried, known, source, size, similarity), "compared")
     links = tried.where("similar").select("a", "b")
     label = components(links).select(F.col("node").alias("fp"), "component")
     named = shared.join(label, "fp", "left").select("key", "fp", "at", F.coalesce("component", "fp").alias("label"))
     left = named.repartition(4 * partitions(spark), "key").sortWithinPartitions("key").mapInArrow(rest, "a long, b long").distinct()
-    more = verified(left.join(tried, ["a", "b"], "left_anti"), known, source, size, similarity).where("similar").select("a", "b")
+    left = materialize(left.join(tried, ["a", "b"], "left_anti"), "left")
+    more = verified(left, known, source, size, similarity).where("similar").select("a", "b")
     linked = components(links.unionByName(more))
-    whole = known.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
-    whole = materialize(whole, "classes", narrow=True)
-    least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_fp = whole.join(least, "root").select("fp", "component_id")
-    return rows.select("id", "fp").join(by_fp, "fp").where("id <> component_id").select(F.col("id").alias("doc_id"), "component_id")
+    whole = known.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.struct("id", "mark").alias("own"), F.coalesce("component", "fp").alias("root"))
+    whole = materialize(whole, "classes")
+    least = whole.groupBy("root").agg(F.min("own").alias("head"))
+    by_fp = whole.join(least, "root").select("fp", F.col("head.id").alias("head_id"), F.col("head.mark").alias("head_mark"))
+    return rows.select("id", "mark", "fp").join(by_fp, "fp").drop("fp")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of rows that are near copies of a row with a smaller id, as groups() finds them."""
+    return groups(docs, id_col, text_col, size, similarity).where("id <> head_id").select(F.col("id").alias("doc_id"), F.col("head_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows without near copies of a row with a smaller id, with all their columns.
+    """One row of each group of groups(), that of the least id, with all its columns as they are.
 
-    Rows without an id stay. Of rows with one id and text one stays; other rows that share an id are documents of their own.
+    Rows without an id stay. Rows that share an id are documents of their own, unless their texts are equal too: of such
+    repeated rows one stays, any of them where other columns differ. Columns may have any names and types. An empty table
+    gives an empty result.
     """
-    copies = similar(docs, id_col, text_col, size, similarity).select(F.col("doc_id").alias("copy_"))
-    out = docs.join(copies, docs[id_col] == F.col("copy_"), "left_anti")
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice_")).count().where("count > 1").select("twice_")
-    if not twice.limit(1).count():
-        return out
-    again = out.join(twice, out[id_col] == F.col("twice_"), "left_semi").dropDuplicates([id_col, text_col])
-    return out.join(twice, out[id_col] == F.col("twice_"), "left_anti").unionByName(again)
+    mark, copy_id, copy_mark = (f"_{name}_{uuid.uuid4().hex}" for name in ("mark", "id", "copy"))
+    copies = groups(docs, id_col, text_col, size, similarity).where("id <> head_id or mark <> head_mark")
+    copies = copies.select(F.col("id").alias(copy_id), F.col("mark").alias(copy_mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    own = F.col(id_col).cast("long")
+    out = marked.join(copies, (own == F.col(copy_id)) & (F.col(mark) == F.col(copy_mark)), "left_anti")
+    twice = marked.where(own.isNotNull()).groupBy(own.alias(copy_id), F.col(mark).alias(copy_mark)).count().where("count > 1").select(copy_id, copy_mark)
+    if twice.limit(1).count():
+        same = (own == F.col(copy_id)) & (F.col(mark) == F.col(copy_mark))
+        again = out.join(twice, same, "left_semi").dropDuplicates([id_col, mark])
+        out = out.join(twice, same, "left_anti").unionByName(again)
+    return out.drop(mark)

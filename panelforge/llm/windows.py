@@ -21,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import fewer, partitions, plan_bytes, release, ship
+from panelforge.session import partitions, plan_bytes, release, ship
 
 U64 = np.uint64
 BLOCK = 1 << 19  # units hashed at once; positions within a block fit the low bits of a sort key
@@ -32,6 +32,7 @@ POS_BITS = U64(20)
 POS_MASK = U64((1 << 20) - 1)
 PRIME = 0x9E3779B97F4A7C15 | 1
 SHARD_BYTES = 3 << 20
+BIN_BYTES = 10 << 20  # of the input to a bin
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -224,6 +225,14 @@ def order_of(ids: list, texts: list) -> list[int]:
     return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
 
 
+def stream(column: pa.Array) -> bytes:
+    """A column of any type as an Arrow stream: nothing of it is altered on the way."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([pa.field("x", column.type)])) as out:
+        out.write_batch(pa.record_batch([column], names=["x"]))
+    return sink.getvalue().to_pybytes()
+
+
 def utf8(column: pa.Array) -> list:
     return pa.array(column).cast(pa.large_binary()).to_pylist() if len(column) else []
 
@@ -238,42 +247,50 @@ class Plan:
     def pack(self, batches):
         """Documents dealt to shards in compressed blobs."""
         held: dict[int, list] = {}
-        size = 0
+        size, base, carried = 0, 0, []
 
         def out():
+            others = pa.chunked_array(carried).combine_chunks() if carried else None
             blobs = []
             for rows in held.values():
                 ids = np.array([r[0] or 0 for r in rows], "<i8").tobytes()
-                none = np.array([r[0] is None for r in rows]).tobytes()
-                sizes = np.array([len(x) for r in rows for x in r[1:]], "<u4").tobytes()
-                blobs.append(zstandard.ZstdCompressor(level=3).compress(b"".join([len(rows).to_bytes(4, "little"), ids, none, sizes, *[x for r in rows for x in r[1:]]])))
+                none = np.array([[r[0] is None, r[1] is None] for r in rows]).T.tobytes()
+                sizes = np.array([len(r[1] or b"") for r in rows], "<u4").tobytes()
+                rest = b"" if others is None else stream(others.take(pa.array([r[2] for r in rows])))
+                blobs.append(zstandard.ZstdCompressor(level=3).compress(b"".join([len(rows).to_bytes(4, "little"), ids, none, sizes, *[r[1] or b"" for r in rows], rest])))
             batch = pa.record_batch([pa.array(held, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "payload"])
             held.clear()
+            carried.clear()
             return batch
 
         for batch in batches:
             texts = utf8(batch.column("text"))
-            extras = utf8(batch.column("extra"))
-            for doc_id, text, extra, shard in zip(batch.column("id").to_pylist(), texts, extras, batch.column("shard").to_pylist(), strict=True):
-                held.setdefault(shard, []).append((doc_id, text or b"", extra or b""))
+            if "others" in batch.schema.names:
+                carried.append(batch.column("others"))
+            for at, (doc_id, text, shard) in enumerate(zip(batch.column("id").to_pylist(), texts, batch.column("shard").to_pylist(), strict=True), base):
+                held.setdefault(shard, []).append((doc_id, text, at))
                 size += len(text or b"")
+            base += batch.num_rows
             if size >= 24 << 20:
                 yield out()
-                size = 0
+                size = base = 0
         if held:
             yield out()
         release()
 
     @staticmethod
     def unpack(blob: bytes):
+        """(ids, texts, whether a text is null, the other columns or None) of a blob."""
         blob = zstandard.decompress(blob)
         n = int.from_bytes(blob[:4], "little")
         ids = np.frombuffer(blob, "<i8", n, 4).tolist()
-        none = np.frombuffer(blob, bool, n, 4 + 8 * n)
-        size = np.frombuffer(blob, "<u4", 2 * n, 4 + 9 * n)
-        stop = np.cumsum(size) + 4 + 17 * n
+        none = np.frombuffer(blob, bool, 2 * n, 4 + 8 * n)
+        size = np.frombuffer(blob, "<u4", n, 4 + 10 * n)
+        stop = np.cumsum(size, dtype=np.int64) + 4 + 14 * n
         parts = [blob[e - s : e] for e, s in zip(stop.tolist(), size.tolist(), strict=True)]
-        return [None if x else i for i, x in zip(ids, none, strict=True)], parts[0::2], parts[1::2]
+        end = int(stop[-1]) if n else 4
+        rest = None if end == len(blob) else pa.ipc.open_stream(blob[end:]).read_all().column(0).combine_chunks()
+        return [None if x else i for i, x in zip(ids, none[:n], strict=True)], parts, none[n:].tolist(), rest
 
     # -- 1 --------------------------------------------------------------------------------------------------------
     def announce(self, batches):
@@ -376,12 +393,14 @@ class Plan:
         return contents, anchors, places
 
     def load(self, docs: pa.Table, replies: pa.Table):
-        ids, texts, self.extras = [], [], []
+        ids, texts, nulls, rest = [], [], [], []
         for blob in docs.column("payload").to_pylist():
-            for column, part in zip((ids, texts, self.extras), self.unpack(blob), strict=True):
+            for column, part in zip((ids, texts, nulls), (found := self.unpack(blob)), strict=False):
                 column += part
+            rest.append(found[3])
         order = order_of(ids, texts)
-        ids, texts, self.extras = ([column[i] for i in order] for column in (ids, texts, self.extras))
+        ids, texts, self.nulls = ([column[i] for i in order] for column in (ids, texts, nulls))
+        self.others = pa.chunked_array(rest).combine_chunks().take(pa.array(order)) if rest and rest[0] is not None else None
         kinds, blobs = replies.column("kind").to_pylist(), replies.column("payload").to_pylist()
         hashes = [unpack48(b) for k, b in zip(kinds, blobs, strict=True) if k == 0]
         wanted = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
@@ -436,18 +455,18 @@ def answers(rows: list[tuple[int, bytes]], kind: int) -> pa.Table:
     )
 
 
-def run(docs: DataFrame, plan_type, id_col: str, text_col: str, W: int, k: int, result: str, extra: Column | None = None, **more) -> DataFrame:
-    """The five steps as one lazy plan; `result` is the schema that plan_type.finish returns. `extra`: a string to carry along."""
+def run(docs: DataFrame, plan_type, id_col: str, text_col: str, W: int, k: int, result, others: list[str] | None = None, **more) -> DataFrame:
+    """The five steps as one lazy plan; `result` is the schema that plan_type.finish returns. `others`: columns to carry along."""
     spark = ship(docs.sparkSession)
     size = plan_bytes(docs) or 0
     shards = max(2 * partitions(spark), size // SHARD_BYTES)
-    plan = plan_type(W, k, shards=shards, bins=partitions(spark), **more)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit("") if extra is None else extra).alias("extra"))
+    plan = plan_type(W, k, shards=shards, bins=max(partitions(spark), size // BIN_BYTES), **more)
+    carried = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")] if others else []
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
     source = source.withColumn("shard", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(shards)).cast("int"))
     replies = "shard int, kind int, payload binary"
-    met = source.drop("extra").mapInArrow(plan.announce, "bin int, payload binary").groupBy("bin").applyInArrow(lambda t: plan.meet(t), replies)
+    met = source.select("id", "text", "shard").mapInArrow(plan.announce, "bin int, payload binary").groupBy("bin").applyInArrow(lambda t: plan.meet(t), replies)
     packed = source.mapInArrow(plan.pack, "shard int, payload binary")
     sent = packed.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(lambda d, r: plan.send(d, r), "bin int, shard int, payload binary")
     told = met.unionByName(sent.groupBy("bin").applyInArrow(lambda t: plan.decide(t), replies))
-    done = packed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lambda d, r: plan.finish(d, r), result)
-    return done if more.get("texts") else fewer(done)
+    return packed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(lambda d, r: plan.finish(d, r), result)
