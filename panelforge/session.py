@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,22 +51,24 @@ def ship(spark: SparkSession) -> SparkSession:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, local mode) a temporary folder of this machine is used.
+    Where the setting is absent, local mode (tests) uses a temporary folder of this machine; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='panelforge-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    narrow: a table of few short columns, put in a sixteenth of the shuffle's partitions so that files don't get tiny.
+    The stage's own tasks write; adaptive execution joins partitions that a shuffle left small.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df.coalesce(max(1, partitions(spark) // 16)) if narrow else df).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,11 +76,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """Short rows that came out of partitions sized for long ones, in a quarter of the files."""
-    return df.coalesce(max(1, partitions(df.sparkSession) // 4))
-
-
 def release() -> None:
     """Gives a Python worker's freed memory back: workers live on after a task and share their executor's limit."""
     import ctypes
