@@ -5,15 +5,21 @@ coordinates; the rotated vectors are split into blocks of BLOCK_DIMS and each bl
 By pigeonhole a linked pair is within budget in at least one block, so the union of the blocks' range joins holds every link; it
 is verified with the unrotated vectors in double precision.
 
-Equal vectors collapse first. The distinct ones are dealt to at most MAX_TILES tiles by median splits fitted on a bounded sample,
-written to the shared folder once, and pairs of tiles are joined unless their boxes are apart by more than the budget in every
-block. A tile pair reports link counts and a spanning forest, never pairs.
+Equal vectors collapse first. The distinct ones are dealt to tiles by median splits fitted on a bounded sample (and by a hash where
+the sample tells no more), written to the shared folder once. A task takes one tile with a share of the others, leaving out those
+whose boxes are apart by more than the budget in every block. Within a pair of tiles each block is sorted by one projection, and a
+strip of rows meets only the rows whose projections lie within the square root of the budget. A tile pair reports link counts and a
+spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
+import bisect
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +29,8 @@ from panelforge.session import materialize, partitions, scratch, ship
 
 BLOCK_DIMS = 16
 TILE_ROWS = 4096
-MAX_TILES = 4096
 SAMPLE_ROWS = 20_000
+LEAF_ROWS = 8  # of the sample to a tile at least
 STRIP = 256
 SLACK = 1e-4  # of squared distances in single precision
 
@@ -77,26 +83,39 @@ def apart(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high:
     return np.all([gap[:, s].sum(axis=1) > budget * (s.stop - s.start) / dim + SLACK for s in block_slices(dim)], axis=0)
 
 
-def linked(x: np.ndarray, y: np.ndarray, rotated_x: np.ndarray, rotated_y: np.ndarray, cosine: float):
-    """Yields (rows of x, rows of y) with cosine at least `cosine`, strip by strip."""
+def linked(x: np.ndarray, y: np.ndarray, rotated_x: np.ndarray, rotated_y: np.ndarray, cosine: float, tally: list[int] | None = None):
+    """Yields (rows of x, rows of y) with cosine at least `cosine`, strip by strip; tally[0] counts the compared pairs of blocks."""
     dim, budget = x.shape[1], 2 - 2 * cosine
-    parts = block_slices(dim)
-    squares = [(np.square(rotated_x[:, s]).sum(axis=1), np.square(rotated_y[:, s]).sum(axis=1)) for s in parts]
+    blocks = []
+    for s in block_slices(dim):
+        p, q = rotated_x[:, s], rotated_y[:, s]
+        axis = int(np.argmax(p.var(axis=0) + q.var(axis=0)))
+        order = np.argsort(q[:, axis], kind="stable")
+        share = budget * (s.stop - s.start) / dim + SLACK
+        blocks.append((p, np.square(p).sum(axis=1), p[:, axis], q[order], np.square(q[order]).sum(axis=1), q[order, axis], order, share))
+    rows = np.argsort(blocks[0][2], kind="stable")
     for a in range(0, len(x), STRIP):
-        near = np.zeros((min(STRIP, len(x) - a), len(y)), bool)
-        for s, (p, q) in zip(parts, squares, strict=True):
-            distance = rotated_x[a : a + STRIP, s] @ rotated_y[:, s].T
+        strip = rows[a : a + STRIP]
+        near = np.zeros((len(strip), len(y)), bool)
+        for p, pp, along, q, qq, places, order, share in blocks:
+            reach = np.sqrt(share) + SLACK
+            low, high = np.searchsorted(places, [along[strip].min() - reach, along[strip].max() + reach])
+            if low == high:
+                continue
+            distance = p[strip] @ q[low:high].T
             distance *= -2
-            distance += p[a : a + STRIP, None]
-            distance += q
-            near |= distance <= budget * (s.stop - s.start) / dim + SLACK
+            distance += pp[strip, None]
+            distance += qq[low:high]
+            near[:, order[low:high]] |= distance <= share
+            if tally is not None:
+                tally[0] += distance.size
         i, j = np.nonzero(near)
         if len(i) > near.size // 16:
-            exact = (x[a : a + STRIP] @ y.T)[i, j]
+            exact = (x[strip] @ y.T)[i, j]
         else:
-            exact = np.concatenate([np.einsum("nd,nd->n", x[a + i[b : b + 65536]], y[j[b : b + 65536]]) for b in range(0, len(i), 65536)] or [np.zeros(0)])
+            exact = np.concatenate([np.einsum("nd,nd->n", x[strip[i[b : b + 65536]]], y[j[b : b + 65536]]) for b in range(0, len(i), 65536)] or [np.zeros(0)])
         keep = exact >= cosine
-        yield i[keep] + a, j[keep]
+        yield strip[i[keep]], j[keep]
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -130,8 +149,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for dim, n in by_dim.items():
         few = distinct.where(F.octet_length("key") == dim * kind.itemsize).orderBy(F.xxhash64("key")).limit(SAMPLE_ROWS).select("key").collect()
         x = unit(np.stack([np.frombuffer(r["key"], kind) for r in few])) @ rotation(dim)
-        tiles = min(MAX_TILES, -(-n // TILE_ROWS))
-        splits[dim] = Splits(x, int(np.ceil(np.log2(tiles))) if tiles > 1 else 0)
+        levels = max(0, int(np.ceil(np.log2(min(n / TILE_ROWS, max(1, len(x) / LEAF_ROWS))))))
+        splits[dim] = Splits(x, levels), -(-n // (TILE_ROWS << levels))
     shared = spark.sparkContext.broadcast(splits)
     folder = scratch(spark, "tiles")
 
@@ -143,7 +162,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             for dim in np.unique(size).tolist():
                 at = np.flatnonzero(size == dim)
                 x = unit(np.stack([np.frombuffer(keys[i], kind) for i in at])) @ rotation(dim)
-                out[at] = shared.value[dim].tiles(x)
+                fitted, salts = shared.value[dim]
+                out[at] = fitted.tiles(x) * salts + np.array([zlib.crc32(keys[i]) % salts for i in at])
             yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(out), *(batch.column(c) for c in ("key", "node", "copies"))], names=["dim", "tile", "key", "node", "copies"])
 
     def save(table: pa.Table) -> pa.Table:
@@ -157,14 +177,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     placed = distinct.mapInArrow(place, "dim long, tile long, key binary, node long, copies long")
     saved = placed.groupBy("dim", "tile").applyInArrow(lambda t: save(t), "dim long, tile long, path string, low array<double>, high array<double>")
-    manifest = materialize(saved, "tiles").orderBy("dim", "tile").collect()  # at most MAX_TILES rows a dimension
-    pairs = []
-    for dim in by_dim:
-        own = [r for r in manifest if r["dim"] == dim]
-        low, high = np.array([r["low"] for r in own]), np.array([r["high"] for r in own])
-        for a, r in enumerate(own):
-            far = apart(low[: a + 1], high[: a + 1], low[a], high[a], 2 - 2 * cosine)
-            pairs += [(r["path"], own[b]["path"]) for b in np.flatnonzero(~far)]
+    manifest = materialize(saved, "manifest")
+    count = manifest.count()
+    every = -(-4 * partitions(spark) // max(1, count))  # tasks to a tile, each with a share of the others
+    where = manifest.inputFiles()
+
+    def boxes(dim: int) -> list[tuple]:
+        """(path, least and largest coordinates) of the tiles of one dimension, in a fixed order."""
+        tables = []
+        for path in where:
+            with files.open_random(path) as f:
+                tables.append(pq.read_table(f, columns=["dim", "path", "low", "high"], filters=[("dim", "=", dim)]))
+        table = pa.concat_tables(tables).sort_by("path")
+        return table.column("path").to_pylist(), *(np.array(table.column(c).to_pylist()) for c in ("low", "high"))
 
     def load(path: str):
         with files.open_random(path) as f, np.load(pa.PythonFile(f) if not hasattr(f, "seek") else f) as z:
@@ -172,32 +197,43 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         x = unit(x)
         return x, (x @ rotation(x.shape[1])).astype(np.float32), node, copies
 
+    known: dict[int, tuple] = {}
+
+    def partners(dim: int, path: str, share: int) -> list[str]:
+        """The tiles up to this one that a pair may link to, of one share."""
+        if dim not in known:
+            known[dim] = boxes(dim)
+        paths, low, high = known[dim]
+        a = bisect.bisect_left(paths, path)
+        far = apart(low[: a + 1], high[: a + 1], low[a], high[a], 2 - 2 * cosine)
+        return [paths[b] for b in np.flatnonzero(~far) if b % every == share]
+
     def join(batches):
-        held, tile = None, None
         for batch in batches:
-            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
-                if held != one:
-                    held, tile = one, load(one)
-                x, rx, node, copies = tile
-                y, ry, node_y, copies_y = tile if one == other else load(other)
-                count, count_y, links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
-                for i, j in linked(x, y, rx, ry, cosine):
-                    if one == other:
-                        i, j = i[i < j], j[i < j]
-                    np.add.at(count, i, copies_y[j])
-                    np.add.at(count_y, j, copies[i])
-                    if len(i):
-                        links.append(forest(node[i], node_y[j]))
-                total: dict[int, int] = {}
-                for nodes, counts in ((node, count), (node_y, count_y)):
-                    for k in np.flatnonzero(counts).tolist():
-                        total[int(nodes[k])] = total.get(int(nodes[k]), 0) + int(counts[k])
-                a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True))) if links else (np.zeros(0, np.int64),) * 2
-                ids = np.concatenate([np.fromiter(total, np.int64, len(total)), a])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.fromiter(total.values(), np.int64, len(total)), b])), pa.array(np.arange(len(ids)) >= len(total))], names=["a", "b", "link"])
-
-    units = spark.createDataFrame(pairs, "one string, other string") if pairs else spark.range(0).selectExpr("'' as one", "'' as other")
-    found = materialize(units.repartition(max(1, min(len(pairs), 4 * partitions(spark)))).mapInArrow(join, "a long, b long, link boolean"), "links")
+            for dim, one, share in zip(*(batch.column(c).to_pylist() for c in ("dim", "path", "share")), strict=True):
+                tile = load(one)
+                for other in partners(dim, one, share):
+                    x, rx, node, copies = tile
+                    y, ry, node_y, copies_y = tile if one == other else load(other)
+                    count, count_y, links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
+                    for i, j in linked(x, y, rx, ry, cosine):
+                        if one == other:
+                            i, j = i[i < j], j[i < j]
+                        np.add.at(count, i, copies_y[j])
+                        np.add.at(count_y, j, copies[i])
+                        if len(i):
+                            links.append(forest(node[i], node_y[j]))
+                    total: dict[int, int] = {}
+                    for nodes, counts in ((node, count), (node_y, count_y)):
+                        for k in np.flatnonzero(counts).tolist():
+                            total[int(nodes[k])] = total.get(int(nodes[k]), 0) + int(counts[k])
+                    a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True))) if links else (np.zeros(0, np.int64),) * 2
+                    ids = np.concatenate([np.fromiter(total, np.int64, len(total)), a])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.fromiter(total.values(), np.int64, len(total)), b])), pa.array(np.arange(len(ids)) >= len(total))], names=["a", "b", "link"])
+
+    units = manifest.select("dim", "path", F.explode(F.sequence(F.lit(0), F.lit(every - 1))).alias("share"))
+    units = units.repartition(max(1, min(count * every, 4 * partitions(spark))), F.xxhash64("path", "share"))
+    found = materialize(units.mapInArrow(join, "a long, b long, link boolean"), "links")
     counts = found.where("not link").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
     roots = components(found.where("link").select("a", "b"))
     classes = distinct.join(counts, "node", "left").join(roots, "node", "left")
