@@ -1,8 +1,9 @@
 """WARC archives of pages through chunk tables.
 
 Writing: equal payloads are found on (digest, length) rows alone; each task streams its records into one .warc.gz file, a gzip
-member a record, the payload going through the compressor in chunks. Reading: an archive is a stream of rows (record, chunk
-number, bytes), no chunk over CHUNK bytes, and digests are carried from chunk to chunk, so no record is ever held whole.
+member a record, the payload going through the compressor in chunks. Reading: an archive is a stream of rows (record identifier,
+chunk number, bytes), no chunk over CHUNK bytes; each row carries the bytes and the digest of its record up to and with it, so no
+record is ever held whole and the last chunk of a record tells its digest, whatever the order of rows.
 """
 
 from __future__ import annotations
@@ -19,31 +20,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm import files
-from panelforge.session import partitions, scratch, ship
+from panelforge.session import materialize, partitions, scratch, ship
 
 CHUNK = 256 << 10
 SALTS = 32
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:panelforge:warc")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNKS = "page_id long, record_type string, refers_to long, payload_bytes long, stated_digest string, chunk int, last boolean, data binary"
+TARGETS = 100_000  # repeated payloads whose targets are broadcast (some 10 MB); more are joined
+CHUNKS = (
+    "archive string, record long, record_id string, refers_to_id string, page_id long, record_type string, refers_to long, payload_bytes long, "
+    "stated_digest string, chunk int, last boolean, bytes_so_far long, digest_so_far string, data binary"
+)
 
 
-def record_id(page_id: int | None, extra: str = "") -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}{extra}')}>"
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """The same for rows equal in all three; archive and record number tell such rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id} {digest} {url}')}>"
 
 
 def duplicates(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """pages (id, url, payload) with digest, payload_bytes and refers_to: the largest id of the same payload, null for itself.
+    """pages (id, url, payload) with digest, payload_bytes, refers_to and target_url: the largest id of the same payload, null for itself.
 
-    Only payloads that occur twice come back to the pages; that side is repeated for each salt, so a payload that a third of
-    all pages share is dealt over SALTS tasks.
+    Only payloads that occur twice come back to the pages: broadcast once their number is known to be at most TARGETS, so that
+    payloads stay where they were read. More are joined, that side repeated for each salt, so a payload that a third of all
+    pages share is dealt over SALTS tasks.
     """
     keyed = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    same = keyed.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.max("id").alias("target"), F.count("*").alias("n")).where("n > 1")
-    same = same.select("digest", "payload_bytes", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
-    out = salted.join(same, ["digest", "payload_bytes", "salt"], "left")
-    return out.select("id", "url", "payload", "digest", "payload_bytes", F.when(F.col("id") != F.col("target"), F.col("target")).alias("refers_to"))
+    same = keyed.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.max(F.struct("id", "url")).alias("target"), F.count("*").alias("n")).where("n > 1")
+    same = materialize(same.select("digest", "payload_bytes", F.col("target.id").alias("target"), F.col("target.url").alias("target_url")), "targets")
+    if same.count() <= TARGETS:
+        out = keyed.join(F.broadcast(same), ["digest", "payload_bytes"], "left")
+    else:
+        same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+        out = salted.join(same, ["digest", "payload_bytes", "salt"], "left")
+    other = F.col("id") != F.col("target")
+    return out.select("id", "url", "payload", "digest", "payload_bytes", F.when(other, F.col("target")).alias("refers_to"), F.when(other, F.col("target_url")).alias("target_url"))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, date: datetime.datetime | None = None) -> DataFrame:
@@ -62,14 +74,14 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         url = None if row["url"] is None else "".join(c if c.isprintable() and c != " " else "%20" for c in row["url"])
         fields = [
             ("WARC-Type", "revisit" if revisit else "response"),
-            ("WARC-Record-ID", record_id(row["id"], "" if row["id"] is not None else uuid.uuid4().hex)),
+            ("WARC-Record-ID", record_id(row["id"], row["url"], row["digest"])),
             ("WARC-Date", stamp),
             ("WARC-Target-URI", url),
             ("X-Page-ID", row["id"]),
             ("WARC-Payload-Digest", f"sha1:{digest}"),
             ("X-Payload-Length", row["payload_bytes"]),
             ("WARC-Profile", REVISIT if revisit else None),
-            ("WARC-Refers-To", record_id(row["refers_to"]) if revisit else None),
+            ("WARC-Refers-To", record_id(row["refers_to"], row["target_url"], row["digest"]) if revisit else None),
             ("X-Refers-To-Page-ID", row["refers_to"] if revisit else None),
             ("Content-Type", "application/http; msgtype=response"),
             ("Content-Length", block),
@@ -80,7 +92,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         out, path, n = None, None, 0
         for batch in batches:
             payloads = batch.column("payload").cast(pa.large_binary())
-            rows = batch.select(["id", "url", "digest", "payload_bytes", "refers_to"]).to_pylist()
+            rows = batch.select(["id", "url", "digest", "payload_bytes", "refers_to", "target_url"]).to_pylist()
             for row, payload in zip(rows, payloads, strict=True):
                 if out is None:
                     path = files.fresh(folder, ".warc.gz")
@@ -145,7 +157,7 @@ class Inflated:
 
 def records(uri: str) -> Iterator[tuple]:
     """Chunk rows of an archive, in order; a record without payload has one empty chunk."""
-    stream = Inflated(uri)
+    stream, record = Inflated(uri), -1
 
     def header() -> dict[str, str]:
         out = {}
@@ -173,21 +185,26 @@ def records(uri: str) -> Iterator[tuple]:
                 break
         page, target = warc.get("x-page-id"), warc.get("x-refers-to-page-id")
         digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
-        fixed = (int(page) if page else None, warc["warc-type"], int(target) if target else None, int(warc["x-payload-length"]), digest)
-        number = 0
+        record += 1
+        ids = warc["warc-record-id"], warc.get("warc-refers-to"), int(page) if page else None
+        fixed = (uri, record, *ids, warc["warc-type"], int(target) if target else None, int(warc["x-payload-length"]), digest)
+        number, state, size = 0, hashlib.sha1(), 0
         while True:
             data = stream.take(min(left, CHUNK))
             left -= len(data)
-            yield (*fixed, number, left == 0, data)
+            size += len(data)
+            state.update(data)
+            yield (*fixed, number, left == 0, size, state.hexdigest(), data)
             number += 1
             if not left:
                 break
 
 
 def read_chunks(manifest: DataFrame) -> DataFrame:
-    """The chunk table of all archives of a manifest; the chunks of a record follow each other in one partition."""
+    """The chunk table of all archives of a manifest."""
     spark = ship(manifest.sparkSession)
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.binary()]
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in CHUNKS.split(", ")]
     names = [c.split()[0] for c in CHUNKS.split(", ")]
 
     def read(batches):
@@ -212,30 +229,12 @@ def read_chunks(manifest: DataFrame) -> DataFrame:
 def digests(chunks: DataFrame) -> DataFrame:
     """A row a record from the chunk table: page_id, payload_bytes, payload_digest (SHA-1, hex), record_type, refers_to.
 
-    The digest of a response is computed over its chunks and must equal the one that the archive states; a revisit has
-    the stated digest and length of the payload it repeats.
+    The digest of a response is that of its chunks, as its last one carries it, and must equal the one that the archive states,
+    else the query fails; a revisit has the stated digest and length of the payload it repeats.
     """
-
-    def fold(batches):
-        state, n = None, 0
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if row["record_type"] == "response":
-                    if row["chunk"] == 0:
-                        state, n = hashlib.sha1(), 0
-                    state.update(row["data"])
-                    n += len(row["data"])
-                if row["last"]:
-                    if row["record_type"] == "response" and (state.hexdigest(), n) != (row["stated_digest"], row["payload_bytes"]):
-                        raise ValueError(f"record {row['page_id']} is damaged")
-                    rows.append((row["page_id"], row["payload_bytes"], row["stated_digest"], row["record_type"], row["refers_to"]))
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return chunks.mapInArrow(fold, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    whole = (F.col("record_type") != "response") | ((F.col("digest_so_far") == F.col("stated_digest")) & (F.col("bytes_so_far") == F.col("payload_bytes")))
+    checked = F.when(whole, F.col("stated_digest")).otherwise(F.raise_error(F.concat(F.lit("a damaged record: "), "record_id")))
+    return chunks.where("last").select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
 def store(pages: DataFrame, **columns) -> DataFrame:
