@@ -1,9 +1,9 @@
 """Packing of documents into sequences of bounded length by exact-complement hashing.
 
 Only the histogram of piece lengths (at most `capacity` numbers) goes to the driver. There the plan is made: which lengths
-share a sequence, and how often. The longest remaining length is opened; a hash index of the sums of single, pair and
-triple lengths names combinations that fill its gap exactly, consumed while their counts last; what no exact combination fills
-is packed best-fit. Pieces are then matched to the plan by (length, rank within the length), a table lookup in each task.
+share a sequence, and how often. The longest remaining length is opened; a hash index of the sums of pairs of lengths names the
+combinations of one, two or three that fill its gap exactly (a triple is a length and a pair that fills the rest), consumed while
+their counts last; what no exact combination fills is packed best-fit. Pieces are then matched to the plan by (length, rank within the length), a table lookup in each task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from panelforge.llm import tokens
 from panelforge.session import materialize, partitions, release, ship
 
-TRIPLE_LENGTHS = 160  # lengths that enter the index of triples: those with the most pieces
 SALTS = 1024  # ranks are counted by (length, salt): at most capacity x SALTS counts
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -57,6 +56,7 @@ class Plan:
         self.left = {n: c for n, c in histogram.items() if c > 0}
         if any(n > capacity or n <= 0 for n in self.left):
             raise ValueError("lengths must lie between 1 and the capacity")
+        self.bits = sum(1 << n for n in self.left)  # a bit a length that is there
         self.patterns: list[tuple[tuple[int, ...], int]] = []
         self._exact()
         self._best_fit()
@@ -74,47 +74,60 @@ class Plan:
                 self.left[n] -= times * k
                 if not self.left[n]:
                     del self.left[n]
+                    self.bits ^= 1 << n
         return times
 
-    def _combination(self, gap: int, sums: dict[int, list[tuple[int, ...]]], own: int) -> tuple[int, ...] | None:
-        """Lengths of one, two or three pieces that fill the gap exactly and are there, large pieces first."""
+    def _pair(self, total: int) -> tuple[int, int] | None:
+        """The pair of lengths still there with this sum, the larger part as large as can be."""
         left = self.left
-
-        def there(parts: tuple[int, ...]) -> bool:
-            return all(left.get(n, 0) >= parts.count(n) + (n == own) for n in parts)
-
-        if there((gap,)):
-            return (gap,)
-        pairs = [(n, gap - n) for n in left if n >= gap - n > 0 and there((n, gap - n))]
-        if pairs:
-            return max(pairs)
-        for parts in sums.get(gap, ()):
-            if there(parts):
-                return parts
+        there = self.pairs.get(total, 0) & self.bits
+        while there:
+            b = there.bit_length() - 1
+            if left[b] > 0 and left.get(total - b, 0) > (2 * b == total):
+                return b, total - b
+            there ^= 1 << b
         return None
 
-    def _index(self) -> dict[int, list[tuple[int, ...]]]:
-        """Sums of triples of the most frequent lengths."""
-        common = sorted(sorted(self.left, key=lambda n: (-self.left[n], -n))[:TRIPLE_LENGTHS], reverse=True)
-        sums: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for i, a in enumerate(common):
-            for j in range(i, len(common)):
-                b = common[j]
-                if a + b >= self.capacity:
+    def _combination(self, gap: int, own: int) -> tuple[int, ...] | None:
+        """Lengths of one, two or three pieces that fill the gap exactly beside one of `own` and are there, large pieces first."""
+        left = self.left
+        left[own] -= 1  # counts of 0 stay in the table while a combination is sought
+        try:
+            if left.get(gap, 0) > 0:
+                return (gap,)
+            if pair := self._pair(gap):
+                return pair
+            rest = self.bits & (1 << gap) - 1
+            while rest:
+                a = rest.bit_length() - 1
+                rest ^= 1 << a
+                if 3 * a < gap:  # the largest of three
+                    return None
+                if left[a] <= 0 or not self.pairs.get(gap - a, 0) & self.bits:
                     continue
-                for c in common[j:]:
-                    s = a + b + c
-                    if s < self.capacity and len(sums[s]) < 64:
-                        sums[s].append((a, b, c))
-        return sums
+                left[a] -= 1
+                pair = self._pair(gap - a)
+                left[a] += 1
+                if pair:
+                    return (a, *pair)
+            return None
+        finally:
+            left[own] += 1
+
+    def _index(self) -> dict[int, int]:
+        """Sums of pairs of lengths: for each sum the larger parts, a bit a length."""
+        own = self.bits
+        mirrored = sum(1 << self.capacity - n for n in self.left)  # bit capacity - n for each length n
+        sums = {s: own & (mirrored >> self.capacity - s) & -1 << (s + 1) // 2 for s in range(2, self.capacity)}
+        return {s: parts for s, parts in sums.items() if parts}
 
     def _exact(self) -> None:
-        sums = self._index()
+        self.pairs = self._index()
         for n in sorted(self.left, reverse=True):
             if n == self.capacity:
                 self._take((n,))
             while self.left.get(n):
-                parts = self._combination(self.capacity - n, sums, n)
+                parts = self._combination(self.capacity - n, n)
                 if parts is None or not self._take((n, *parts)):
                     break
 
