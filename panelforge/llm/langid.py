@@ -1,9 +1,10 @@
 """Language identification by compression with zstandard raw-content dictionaries, one per language.
 
 Fitting takes a bounded sample: SAMPLE_DOCS labelled documents a language, those with the smallest hash of their id, an equal
-share of DICTIONARY_BYTES from the head of each (SAMPLE_CHARS at most), lower-cased. Every text is lower-cased too and
-compressed whole, in chunks, once a dictionary; the smallest size names the language. The score is the margin over the next
-language, as a share of that language's size.
+share of the dictionary from the head of each (SAMPLE_CHARS at most), lower-cased. Every text is lower-cased too and
+compressed whole, in chunks, once a dictionary. A chunk's size is what it adds to a piece of the dictionary, since a short text
+alone might not be compressed at all; texts of all lengths are measured alike. The smallest size names the language. The score is
+the margin over the next language, as a share of that language's size.
 """
 
 from __future__ import annotations
@@ -14,16 +15,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.rows import filtered
 from panelforge.session import ship
 
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 96 << 10
-LANGUAGES = 256
+MODEL_BYTES = 24 << 20  # of all dictionaries: beyond 256 languages each has less
 CHUNK = 4 << 10
 LEVEL = 6
 MARGIN = 0.002
-SHORT = 1024  # bytes of a text under which the dictionary's slices vote too: sizes of short texts are coarse
-SLICES = 6
 LEAD = 256
 SAMPLE_CHARS = 2048
 UNKNOWN = "und"
@@ -32,30 +32,25 @@ UNKNOWN = "und"
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary per language from a bounded sample of the rows with text and language.
 
-    The sample is chosen on (id, language) alone; texts are read for the chosen ids only. At most LANGUAGES languages.
+    The sample is chosen on (id, language) alone; texts are read for the chosen ids only. Rows that share an id and a language
+    count once, by the least text. Rows without an id, a text or a language are not learned from; without any there is no
+    dictionary. Extra columns are ignored.
     """
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(F.xxhash64("id"), "id"))
+    rank = F.dense_rank().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))
     salted = labelled.select("id", "lang", F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
-    few = salted.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    few = salted.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("id", "lang", "h").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("id", "lang", "rank")
-    names = chosen.select("lang").distinct().limit(LANGUAGES + 1).collect()
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    picked = labelled.join(F.broadcast(chosen.select("id", "lang", "rank")), ["id", "lang"])
-    # at most SAMPLE_DOCS texts a language, each cut to an equal share of the dictionary
+    size = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    most = min(DICTIONARY_BYTES, MODEL_BYTES // max(1, len(size)))
+    picked = labelled.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "rank").agg(F.min(F.substring("text", 1, min(SAMPLE_CHARS, most))).alias("text"))
     parts: dict[str, list] = {}
-    for r in picked.select("lang", "rank", "id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
-        parts.setdefault(r["lang"], []).append((r["rank"], r["id"], r["text"]))
-    out = {}
-    for lang, found in parts.items():
-        found.sort()
-        each = DICTIONARY_BYTES // len(found)
-        out[lang] = "\n".join(t[:each].lower() for _, _, t in found).encode()[-DICTIONARY_BYTES:]
-    return out
+    for r in picked.collect():  # at most SAMPLE_DOCS texts a language
+        parts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
+    return {lang: "\n".join(t[: max(1, most // size[lang])].lower() for _, t in sorted(found)).encode()[-most:] for lang, found in parts.items()}
 
 
 def coder(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -64,33 +59,18 @@ def coder(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-class Short:
-    """Bytes that a short text adds to a piece of the dictionary: alone it might not be compressed at all."""
-
-    def __init__(self, dictionary: bytes):
-        self.coder, self.lead = coder(dictionary), dictionary[:LEAD]
-        self.base = len(self.coder.compress(self.lead))
-
-    def size(self, data: bytes) -> int:
-        return max(1, len(self.coder.compress(self.lead + data)) - self.base)
-
-
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = [coder(dictionaries[n]) for n in self.names]
-        self.slices = []
-        for n in self.names:
-            d = dictionaries[n]
-            step = max(1, len(d) // SLICES)
-            self.slices.append([Short(d), *(Short(d[a : a + step]) for a in range(0, step * SLICES, step))])
+        self.coders = []
+        for name in self.names:
+            lead, code = dictionaries[name][:LEAD], coder(dictionaries[name])
+            self.coders.append((code, lead, len(code.compress(lead))))
 
     def sizes(self, data: bytes) -> list[int]:
-        """Compressed size of a whole text under each dictionary; what a short text adds, summed over the dictionary and its slices."""
-        if len(data) < SHORT:
-            return [sum(p.size(data) for p in parts) for parts in self.slices]
+        """What a whole text adds to the lead of each dictionary, compressed with it, summed over chunks."""
         chunks = [data[a : a + CHUNK] for a in range(0, len(data), CHUNK)]
-        return [sum(len(c.compress(x)) for x in chunks) for c in self.coders]
+        return [sum(max(1, len(code.compress(lead + x)) - base) for x in chunks) for code, lead, base in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); without a letter: (und, 0)."""
@@ -104,9 +84,6 @@ class Classifier:
         return self.names[order[0]], (second - best) / second
 
 
-_classifiers: dict[int, Classifier] = {}
-
-
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """(id, lang_pred, score, rejected) of each row; rejected: no letter, or a score below `margin`.
 
@@ -115,7 +92,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     table gives an empty result. Only the text is read.
     """
     spark = ship(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(dictionaries)  # at most LANGUAGES x DICTIONARY_BYTES
+    shared = spark.sparkContext.broadcast(dictionaries)  # at most MODEL_BYTES
 
     def classify(batches):
         model = Classifier(shared.value)
@@ -129,14 +106,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows that identify() does not reject, with all their columns."""
+    """The rows that identify() does not reject, with all their columns as they are.
+
+    Null texts, empty ones and those without a letter go; repeated rows are judged alike. An empty table gives an empty result.
+    """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(dictionaries)
 
-    def keep(batches):
+    def judge():
         model = Classifier(shared.value)
-        for batch in batches:
-            found = [model.predict(t) for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array([n != UNKNOWN and s >= margin for n, s in found], pa.bool_()))
+        return lambda texts: [n != UNKNOWN and s >= margin for n, s in map(model.predict, texts)]
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, text_col, judge)
