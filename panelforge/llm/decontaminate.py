@@ -8,6 +8,8 @@ aligned. No place is dropped unverified.
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -15,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.rows import filtered
 from panelforge.llm.windows import PRIME, U64, WordUnits, mix
-from panelforge.session import release, ship
+from panelforge.session import materialize, release, ship
 
 SIMILARITY = 0.8
-BENCHMARK_BYTES = 64 << 20
+BENCHMARK_BYTES = 64 << 20  # of a broadcast part
 PART_ITEMS = 20_000
 BLOCK_WORDS = 1 << 18
 BITMAP = 20
@@ -170,28 +173,55 @@ class Index:
 
 
 def parts_of(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str):
-    """The benchmark as broadcast parts of at most PART_ITEMS items, once its size is known to be within BENCHMARK_BYTES."""
+    """Yields (name, broadcast) of parts of the benchmark of about BENCHMARK_BYTES at most: its size is known before it is read."""
     spark = ship(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    if size > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {BENCHMARK_BYTES} are broadcast")
-    parsed = [(r["item"], words_of(r["text"])) for r in items.orderBy("item", "text").toLocalIterator()]
-    return spark.sparkContext.broadcast([parsed[a : a + PART_ITEMS] for a in range(0, len(parsed), PART_ITEMS)])
+    parts = max(1, -(-size // BENCHMARK_BYTES))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
+        parsed = [(r["item"], words_of(r["text"])) for r in own.orderBy("item", "text").toLocalIterator()]
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([parsed[a : a + PART_ITEMS] for a in range(0, len(parsed), PART_ITEMS)])
+
+
+_indexes: dict[tuple, list[Index]] = {}  # of a Python worker: its tasks share the index of the last part
+
+
+def indexes(name: str, shared, similarity: float) -> list[Index]:
+    if (name, similarity) not in _indexes:
+        _indexes.clear()
+        _indexes[name, similarity] = [Index(p, similarity) for p in shared.value]
+    return _indexes[name, similarity]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Matches of benchmark items in whole texts: doc_id, item_id, first_word, words and distance.
 
-    An item matches where at most (1 - similarity) of its n words are edited. The benchmark is read to the driver in parts of
-    PART_ITEMS items and must not exceed BENCHMARK_BYTES; the documents stream by. Items without a word, null texts and
+    An item matches where at most (1 - similarity) of its n words are edited. The benchmark is broadcast and the documents stream
+    by; one of more than BENCHMARK_BYTES is dealt to parts by a hash, the documents stream by once a part, and what is found in a
+    part is written before the next. Items without a word, null texts and
     null items match nothing. Rows with one id, or with none, are documents of their own, and of items with one id each
     reports its own matches. Extra columns are ignored. Empty tables give an empty result.
     """
-    shared = parts_of(docs, benchmark, item_col, item_text)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return over_parts(source, parts_of(docs, benchmark, item_col, item_text), lambda name, shared: finder(name, shared, similarity), MATCH)
 
+
+def over_parts(source: DataFrame, parts, worker, schema: str) -> DataFrame:
+    """The union of what a worker finds for each part: lazy for a single one, else written part by part."""
+    out, first = None, next(parts)
+    for name, shared in parts:
+        if out is None:
+            out = materialize(source.mapInArrow(worker(*first), schema), "matches")
+            first[1].unpersist()
+        out = out.unionByName(materialize(source.mapInArrow(worker(name, shared), schema), "matches"))
+        shared.unpersist()
+    return source.mapInArrow(worker(*first), schema) if out is None else out
+
+
+def finder(name: str, shared, similarity: float):
     def find(batches):
-        parts = [Index(p, similarity) for p in shared.value]
+        parts = indexes(name, shared, similarity)
         for batch in batches:
             rows = []
             ids, texts = batch.column("id").to_pylist(), [words_of(t) for t in batch.column("text").to_pylist()]
@@ -202,23 +232,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 ids, item, first, n, cost = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(cost, pa.int32())], names=["doc_id", "item_id", "first_word", "words", "distance"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(find, MATCH)
+        release()
 
+    return find
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows in which contaminated() finds no item, with all their columns."""
-    shared = parts_of(docs, benchmark, item_col, item_text)
 
-    def keep(batches):
-        parts = [Index(p, similarity) for p in shared.value]
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column(text_col).to_pylist()]
-            ok = np.ones(len(texts), bool)
-            for a, b in blocks([len(t) for t in texts]):
-                for index in parts:
-                    ok[[a + d for d, *_ in index.matches(texts[a:b])]] = False
-            yield batch.filter(pa.array(ok))
-        release()
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows in which contaminated() finds no item, with all their columns as they are.
 
-    return docs.mapInArrow(keep, docs.schema)
+    Null and empty texts stay, repeated rows are judged alike, an empty benchmark keeps every row and an empty table gives an
+    empty result. A benchmark of several parts leaves hashes of the texts it is found in, which are then joined.
+    """
+    parts = parts_of(docs, benchmark, item_col, item_text)
+    first, second = next(parts), next(parts, None)
+
+    def dirty(index: list[Index], texts: list) -> np.ndarray:
+        texts = [words_of(t) for t in texts]
+        found = np.zeros(len(texts), bool)
+        for a, b in blocks([len(t) for t in texts]):
+            for part in index:
+                found[[a + d for d, *_ in part.matches(texts[a:b])]] = True
+        return found
+
+    if second is None:
+
+        def judge():
+            index = indexes(*first, similarity)
+            return lambda texts: ~dirty(index, texts)
+
+        return filtered(docs, text_col, judge)
+
+    def marker(name: str, shared):
+        def take(batches):
+            index = indexes(name, shared, similarity)
+            for batch in batches:
+                yield batch.filter(pa.array(dirty(index, batch.column("text").to_pylist()))).select(["mark", "size"])
+            release()
+
+        return take
+
+    text = F.col(text_col).cast("string")
+    source = docs.select(text.alias("text"), F.xxhash64(text).alias("mark"), F.octet_length(text).alias("size"))
+    mark, size = (f"_{x}_{uuid.uuid4().hex}" for x in ("mark", "size"))
+    found = over_parts(source, itertools.chain([first, second], parts), marker, "mark long, size int").distinct().toDF(mark, size)
+    return docs.join(found, (F.xxhash64(text) == F.col(mark)) & (F.octet_length(text) == F.col(size)), "left_anti")
