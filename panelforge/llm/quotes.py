@@ -2,8 +2,8 @@
 
 A line's level is the number of leading `>` (spaces between are allowed). A passage is a run of non-blank lines of one level;
 normalised, it has single spaces and no case. Each message offers its own passages and lines (level 0) and its whole own text. A
-quoted passage, or a line of one, is linked, within its conversation, to the earliest message that offers it, if that came before. The reply goes to the
-message of the passage with the least level; the latest of several.
+quoted passage, or a line of one, is linked, within its conversation, to the nearest earlier message that offers it. The reply goes
+to the message of the quote with the least level; there a whole passage goes before a line, and the latest message before others.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.session import materialize, ship
@@ -57,7 +57,7 @@ def digest(text: str) -> bytes:
 
 
 def messages(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """conv_id, turn, role, own_text, n_quotes, and passages (level, digest)."""
+    """conv_id, turn, role, own_text, n_quotes, and passages (level, whether a whole one, digest)."""
 
     def read(batches):
         for batch in batches:
@@ -66,25 +66,42 @@ def messages(conversations: DataFrame, conv_col: str, turn_col: str, role_col: s
                 body, passages = parse(text)
                 own.append(body)
                 quotes.append(sum(n > 0 for n, _ in passages))
-                keys = {(n, digest(normal(part))) for n, p in passages for part in (p, *p.split("\n"))}
+                keys = {(n, part is p, digest(normal(part))) for n, p in passages for part in (p, *(p.split("\n") if "\n" in p else ()))}
                 if body:
-                    keys.add((0, digest(normal(body))))
-                found.append([{"level": n, "key": k} for n, k in sorted(keys)])
-            kind = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.binary())]))
+                    keys.add((0, True, digest(normal(body))))
+                found.append([{"level": n, "whole": w, "key": k} for n, w, k in sorted(keys)])
+            kind = pa.list_(pa.struct([("level", pa.int32()), ("whole", pa.bool_()), ("key", pa.binary())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), pa.array(own, pa.string()), pa.array(quotes, pa.int64()), pa.array(found, kind)], names=["conv_id", "turn", "role", "own_text", "n_quotes", "passages"])
 
     named = {"conv_id": (conv_col, "long"), "turn": (turn_col, "long"), "role": (role_col, "string"), "text": (text_col, "string")}
     source = conversations.select(*(F.col(c).cast(t).alias(n) for n, (c, t) in named.items()))
-    return source.mapInArrow(read, "conv_id long, turn long, role string, own_text string, n_quotes long, passages array<struct<level:int,key:binary>>")
+    return source.mapInArrow(read, "conv_id long, turn long, role string, own_text string, n_quotes long, passages array<struct<level:int,whole:boolean,key:binary>>")
+
+
+def nearest(asked: DataFrame, offered: DataFrame, span: int = 4096) -> DataFrame:
+    """asked (conv_id, key, turn, ...) with origin: the last turn before it at which the key is offered, or null.
+
+    Both sides are dealt by blocks of `span` turns, so a key that very many messages of one conversation share is not one
+    task's; what earlier blocks offer comes from one row a block.
+    """
+    deal = lambda df: df.withColumn("block", F.shiftright("turn", span.bit_length() - 1))
+    both = deal(asked).withColumn("offer", F.lit(None).cast("long")).unionByName(deal(offered).withColumn("offer", F.col("turn")), allowMissingColumns=True)
+    earlier = Window.partitionBy("conv_id", "key", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    within = both.withColumn("inner", F.max("offer").over(earlier)).where("offer is null")
+    last = deal(offered).groupBy("conv_id", "key", "block").agg(F.max("turn").alias("outer"))
+    blocks = deal(asked).select("conv_id", "key", "block").unionByName(last.select("conv_id", "key", "block")).distinct().join(last, ["conv_id", "key", "block"], "left")
+    before = Window.partitionBy("conv_id", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("outer", F.max("outer").over(before))
+    return within.join(blocks, ["conv_id", "key", "block"]).withColumn("origin", F.coalesce("inner", "outer")).drop("block", "offer", "inner", "outer")
 
 
 def replies(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to): links by passage. Only passages that someone quotes are looked up, an aggregate a key."""
-    flat = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.key")
-    quoted = flat.where("level > 0")
-    first = flat.where("level = 0").groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
-    met = quoted.join(first, ["conv_id", "key"]).where("origin < turn")
-    return met.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "origin")).alias("reply_to"))
+    """(conv_id, turn, reply_to): links by passage. Only passages that someone quotes are looked up."""
+    flat = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.whole", "p.key")
+    quoted = flat.where("level > 0").distinct()
+    offered = flat.where("level = 0").select("conv_id", "key", "turn").distinct().join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
+    met = nearest(quoted, offered).where("origin is not null")
+    return met.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "whole", "origin")).alias("reply_to"))
 
 
 def threads(links: DataFrame) -> DataFrame:
