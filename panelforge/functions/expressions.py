@@ -101,6 +101,12 @@ def slug(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(unaccent(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def stable_hash(*parts) -> Column:
+    """A number of 60 bits from the parts' text, by MD5: the same in any engine and run."""
+    text = F.concat_ws(":", *((F.lit(p) if isinstance(p, int) else col(p)).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def label(c: Column | str) -> Column:
     """No accents, lower case, single spaces."""
     return F.trim(F.regexp_replace(F.lower(unaccent(c)), r"\s+", " "))

@@ -6,9 +6,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import materialize
+
 
 def group_means(train: DataFrame, query: DataFrame, group: str, target: str, name: str = "predicted") -> DataFrame:
     """Mean of the group, else of all training rows."""
@@ -36,12 +39,12 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return filled.withColumns({c: F.when(F.lit(row[f"s_{c}"]) > 0, (F.col(c) - row[f"m_{c}"]) / row[f"s_{c}"]).otherwise(F.lit(0.0)) for c in columns})
 
 
-def ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, q: np.ndarray, alpha: float) -> float:
-    """Weighted ridge with an unpenalised intercept, evaluated at q; the weights count as they are."""
+def ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, q: np.ndarray, alpha: float):
+    """Weighted ridge with an unpenalised intercept, evaluated at q (a point or several); the weights count as they are."""
     mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
     xc, yc = x - mx, y - my
     beta = np.linalg.solve((xc * w[:, None]).T @ xc + alpha * np.eye(x.shape[1]), (xc * w[:, None]).T @ yc)
-    return float(my + (q - mx) @ beta)
+    return my + (q - mx) @ beta
 
 
 def local_ridge(x: np.ndarray, y: np.ndarray, d: np.ndarray, q: np.ndarray, alpha: float = 30.0, power: float = 1.0) -> float:
@@ -66,7 +69,7 @@ def huber_ridge(x, y, d, q, alpha: float = 30.0, power: float = 1.0, delta: floa
     x, y, base = x[ok], y[ok], 1.0 / (d[ok] + 1e-6) ** power
     w = base / base.mean()
     for _ in range(rounds):
-        fit = np.array([ridge(x, y, w, r, alpha) for r in x])
+        fit = ridge(x, y, w, x, alpha)
         e = y - fit
         scale = 1.4826 * np.median(np.abs(e - np.median(e)))
         if scale <= 1e-12:
@@ -98,45 +101,185 @@ def elastic_net(x, y, d, q, alpha: float = 0.1, power: float = 1.0, mix: float =
     return float(my + (q - mx) @ beta)
 
 
+def arm_ridge(x, y, d, q, alpha: float = 30.0, power: float = 1.0, arm: str = "normalized") -> float:
+    """Local ridge with weights that sum to the number of neighbours, in one of four arms.
+
+    normalized: as it is. adaptive: the penalty grows by k over the effective number of neighbours. shrunk: as adaptive, the
+    prediction drawn to the local mean as the weights concentrate. robust: three reweightings by the residuals.
+    """
+    ok = np.isfinite(d) & np.isfinite(y)
+    if ok.sum() < 3:
+        return float(y[ok].mean()) if ok.any() else float("nan")
+    x, y, raw = x[ok], y[ok], 1.0 / (d[ok] + 1e-6) ** power
+    k = len(y)
+    w, effective = raw * k / raw.sum(), raw.sum() ** 2 / (raw @ raw)
+    if arm == "robust":
+        base = w
+        for _ in range(3):
+            e = y - ridge(x, y, w, x, alpha)
+            scale = max(1.4826 * np.median(np.abs(e - np.median(e))), 0.15 * y.std(), 1e-6)
+            w = base * np.minimum(1.0, 1.35 * scale / np.maximum(np.abs(e), 1e-12))
+            w = w * k / w.sum()
+    out = float(ridge(x, y, w, q, alpha * k / effective if arm in ("adaptive", "shrunk") else alpha))
+    share = min(1.0, effective / k) if arm == "shrunk" else 1.0
+    return share * out + (1 - share) * float(np.average(y, weights=w))
+
+
+def gather(neighbours: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A row for each (by, i): its neighbours' d, y and x (flat) nearest first, and its own q. The groups have at most k rows."""
+    cell = F.struct(F.col("d").isNull().alias("u"), "d", "j", F.col("y").cast("double").alias("y"), "x")
+    rows = neighbours.groupBy(*by, "i").agg(F.array_sort(F.collect_list(cell)).alias("c_"), F.first("q").alias("q"))
+    return rows.select(*by, "i", F.col("c_.d").alias("d"), F.col("c_.y").alias("y"), F.flatten("c_.x").alias("x"), "q")
+
+
+def solved(batch: pa.RecordBatch, solve: Callable[..., float]):
+    """Yields solve(x, y, d, q) of each row of a batch of gather()."""
+    parts = {}
+    for c in ("d", "y", "x", "q"):
+        column = batch.column(c)
+        parts[c] = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(float)
+    for n in range(batch.num_rows):
+        d, y, x, q = (values[at[n] : at[n + 1]] for at, values in parts.values())
+        yield solve(x.reshape(len(d), -1), y, d, q)
+
+
 def predict_local(neighbours: DataFrame, by: Sequence[str], solve: Callable = local_ridge, **options) -> DataFrame:
-    """One solve per (by, i) over rows (x: features of j, y, d, q: features of i); the groups have at most k rows."""
+    """One solve per (by, i) over rows (x: features of j, y, d, q: features of i), many of them in a batch."""
     keys = [*by, "i"]
+    rows = gather(neighbours, by)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["d", "j"])
-        value = solve(np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float), rows["d"].to_numpy(float), np.asarray(rows["q"].iloc[0], float), **options)
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "predicted": [value]})
+    def predict(batches):
+        for batch in batches:
+            found = pa.array(list(solved(batch, lambda *a: solve(*a, **options))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), found], names=[*keys, "predicted"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in neighbours.schema}
-    return neighbours.groupBy(*keys).applyInPandas(one, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "predicted double"]))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(predict, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "predicted double"]))
 
 
 def laplacian(edges: DataFrame, labels: DataFrame, by: Sequence[str], key: str, target: str, penalty: float = 2.0, limit: int = 5000) -> DataFrame:
-    """Graph-Laplacian regression (M + penalty L + 1e-8 I) f = M (y - mean), one dense solve a group of at most `limit` nodes.
+    """Graph-Laplacian regression (M + penalty L + 1e-8 I) f = M (y - mean) of each group.
+
+    edges: by, i, j, w both ways; labels: by, key and the target, NULL where it is to be predicted. Groups of at most `limit`
+    nodes are dense solves, a group a task; larger ones share conjugate gradients over the edge table.
+    """
+    sizes = labels.groupBy(*by).agg(F.count("*").alias("size_"))
+    large = sizes.where(F.col("size_") > limit).drop("size_")
+    if not large.limit(1).count():
+        return dense_laplacian(edges, labels, by, key, target, penalty)
+    part = lambda df, how: df.join(large, list(by), how)
+    small = dense_laplacian(part(edges, "left_anti"), part(labels, "left_anti"), by, key, target, penalty)
+    return small.unionByName(sparse_laplacian(part(edges, "left_semi"), part(labels, "left_semi"), by, key, target, penalty))
+
 
-    edges: by, i, j, w both ways; labels: by, key and the target, NULL where it is to be predicted.
+def sparse_laplacian(edges: DataFrame, labels: DataFrame, by: Sequence[str], key: str, target: str, penalty: float, tolerance: float = 1e-11, rounds: int = 500) -> DataFrame:
+    """laplacian() by conjugate gradients with the diagonal as preconditioner: a round is one join of the edges with the state.
+
+    The state has a row a node and is written to the shared folder each round; the scalars of a group are sums over it.
     """
+    keys, node = list(by), [*by, key]
+    edges = edges.select(*keys, "i", "j", "w").join(labels.select(*keys, F.col(key).alias("i")), [*keys, "i"], "left_semi").join(labels.select(*keys, F.col(key).alias("j")), [*keys, "j"], "left_semi")
+    edges = materialize(edges, "edges")
+    degree = edges.groupBy(*keys, F.col("i").alias(key)).agg(F.sum("w").alias("deg"))
+    means = labels.groupBy(*keys).agg(F.avg(target).alias("mean"))
+    state = labels.select(*node, target).join(degree, node, "left").join(means, keys)
+    known = F.col(target).isNotNull()
+    state = state.withColumn("deg", F.coalesce("deg", F.lit(0.0))).withColumn("known", known.cast("double")).withColumn("diag", F.col("known") + penalty * F.col("deg") + 1e-8)
+    state = state.select(*node, "mean", "known", "deg", "diag", F.lit(0.0).alias("f"), F.coalesce(F.col(target) - F.col("mean"), F.lit(0.0)).alias("r"))
+    state = materialize(state.withColumn("p", F.col("r") / F.col("diag")), "state")
+    first = state.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("first_"))
+    for _ in range(rounds):
+        pulled = edges.join(state.select(*keys, F.col(key).alias("j"), F.col("p").alias("pj")), [*keys, "j"]).groupBy(*keys, F.col("i").alias(key)).agg(F.sum(F.col("w") * F.col("pj")).alias("pull"))
+        image = F.col("diag") * F.col("p") - penalty * F.coalesce("pull", F.lit(0.0))
+        step = materialize(state.join(pulled, node, "left").withColumn("image", image).drop("pull"), "step")
+        sums = step.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("rz"), F.sum(F.col("p") * F.col("image")).alias("pq"))
+        a = F.when(F.col("pq") > 0, F.col("rz") / F.col("pq")).otherwise(F.lit(0.0))
+        moved = step.join(sums, keys).withColumn("f", F.col("f") + a * F.col("p")).withColumn("r", F.col("r") - a * F.col("image"))
+        new = moved.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("new_"))
+        turned = moved.join(new, keys).withColumn("p", F.col("r") / F.col("diag") + F.when(F.col("rz") > 0, F.col("new_") / F.col("rz")).otherwise(F.lit(0.0)) * F.col("p"))
+        state = materialize(turned.select(*node, "mean", "known", "deg", "diag", "f", "r", "p"), "state")
+        left = state.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("left_")).join(first, keys)
+        if not left.where(F.col("left_") > tolerance**2 * F.col("first_")).limit(1).count():
+            break
+    return state.select(*node, (F.col("mean") + F.col("f")).alias("predicted"))
+
+
+def dense_laplacian(edges: DataFrame, labels: DataFrame, by: Sequence[str], key: str, target: str, penalty: float) -> DataFrame:
+    """laplacian() of groups that fit a task."""
     keys = list(by)
 
     def solve(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if len(v) > limit:
-            raise ValueError(f"a group has {len(v)} nodes; the dense solve takes {limit}")
         v = v.sort_values(key)
-        at = {k: n for n, k in enumerate(v[key])}
+        nodes = v[key].to_numpy()
+        i, j = (np.minimum(np.searchsorted(nodes, e[c].to_numpy()), len(nodes) - 1) for c in ("i", "j"))
+        inside = (nodes[i] == e["i"].to_numpy()) & (nodes[j] == e["j"].to_numpy())
         w = np.zeros((len(v), len(v)))
-        for i, j, x in zip(e["i"], e["j"], e["w"], strict=True):
-            if i in at and j in at:
-                w[at[i], at[j]] = x
+        w[i[inside], j[inside]] = e["w"].to_numpy(float)[inside]
         y = v[target].to_numpy(float)
         known = np.isfinite(y)
         mean = y[known].mean() if known.any() else float("nan")
         a = np.diag(known.astype(float)) + penalty * (np.diag(w.sum(axis=1)) - w) + 1e-8 * np.eye(len(v))
         f = mean + np.linalg.solve(a, np.where(known, y - mean, 0.0))
-        return pd.DataFrame({**{k: [v[k].iloc[0]] * len(v) for k in keys}, key: v[key].to_numpy(), "predicted": f})
+        return pd.DataFrame({**{k: [v[k].iloc[0]] * len(v) for k in keys}, key: nodes, "predicted": f})
 
     kinds = {f.name: f.dataType.simpleString() for f in labels.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{key} {kinds[key]}", "predicted double"])
-    return edges.groupBy(*keys).cogroup(labels.groupBy(*keys)).applyInPandas(solve, schema)
+    return edges.groupBy(*keys).cogroup(labels.groupBy(*keys)).applyInPandas(lambda e, v: solve(e, v) if len(v) else v[[*keys, key]].assign(predicted=0.0), schema)
+
+
+def linear(columns: Sequence[str], means: Sequence[float], beta: Sequence[float], intercept: float):
+    """intercept + sum of beta (column - mean) as an expression."""
+    return sum(((F.col(c) - F.lit(float(m))) * F.lit(float(b)) for c, m, b in zip(columns, means, beta, strict=True)), F.lit(float(intercept)))
+
+
+def global_ridge(df: DataFrame, columns: Sequence[str], target: str, alpha: float, name: str = "predicted") -> DataFrame:
+    """Ridge with a free intercept from the rows with a target, for all rows; only the cross products go to the driver."""
+    from panelforge.operators.stats import gram
+
+    n, m, c = gram(df.where(F.col(target).isNotNull()), [*columns, target])
+    k = len(columns)
+    beta = np.linalg.solve(n * c[:k, :k] + alpha * np.eye(k), n * c[:k, k]) if n else np.zeros(k)
+    return df.withColumn(name, linear(columns, m[:k], beta, m[k]))
+
+
+def pls_weights(c: np.ndarray, components: int) -> np.ndarray:
+    """Coefficients of partial least squares of the last column on the others, from their covariances, by deflation."""
+    k = len(c) - 1
+    s, x = c[:k, k].copy(), c[:k, :k].copy()
+    w_all, p_all, q_all = [], [], []
+    for _ in range(min(components, k)):
+        size = np.linalg.norm(s)
+        if size <= 1e-14:
+            break
+        w = s / size
+        t = w @ x @ w
+        p, q = x @ w / t, s @ w / t
+        s, x = s - t * q * p, x - t * np.outer(p, p)
+        w_all, p_all, q_all = [*w_all, w], [*p_all, p], [*q_all, q]
+    if not w_all:
+        return np.zeros(k)
+    w, p = np.array(w_all).T, np.array(p_all).T
+    return w @ np.linalg.solve(p.T @ w, np.array(q_all))
+
+
+def global_pls(df: DataFrame, columns: Sequence[str], target: str, components: int, name: str = "predicted") -> DataFrame:
+    """Partial least squares (columns as they are) from the rows with a target, for all rows."""
+    from panelforge.operators.stats import gram
+
+    _, m, c = gram(df.where(F.col(target).isNotNull()), [*columns, target])
+    return df.withColumn(name, linear(columns, m[:-1], pls_weights(c, components), m[-1]))
+
+
+def pls_anchor(df: DataFrame, columns: Sequence[str], target: str, fold: str, folds: int, components: int) -> DataFrame:
+    """df with `anchor`, the fit of all labelled rows, and `residual`, the target less a fit without the row's own fold."""
+    from panelforge.operators.stats import gram
+
+    out = global_pls(df, columns, target, components, "anchor").withColumn("residual", F.lit(None).cast("double"))
+    for f in range(folds):  # a bounded number of small fits
+        _, m, c = gram(df.where(F.col(target).isNotNull() & (F.col(fold) != f)), [*columns, target])
+        away = linear(columns, m[:-1], pls_weights(c, components), m[-1])
+        out = out.withColumn("residual", F.when(F.col(fold) == f, F.col(target) - away).otherwise(F.col("residual")))
+    return out
 
 
 def pca(df: DataFrame, key: str, columns: Sequence[str], components: int) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from panelforge.functions.expressions import haversine_km
 
 
+QUERY_ROWS = 10_000
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
@@ -17,14 +20,24 @@ def euclidean(a: Column, b: Column) -> Column:
 def edges(left: DataFrame, right: DataFrame, key: str, distance, columns: Sequence[str], blocks: Sequence[str] = ()) -> DataFrame:
     """(i, j, d) of the pairs i <> j that share the block columns, d from distance(row of i, row of j).
 
-    Without blocks every row of the left side, a stated query set, meets all rows of the right one: pass a bounded left side.
+    Without blocks every row of the left side, a stated query set, meets all rows of the right one: in blocks of QUERY_ROWS
+    queries, one of which is broadcast, more of which are joined by block.
     """
     a = left.select(F.col(key).alias("i"), *blocks, F.struct(*columns).alias("a_"))
     b = right.select(F.col(key).alias("j"), *blocks, F.struct(*columns).alias("b_"))
-    met = a.join(b, list(blocks)) if blocks else b.crossJoin(F.broadcast(a))
+    met = a.join(b, list(blocks)) if blocks else against(a, b, "i")
     return met.where("i <> j").select(*blocks, "i", "j", distance(F.col("a_"), F.col("b_")).alias("d"))
 
 
+def against(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Each query beside each row, the queries counted and dealt to blocks of about QUERY_ROWS."""
+    parts = -(-queries.count() // QUERY_ROWS)
+    if parts <= 1:
+        return rows.crossJoin(F.broadcast(queries))
+    dealt = queries.withColumn("part_", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    return rows.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(dealt, "part_").drop("part_")
+
+
 def by_embedding(column: str):
     return lambda a, b: euclidean(a[column], b[column])
 

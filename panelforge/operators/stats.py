@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.expressions import EPSILON, num
+from panelforge.functions.expressions import EPSILON, num, stable_hash
 
 
 def correlation(x: str, y: str, least: int = 3) -> Column:
@@ -254,7 +254,7 @@ def bootstrap_mean(df: DataFrame, value: str, cluster: str, replicates: int = 20
     """
     sums = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s_"), F.count("*").alias("n_"))
     drawn = sums.select("s_", "n_", cluster, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), cluster, "replicate"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    u = (F.pmod(stable_hash(seed, cluster, "replicate"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     steps, p, c = [], math.exp(-1), 0.0
     for k in range(12):
         c += p

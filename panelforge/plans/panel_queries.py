@@ -207,10 +207,10 @@ def evenly_spaced_sample(spark, d):
     return panel.evenly_spaced(table(spark, d, "events"), ["event_id"], 5, ["user_id"])
 
 
-@query("l: user_id event_id, s: part", "SELECT user_id, event_id, 'a' AS part FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, event_id, NULL AS part FROM events WHERE event_id % 3 = 1")
+@query("l: user_id event_id, s: part", "SELECT user_id, event_id, 'a' AS part FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, event_id, NULL AS part FROM events WHERE event_id % 3 <> 0")
 def union_of_blocks(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id")
-    return panel.union_all(e.where("event_id % 3 = 0").withColumn("part", F.lit("a")), e.where("event_id % 3 = 1"))
+    return panel.union_all(e.where("event_id % 3 = 0").withColumn("part", F.lit("a")), e.where("event_id % 3 <> 0"))
 
 
 GAPS = f"WITH {EV}, dd AS (SELECT user_id, event_type, d, d - lag(d) OVER (PARTITION BY user_id, event_type ORDER BY d) AS gap FROM (SELECT DISTINCT user_id, event_type, d FROM ev)), g AS (SELECT user_id, event_type, count(*) AS n_unique_dates, median(gap) AS median_gap_days, max(gap) AS max_gap_days FROM dd GROUP BY user_id, event_type)"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.operators import evaluate, learning, neighbours, seasonal, selection, stats
+from panelforge.operators import evaluate, learning, models, neighbours, seasonal, selection, splits, stats
 from panelforge.operators.trajectories import with_features
+from panelforge.plans.oracles import hash_sql, laplacian_sql, ridge_sql
 from panelforge.plans.panel_queries import EV, MONTHS, events
 from panelforge.plans.registry import query, table
-from panelforge.plans.table_queries import CU, GEO, METHODS, PR, base, customers, label_edges, places, predictions
+from panelforge.plans.table_queries import CU, GEO, METHODS, PR, base, customers, label_edges, neighbour_rows, places, predictions
 
 KINDS = {"tn": "click", "tx": "view", "pr": "purchase", "np": "signup", "ae": "error"}
 
@@ -112,18 +113,46 @@ def features(spark, d):
     return places(spark, d).select("id", F.slice(F.transform("e", lambda x: x.cast("double")), 4, 5).alias("x"), F.col("e")[2].cast("double").alias("y"))
 
 
-@query("l: outer_fold candidate, d: inner_rmse")
+FX = "f AS (SELECT vec_id AS id, label, list_transform(embedding[4:8], lambda x: CAST(x AS DOUBLE)) AS x, CAST(embedding[3] AS DOUBLE) AS y FROM embeddings)"
+
+
+@query(
+    "l: outer_fold i candidate, d: predicted",
+    f"""WITH {GEO}, {FX}, fo AS (SELECT *, {hash_sql('0, id')} % 5 AS fold FROM f), e AS (SELECT o.outer_fold, ed.i, ed.j, ed.d FROM ed JOIN fo a ON a.id = ed.i JOIN fo b ON b.id = ed.j JOIN range(0, 5) o(outer_fold) ON o.outer_fold <> b.fold WHERE a.fold <> b.fold),
+ ca AS (SELECT (row_number() OVER (ORDER BY a, b, c)) - 1 AS candidate, a AS k, b AS alpha, c AS power FROM (VALUES (6.0), (12.0)) x(a), (VALUES (1.0), (30.0)) y(b), (VALUES (0.0), (1.0)) z(c)),
+ ne AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, i ORDER BY d, j) AS r FROM e QUALIFY r <= 12), nb AS (SELECT concat_ws('_', outer_fold, i, candidate) AS g, j, 1 / pow(d + 1e-6, power) AS w, b.x, b.y, a.x AS q, alpha FROM ne JOIN ca ON r <= k JOIN fo a ON a.id = i JOIN fo b ON b.id = j),
+ {ridge_sql()}, p AS (SELECT CAST(split_part(g, '_', 1) AS BIGINT) AS outer_fold, CAST(split_part(g, '_', 2) AS BIGINT) AS i, CAST(split_part(g, '_', 3) AS BIGINT) AS candidate, predicted FROM sol),
+ s AS (SELECT outer_fold, candidate, round(sqrt(avg(pow(predicted - y, 2))), 12) AS e FROM p JOIN fo ON id = i WHERE fold <> outer_fold GROUP BY ALL), c AS (SELECT outer_fold, candidate FROM s JOIN ca USING (candidate) QUALIFY row_number() OVER (PARTITION BY outer_fold ORDER BY e, k, alpha, power) = 1)
+ SELECT outer_fold, i, candidate, predicted FROM p JOIN c USING (outer_fold, candidate) JOIN fo ON id = i WHERE fold = outer_fold""",
+)
 def nested_search(spark, d):
-    """Inner queries (id % 10 < 5) score the grid; each outer fold takes the best candidate of its own inner rows."""
-    f = features(spark, d)
-    near = neighbours.nearest(label_edges(spark, d).where("i % 10 < 5 and j % 10 >= 5"), 12)
-    rows = near.join(f.select(F.col("id").alias("j"), "x", "y"), "j").join(f.select(F.col("id").alias("i"), F.col("x").alias("q")), "i")
+    """Each outer fold takes the candidate that the other folds prefer and predicts its own rows once."""
+    f = splits.grouped_folds(features(spark, d), "id", 5)
     candidates = learning.grid(spark, {"k": [6, 12], "alpha": [1, 30], "power": [0, 1]})
-    scored = learning.score_candidates(rows, [], candidates).join(f.select(F.col("id").alias("i"), F.col("y").alias("observed")), "i")
-    return learning.choose(scored.withColumn("outer_fold", F.col("i") % 5), ["outer_fold"], candidates, ["k", "alpha", "power"])
+    return learning.nested_search(label_edges(spark, d), f, "id", candidates, ["k", "alpha", "power"], 12)
+
+
+def near_sql(where: str, k: int, weight: str = "1 / (d + 1e-6)", alpha: float = 30.0) -> str:
+    return f"nb AS (SELECT i AS g, j, {weight} AS w, b.x, b.y, a.x AS q, {alpha} AS alpha FROM (SELECT * FROM ed WHERE {where} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= {k}) JOIN f a ON a.id = i JOIN f b ON b.id = j)"
+
+
+query("l: i, d: predicted", f"WITH {GEO}, {FX}, {near_sql('true', 12)}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="leave_one_out")(lambda s, d: learning.leave_one_out(label_edges(s, d), features(s, d), "id", 12))
+HELD = "i % 10 < 3 AND j % 10 >= 3"
+query("l: i, d: predicted", f"WITH {GEO}, {FX}, {near_sql(HELD, 24)}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="local_ridge")(lambda s, d: models.predict_local(neighbour_rows(s, d), []))
+query("l: i, d: predicted", f"WITH {GEO}, {FX}, {near_sql(HELD, 24, '1 / (1 + d)')}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="local_ridge_mixed")(lambda s, d: models.predict_local(neighbour_rows(s, d), [], models.mixed_ridge))
+ARMS = ["normalized", "adaptive", "shrunk"]
+
+
+@query(
+    "s: arm, l: i, d: predicted",
+    f"WITH {GEO}, {FX}, {near_sql(HELD, 12)}, ef AS (SELECT g, count(*) AS k, sum(w) AS s, pow(sum(w), 2) / sum(w * w) AS n FROM nb GROUP BY g), ar(arm) AS (VALUES ('normalized'), ('adaptive'), ('shrunk')), na AS (SELECT arm || '_' || nb.g AS g, j, w * k / s AS w, x, y, q, alpha * CASE WHEN arm = 'normalized' THEN 1 ELSE k / n END AS alpha FROM nb JOIN ef USING (g), ar), {ridge_sql(nb='na')}, o AS (SELECT split_part(g, '_', 1) AS arm, CAST(split_part(g, '_', 2) AS BIGINT) AS i, predicted, mean_y FROM sol) SELECT arm, i, CASE WHEN arm = 'shrunk' AND k >= 3 THEN least(1, n / k) * predicted + (1 - least(1, n / k)) * mean_y ELSE predicted END AS predicted FROM o JOIN ef ON ef.g = o.i",
+)
+def local_ridge_arms(spark, d):
+    near = neighbour_rows(spark, d, 12)
+    out = [models.predict_local(near, [], models.arm_ridge, arm=a).withColumn("arm", F.lit(a)) for a in ARMS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-query("l: i, d: predicted", name="leave_one_out")(lambda s, d: learning.leave_one_out(label_edges(s, d), features(s, d), "id", 12))
 query("s: tier method, d: weight", name="convex_stack")(lambda s, d: learning.convex_stack(base(s, d), ["tier"], METHODS, "observed"))
 query("l: k id cluster, d: silhouette", name="kmeans_regimes")(lambda s, d: learning.kmeans_regimes(customers(s, d), "id", ["x1", "x2", "x3"], [2, 3]))
 
@@ -202,13 +231,26 @@ def competition_predictions(spark, d):
     return competition.predict(membership, rows, label_edges(spark, d), "id", "label", "x", "y")
 
 
-@query("s: method, l: splits, d: rmse_mean rmse_worst rmse_pooled")
+SEATS = "ex AS (SELECT label, count(*) AS n, 60.0 * count(*) / (SELECT count(*) FROM f) AS x FROM f GROUP BY label), se AS (SELECT label, floor(x) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x), 12) DESC, n DESC, label DESC) <= 60 - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS seats FROM ex)"
+
+
+@query(
+    "s: method, l: splits, d: rmse_mean rmse_worst rmse_pooled",
+    f"""WITH {GEO}, {FX}, {SEATS}, mb AS (SELECT split_id, id, f.label, row_number() OVER (PARTITION BY split_id, f.label ORDER BY {hash_sql('split_id, id')}, id) <= seats AS target FROM f JOIN se USING (label), range(0, 4) t(split_id)),
+ re AS (SELECT a.split_id, ed.i, ed.j, ed.d FROM ed JOIN mb a ON a.id = ed.i AND a.target JOIN mb b ON b.id = ed.j AND NOT b.target AND a.split_id = b.split_id), ne AS (SELECT re.*, f.y, f.x FROM re JOIN f ON f.id = j), ks(k) AS (VALUES (6), (24)), nk AS (SELECT k, ne.* FROM (SELECT *, row_number() OVER (PARTITION BY split_id, i ORDER BY d, j) AS r FROM ne) ne JOIN ks ON r <= k),
+ nb AS (SELECT concat_ws('_', k, split_id, i) AS g, j, 1 / (d + 1e-6) AS w, nk.x, nk.y, f.x AS q, 30.0 AS alpha FROM nk JOIN f ON f.id = i), {ridge_sql()},
+ me AS (SELECT split_id, mb.label, avg(y) AS m FROM mb JOIN f USING (id) WHERE NOT target GROUP BY ALL), al AS (SELECT split_id, avg(y) AS a FROM mb JOIN f USING (id) WHERE NOT target GROUP BY ALL),
+ pr AS (SELECT 'group_mean' AS method, mb.split_id, mb.id, coalesce(m, a) AS predicted FROM mb LEFT JOIN me ON me.split_id = mb.split_id AND me.label = mb.label JOIN al ON al.split_id = mb.split_id WHERE target
+  UNION ALL SELECT 'idw_k' || k, split_id, i, coalesce(avg(y) FILTER (d <= 1e-12), sum(y / (d + 1e-8)) / sum(1 / (d + 1e-8))) FROM nk GROUP BY ALL
+  UNION ALL SELECT 'local_ridge_k' || split_part(g, '_', 1), CAST(split_part(g, '_', 2) AS BIGINT), CAST(split_part(g, '_', 3) AS BIGINT), predicted FROM sol),
+ sm AS (SELECT method, split_id, count(*) AS n, sum(pow(predicted - y, 2)) AS e FROM pr JOIN f USING (id) GROUP BY ALL) SELECT method, count(*) AS splits, avg(sqrt(e / n)) AS rmse_mean, max(sqrt(e / n)) AS rmse_worst, sqrt(sum(e) / sum(n)) AS rmse_pooled FROM sm GROUP BY method""",
+)
 def pseudo_competition(spark, d):
     """Splits, neighbours, five predictors and their summary in one plan."""
     return evaluate.method_summary(competition_predictions(spark, d))
 
 
-@query("l: user_id, d: click_mean records, l: dates")
+@query("l: user_id, d: click_mean records, l: dates", f"WITH {EV}, w AS (SELECT * FROM ev WHERE d BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND month(d) = 1) SELECT u.user_id, avg(v) FILTER (event_type = 'click') AS click_mean, CASE WHEN count(w.user_id) > 0 THEN count(*) FILTER (event_type = 'click') END AS records, CASE WHEN count(w.user_id) > 0 THEN count(DISTINCT d) END AS dates FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN w USING (user_id) GROUP BY u.user_id")
 def feature_table(spark, d):
     """The whole build: panel blocks, recipes, checked merge, pruning and contract."""
     from panelforge.operators.recipes import FeatureRecipe
@@ -251,13 +293,21 @@ def label_reliability(spark, d):
     return selection.reliability(base(spark, d).withColumn("e", F.col("m_user") - F.col("observed")), ["split_id"], "e", 0.8)
 
 
-@query("l: i j rank, d: r", f"WITH {MO}, c AS (SELECT a.user_id AS i, b.user_id AS j, CASE WHEN count(*) FILTER (x.v IS NOT NULL AND y.v IS NOT NULL) >= 3 THEN corr(x.v, y.v) END AS r FROM mo a JOIN mo b ON a.user_id % 10 = b.user_id % 10 AND a.user_id < b.user_id CROSS JOIN LATERAL (VALUES {', '.join(f'({m}, a.tn{m:02d}, b.tn{m:02d})' for m in MONTHS)}) z(m, p, q) CROSS JOIN LATERAL (SELECT CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN p END AS v) x CROSS JOIN LATERAL (SELECT CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN q END AS v) y GROUP BY ALL), b AS (SELECT i, j, CASE WHEN isnan(r) THEN NULL ELSE r END AS r FROM c UNION ALL SELECT j, i, CASE WHEN isnan(r) THEN NULL ELSE r END FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r DESC NULLS LAST, j) AS rank FROM b) SELECT i, j, rank, r FROM k WHERE rank <= 3")
+PAIRED = f"{MO}, c AS (SELECT a.user_id AS i, b.user_id AS j, CASE WHEN count(*) FILTER (p IS NOT NULL AND q IS NOT NULL) >= 3 THEN corr(CASE WHEN q IS NOT NULL THEN p END, CASE WHEN p IS NOT NULL THEN q END) END AS r FROM mo a JOIN mo b ON a.user_id % 50 = 0 AND a.user_id <> b.user_id CROSS JOIN LATERAL (VALUES {', '.join(f'({m}, a.tn{m:02d}, b.tn{m:02d})' for m in MONTHS)}) z(m, p, q) GROUP BY ALL)"
+
+
+@query("l: i j rank, d: r", f"WITH {PAIRED}, b AS (SELECT i, j, CASE WHEN isnan(r) THEN NULL ELSE r END AS r FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(r, 9) DESC NULLS LAST, j) AS rank FROM b) SELECT i, j, rank, r FROM k WHERE rank <= 3")
 def temporal_neighbours(spark, d):
-    w = monthly(spark, d).select("user_id", (F.col("user_id") % 10).alias("block"), F.array(*COLS["tn"].values()).alias("curve"))
-    return selection.curve_neighbours(selection.curve_pairs(w, "user_id", "curve", ["block"]), 3)
+    """Queries are the users whose id is divisible by 50, against all users."""
+    w = monthly(spark, d).select("user_id", F.array(*COLS["tn"].values()).alias("curve"))
+    return selection.curve_neighbours(selection.curve_pairs(w.where("user_id % 50 = 0"), w, "user_id", "curve"), 3)
 
 
-@query("d: eta_squared p")
+WAYS = "ways AS (SELECT row_number() OVER (ORDER BY m) AS replicate, m FROM (SELECT m FROM n, LATERAL range(CAST(least(n.n // 3, 524288) + 1 AS BIGINT), CAST(n.n * 3 + 400 AS BIGINT)) t(m) WHERE gcd(m, n.n) = 1 ORDER BY m LIMIT 99))"
+DEALT = f"{WAYS}, way AS (SELECT 0 AS replicate, 1 AS m, 0 AS s UNION ALL SELECT replicate, m, replicate * 7919 % n.n FROM ways, n), sent AS (SELECT replicate, x.v AS v, (x.place * m + s) % n.n AS place FROM x, way, n), met AS (SELECT sent.replicate, x.id, sent.v FROM sent JOIN x USING (place))"
+
+
+@query("d: eta_squared p", f"WITH {CU}, x AS (SELECT id, muni AS v, x1, row_number() OVER (ORDER BY {hash_sql('5, id')}, id) - 1 AS place FROM cu WHERE x1 IS NOT NULL), n AS (SELECT count(*) AS n FROM x), {DEALT}, g AS (SELECT replicate, met.v AS g, count(*) AS n, sum(x1) AS s, sum(x1 * x1) AS q FROM met JOIN x USING (id) GROUP BY ALL), e AS (SELECT replicate, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / nullif(sum(q) - sum(s) * sum(s) / sum(n), 0) AS e FROM g GROUP BY replicate), o AS (SELECT e AS own FROM e WHERE replicate = 0) SELECT any_value(own) AS eta_squared, (count(*) FILTER (replicate > 0 AND e >= own - 1e-12) + 1) * 1.0 / count(*) AS p FROM e, o")
 def eta_permutation(spark, d):
     return selection.permutation_p(customers(spark, d), "id", "muni", "x1", 99)
 
@@ -268,7 +318,17 @@ def yearly_file_audit(spark, d):
     return selection.audit_files(f, "yr", "name", "digest", list(range(1990, 2003))).withColumnRenamed("check", "check_")
 
 
-@query("l: label id, d: predicted")
+RBF = f"{GEO}, kn AS (SELECT i, j, d FROM ed QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 8), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM kn GROUP BY 1, 2), le AS (SELECT em.label, bo.i, bo.j, CASE WHEN s > 0 THEN exp(-0.5 * pow(d / s, 2)) ELSE 1 END AS w FROM (SELECT i, j, d FROM sy UNION ALL SELECT j, i, d FROM sy) bo JOIN em ON em.id = bo.i, (SELECT median(d) AS s FROM sy))"
+
+
+@query("l: label id, d: predicted", f"WITH RECURSIVE {RBF}, ln AS (SELECT label, vec_id AS id, CASE WHEN vec_id % 10 >= 3 THEN CAST(embedding[3] AS DOUBLE) END AS y FROM embeddings), {laplacian_sql()} SELECT label, id, f AS predicted FROM lap")
+def graph_laplacian(spark, d):
+    lab = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.when(F.col("vec_id") % 10 >= 3, F.col("embedding")[2].cast("double")).alias("y"))
+    g = neighbours.rbf_graph(label_edges(spark, d), 8).join(lab.select(F.col("id").alias("i"), (F.col("label") + 0).alias("label")), "i")
+    return models.laplacian(g, lab, ["label"], "id", "y")
+
+
+@query("l: label id, d: predicted", f"WITH RECURSIVE {RBF}, rw AS (SELECT label, vec_id AS id, CAST(embedding[2] AS DOUBLE) AS anchor, CASE WHEN vec_id % 10 >= 3 THEN CAST(embedding[3] AS DOUBLE) END AS target FROM embeddings), ln AS (SELECT label, id, target - anchor AS y FROM rw), {laplacian_sql()} SELECT rw.label, rw.id, anchor + f AS predicted FROM lap JOIN rw USING (label, id)")
 def residual_graph_correction(spark, d):
     e = F.col("embedding")
     rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), e[1].cast("double").alias("anchor"), F.when(F.col("vec_id") % 10 >= 3, e[2].cast("double")).alias("target"))

@@ -6,12 +6,15 @@ c_custkey % 10 < 3; yearly statistics from lineitem and orders; predictions deri
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import expressions as X
 from panelforge.operators import annual, cells, checks, contract, evaluate, models, neighbours, panel, splits, stats
-from panelforge.plans.panel_queries import EV, events
+from panelforge.plans.oracles import hash_sql, leading_sql, warp_sql
+from panelforge.plans.panel_queries import EV, MONTHS, TR, events
 from panelforge.plans.registry import query, table
 from panelforge.streaming import windows
 
@@ -272,7 +275,10 @@ def linear_regression(spark, d):
     return spark.createDataFrame([(out["intercept"], out["coefficients"]["x1"], out["rmse"], out["r2"])], "intercept double, slope double, rmse double, r2 double")
 
 
-@query("d: mean low high, l: clusters")
+POISSON = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+@query("d: mean low high, l: clusters", f"WITH {CU}, s AS (SELECT muni, sum(x1) AS s, count(*) AS n FROM cu WHERE x1 IS NOT NULL GROUP BY muni), u AS (SELECT *, ({hash_sql('7, muni, replicate')} % 1073741824 + 0.5) / 1073741824 AS u FROM s, range(1, 201) t(replicate)), t AS (SELECT *, {' + '.join(f'CAST(u > {x!r} AS INT)' for x in POISSON)} AS t FROM u), m AS (SELECT replicate, sum(s * t) / nullif(sum(n * t), 0) AS m FROM t GROUP BY replicate) SELECT (SELECT sum(s) / sum(n) FROM s) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, (SELECT count(*) FROM s) AS clusters FROM m")
 def bootstrap_cluster(spark, d):
     return stats.bootstrap_mean(customers(spark, d), "x1", "muni")
 
@@ -312,16 +318,16 @@ def label_edges(spark, d, how="place"):
     return neighbours.edges(p, p, "id", f, cols, ["label"]).select("i", "j", "d")
 
 
-@query("l: i j, d: d", f"WITH {GEO}, sc AS (SELECT median(m) AS s FROM (SELECT i, min(d) AS m FROM ed GROUP BY i)) SELECT i, j, d / s AS d FROM ed, sc WHERE d / s < 1.5")
+@query("l: i j, d: d", f"WITH {GEO}, sc AS (SELECT median(m) AS s FROM (SELECT i, min(d) AS m FROM ed GROUP BY i)) SELECT i, j, d / s AS d FROM ed, sc")
 def normalized_distance(spark, d):
-    return neighbours.normalized(label_edges(spark, d)).where("d < 1.5")
+    return neighbours.normalized(label_edges(spark, d))
 
 
-@query("l: i j, d: d", f"WITH {GEO}, fe AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id % 7 = 0 THEN NULL ELSE {EU} END AS d FROM em a JOIN em b ON a.label = b.label AND a.id <> b.id) SELECT ed.i, ed.j, 0.3 * ed.d / 100 + coalesce(0.7 * fe.d, 0) AS d FROM ed JOIN fe ON ed.i = fe.i AND ed.j = fe.j WHERE ed.i % 5 = 0")
+@query("l: i j, d: d", f"WITH {GEO}, fe AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id % 7 = 0 THEN NULL ELSE {EU} END AS d FROM em a JOIN em b ON a.label = b.label AND a.id <> b.id) SELECT ed.i, ed.j, 0.3 * ed.d / 100 + coalesce(0.7 * fe.d, 0) AS d FROM ed JOIN fe ON ed.i = fe.i AND ed.j = fe.j")
 def mixed_distance(spark, d):
     geo = label_edges(spark, d).withColumn("d", F.col("d") / 100)
     feature = label_edges(spark, d, "feature").withColumn("d", F.when(F.col("i") % 7 != 0, F.col("d")))
-    return neighbours.mixed({"geo": (geo, 0.3), "feature": (feature, 0.7)}).where("i % 5 = 0")
+    return neighbours.mixed({"geo": (geo, 0.3), "feature": (feature, 0.7)})
 
 
 KN = f"{GEO}, kn AS (SELECT i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) WHERE r <= 3), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM kn GROUP BY 1, 2), bo AS (SELECT i, j, d FROM sy UNION ALL SELECT j, i, d FROM sy)"
@@ -358,19 +364,10 @@ def neighbour_rows(spark, d, k=24):
     return near.join(p.select(F.col("id").alias("j"), "x", "y"), "j").join(p.select(F.col("id").alias("i"), F.col("x").alias("q")), "i").select("i", "j", "d", "x", "y", "q")
 
 
-query("l: i, d: predicted", name="local_ridge")(lambda s, d: models.predict_local(neighbour_rows(s, d), []))
-query("l: i, d: predicted", name="local_ridge_mixed")(lambda s, d: models.predict_local(neighbour_rows(s, d), [], models.mixed_ridge))
 query("l: i, d: predicted", name="local_ridge_huber")(lambda s, d: models.predict_local(neighbour_rows(s, d, 10), [], models.huber_ridge))
 query("l: i, d: predicted", name="local_elastic_net")(lambda s, d: models.predict_local(neighbour_rows(s, d), [], models.elastic_net))
 
 
-@query("l: label id, d: predicted")
-def graph_laplacian(spark, d):
-    lab = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.when(F.col("vec_id") % 10 >= 3, F.col("embedding")[2].cast("double")).alias("y"))
-    g = neighbours.rbf_graph(label_edges(spark, d), 8).join(lab.select(F.col("id").alias("i"), (F.col("label") + 0).alias("label")), "i")
-    return models.laplacian(g, lab, ["label"], "id", "y", limit=5000)
-
-
 @query("l: id, d: predicted", f"WITH {CU}, g AS (SELECT muni, avg(y) AS m FROM cu WHERE train AND muni % 4 <> 0 GROUP BY muni), a AS (SELECT avg(y) AS m FROM cu WHERE train AND muni % 4 <> 0) SELECT id, coalesce(g.m, a.m) AS predicted FROM cu LEFT JOIN g USING (muni), a WHERE NOT train")
 def state_mean_fallback(spark, d):
     c = customers(spark, d)
@@ -388,11 +385,27 @@ def standardized_profile(spark, d):
     return models.standardize(customers(spark, d), ["x1", "x2"])
 
 
-query("l: id, d: pc01 pc02", name="pca_scores")(lambda s, d: models.pca(customers(s, d), "id", ["x1", "x2", "x3", "y_all"], 2))
-query("s: operation left right, d: r, l: rank", name="expression_miner")(lambda s, d: models.mine_expressions(customers(s, d).where("train"), "y", ["x1", "x2", "x3"]))
+FOUR = ["x1", "x2", "x3", "y_all"]
+query("l: id, d: pc01 pc02", f"WITH {CU}, f AS (SELECT id, {', '.join(f'coalesce({c}, (SELECT median({c}) FROM cu)) AS v{k}' for k, c in enumerate(FOUR, 1))} FROM cu), t AS (SELECT {', '.join(f'avg(v{k}) AS m{k}, stddev_pop(v{k}) AS s{k}' for k in range(1, 5))} FROM f), z AS (SELECT id, {', '.join(f'CASE WHEN s{k} > 0 THEN (v{k} - m{k}) / s{k} ELSE 0 END AS z{k}' for k in range(1, 5))} FROM f, t), co AS (SELECT [{', '.join('[' + ', '.join(f'covar_pop(z{a}, z{b})' for b in range(1, 5)) + ']' for a in range(1, 5))}] AS m FROM z), {leading_sql('co', 4, 'ea')}, de AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, c: x - ea.l * ea.v[i] * ea.v[c])) AS m FROM co, ea), {leading_sql('de', 4, 'eb')} SELECT id, {' + '.join(f'z{k} * ea.v[{k}]' for k in range(1, 5))} AS pc01, {' + '.join(f'z{k} * eb.v[{k}]' for k in range(1, 5))} AS pc02 FROM z, ea, eb", name="pca_scores")(lambda s, d: models.pca(customers(s, d), "id", ["x1", "x2", "x3", "y_all"], 2))
+OPS = {"product": "a * b", "sum": "a + b", "difference": "a - b", "reverse_difference": "b - a", "safe_ratio": "a / (b + CASE WHEN b < 0 THEN -1e-6 ELSE 1e-6 END)", "reverse_safe_ratio": "b / (a + CASE WHEN a < 0 THEN -1e-6 ELSE 1e-6 END)", "symmetric_change": "2.0 * (a - b) / (abs(a) + abs(b) + 1e-6)"}
+
+
+def spearman_sql(source: str, keys: str) -> str:
+    """Rank correlation of v with y over the complete rows of each group of keys."""
+    rank = lambda c: f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + (count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0"
+    return f"SELECT {keys}, CASE WHEN count(*) >= 3 AND var_pop(p) > 0 AND var_pop(q) > 0 THEN corr(p, q) END AS r FROM (SELECT {keys}, {rank('v')} AS p, {rank('y')} AS q FROM {source} WHERE v IS NOT NULL AND y IS NOT NULL) GROUP BY {keys}"
+
+
+MINED = f"WITH {CU}, tr AS (SELECT id, y, x1, x2, x3 FROM cu WHERE train), lo AS (SELECT id, y, feature, v FROM tr CROSS JOIN LATERAL (VALUES ('x1', x1), ('x2', x2), ('x3', x3)) t(feature, v)), pr AS (SELECT *, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, feature) AS n FROM ({spearman_sql('lo', 'feature')})), pa AS (SELECT a.feature AS l, b.feature AS rt, a.n AS na, b.n AS nb FROM pr a JOIN pr b ON a.n < b.n), ex AS (SELECT op, l, rt, y, v FROM (SELECT pa.l, pa.rt, p.y, p.v AS a, q.v AS b FROM pa JOIN lo p ON p.feature = pa.l JOIN lo q ON q.feature = pa.rt AND p.id = q.id) CROSS JOIN LATERAL (VALUES {', '.join(f"('{o}', {e})" for o, e in OPS.items())}) t(op, v)), sc AS ({spearman_sql('ex', 'op, l, rt')}) SELECT op AS operation, l AS left_, rt AS right_, r, row_number() OVER (ORDER BY round(abs(r), 12) DESC NULLS LAST, op, l, rt) AS rank FROM sc QUALIFY rank <= 10"
+query("s: operation left_ right_, d: r, l: rank", MINED, name="expression_miner")(lambda s, d: models.mine_expressions(customers(s, d).where("train"), "y", ["x1", "x2", "x3"]).withColumnsRenamed({"left": "left_", "right": "right_"}))
+
+
+WARPED = f"""WITH RECURSIVE {TR}, gr AS (SELECT u.user_id, s, i FROM us u, (VALUES ('click'), ('view')) t(s), range(0, {len(MONTHS)}) r(i)), kp AS (SELECT user_id, s, x - {min(MONTHS)} AS x, y, count(*) OVER (PARTITION BY user_id, s) AS n FROM tr), nx AS (SELECT *, lead(x) OVER o AS x2, lead(y) OVER o AS y2, first_value(x) OVER w AS xf, first_value(y) OVER w AS yf, last_value(x) OVER w AS xl, last_value(y) OVER w AS yl FROM kp WHERE n >= 3 WINDOW o AS (PARTITION BY user_id, s ORDER BY x), w AS (PARTITION BY user_id, s ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ fi AS (SELECT gr.user_id, gr.s, gr.i, max(CASE WHEN i < xf THEN yf WHEN i >= xl THEN yl WHEN x <= i AND i < x2 THEN y + (y2 - y) * (i - x) / (x2 - x) END) AS v FROM gr JOIN nx USING (user_id, s) GROUP BY ALL), st AS (SELECT user_id, s, avg(v) AS m, stddev_pop(v) AS sd FROM fi GROUP BY ALL HAVING stddev_pop(v) > 1e-12), zs AS (SELECT user_id, s, list((v - m) / sd ORDER BY i) AS z FROM fi JOIN st USING (user_id, s) GROUP BY ALL),
+ zz AS (SELECT p.user_id, p.z AS a, q.z AS b FROM zs p JOIN zs q ON p.user_id = q.user_id AND p.s = 'click' AND q.s = 'view'), {warp_sql()} SELECT u.user_id, dtw.d AS dtw FROM us u LEFT JOIN dtw USING (user_id)"""
 
 
-@query("l: user_id, d: dtw")
+@query("l: user_id, d: dtw", WARPED)
 def dtw_distance(spark, d):
     from panelforge.plans.panel_queries import A, B, wide
 
@@ -414,15 +427,15 @@ def hamilton(spark, d):
     return splits.hamilton(c.withColumn("n", F.col("n").cast("double")), "muni", "n", 37, ["state"])
 
 
-query("l: id fold", name="stratified_folds")(lambda s, d: splits.stratified_folds(customers(s, d), "id", "state", 5))
-query("l: id fold", name="grouped_folds")(lambda s, d: splits.grouped_folds(customers(s, d), "muni", 5))
-query("l: id repeat fold", name="repeated_folds")(lambda s, d: splits.repeated_folds(customers(s, d), "id", 5, 3))
+query("l: id fold", f"WITH {CU} SELECT id, (row_number() OVER (PARTITION BY state ORDER BY {hash_sql('0, id')}, id) - 1) % 5 AS fold FROM cu", name="stratified_folds")(lambda s, d: splits.stratified_folds(customers(s, d), "id", "state", 5))
+query("l: id fold", f"WITH {CU} SELECT id, {hash_sql('0, muni')} % 5 AS fold FROM cu", name="grouped_folds")(lambda s, d: splits.grouped_folds(customers(s, d), "muni", 5))
+query("l: id repeat fold", f"WITH {CU} SELECT id, repeat, {hash_sql('repeat, id')} % 5 AS fold FROM cu, range(0, 3) t(repeat)", name="repeated_folds")(lambda s, d: splits.repeated_folds(customers(s, d), "id", 5, 3))
 
 
-@query("s: family split_id, l: id, s: role", f"WITH {CU}, l AS (SELECT 'fa' AS family, id, id % 3 AS fold FROM cu UNION ALL SELECT 'fb', id, muni % 4 FROM cu), n AS (SELECT DISTINCT family, fold AS sf FROM l) SELECT l.family, l.family || '_' || sf AS split_id, id, CASE WHEN fold = sf THEN 'pseudo_target' ELSE 'pseudo_train' END AS role FROM l JOIN n USING (family) WHERE id % 20 = 0")
+@query("s: family split_id, l: id, s: role", f"WITH {CU}, l AS (SELECT 'fa' AS family, id, id % 3 AS fold FROM cu UNION ALL SELECT 'fb', id, muni % 4 FROM cu), n AS (SELECT DISTINCT family, fold AS sf FROM l) SELECT l.family, l.family || '_' || sf AS split_id, id, CASE WHEN fold = sf THEN 'pseudo_target' ELSE 'pseudo_train' END AS role FROM l JOIN n USING (family)")
 def folds_to_splits(spark, d):
     c = customers(spark, d).select("id", (F.col("id") % 3).cast("int").alias("fa"), (F.col("muni") % 4).cast("int").alias("fb"))
-    return splits.folds_to_splits(c, "id", ["fa", "fb"]).where("id % 20 = 0")
+    return splits.folds_to_splits(c, "id", ["fa", "fb"])
 
 
 @query("l: split_id n_rows targets repeated unknown missing", f"WITH {CU}, m AS (SELECT id % 4 AS split_id, c.id + CASE WHEN c.id % 50 = 0 THEN 1000000 ELSE 0 END AS id, CASE WHEN c.id % 3 = 0 THEN 1 ELSE 0 END AS t FROM cu c UNION ALL SELECT 1, id, 0 FROM cu WHERE id % 40 = 1), p AS (SELECT split_id, id, count(*) AS n, max(t) AS t FROM m GROUP BY ALL) SELECT split_id, sum(n) AS \"rows\", sum(t) AS targets, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (id >= 1000000) AS unknown, (SELECT count(*) FROM cu) - count(*) FILTER (id < 1000000) AS missing FROM p GROUP BY split_id".replace('AS "rows"', "AS n_rows"))
@@ -626,9 +639,9 @@ def complete_scenes(spark, d):
     return cells.complete_scenes(table(spark, d, "orders"), "o_custkey", "o_orderpriority", BANDS)
 
 
-@query("s: variable, l: year month", "SELECT v AS variable, y AS year, m AS month FROM (VALUES ('F'), ('O'), ('P')) a(v), range(1995, 2003) b(y), range(1, 13) c(m) WHERE (v, y, m) NOT IN (SELECT o_orderstatus, year(o_orderdate), month(o_orderdate) FROM orders WHERE o_custkey % 40 = 1)")
+@query("s: variable, l: year month", "SELECT v AS variable, y AS year, m AS month FROM (VALUES ('F'), ('O'), ('P')) a(v), range(1995, 2003) b(y), range(1, 13) c(m) WHERE (v, y, m) NOT IN (SELECT o_orderstatus, year(o_orderdate), month(o_orderdate) FROM orders)")
 def missing_inventory(spark, d):
-    o = table(spark, d, "orders").where("o_custkey % 40 = 1").select(F.col("o_orderstatus").alias("variable"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("variable"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
     return cells.missing_inventory(o, ["F", "O", "P"], list(range(1995, 2003)), list(range(1, 13)))
 
 
