@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.trajectories import let
+
 ZONAL = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max, "median": F.median, "count": F.count, "sum": F.sum}
 
 
@@ -58,6 +60,63 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     return center("sx"), center("sy")
 
 
+def signed_rings(polygons: Column) -> Column:
+    """All rings of several polygons (arrays of an outer ring and its holes) as struct<r, s>: s is 1, for holes -1."""
+    return F.flatten(F.transform(polygons, lambda p: F.transform(p, lambda r, i: F.struct(r.alias("r"), F.when(i == 0, 1.0).otherwise(-1.0).alias("s")))))
+
+
+def polygon_area(polygons: Column) -> Column:
+    """Area of several polygons: outer rings less their holes, whatever way the rings turn."""
+    return F.aggregate(signed_rings(polygons), F.lit(0.0), lambda s, x: s + x["s"] * ring_area(x["r"]))
+
+
+def polygon_centroid(polygons: Column) -> tuple[Column, Column]:
+    """Centre of area of several polygons with holes."""
+    rings = signed_rings(polygons)
+    total = polygon_area(polygons)
+
+    def centre(axis: int) -> Column:
+        moment = F.aggregate(rings, F.lit(0.0), lambda s, x: s + x["s"] * ring_area(x["r"]) * F.coalesce(ring_centroid(x["r"])[axis], F.lit(0.0)))
+        return F.when(total > 0, moment / total)
+
+    return centre(0), centre(1)
+
+
+def half_plane(ring: Column, axis: str, bound: Column, keep: int) -> Column:
+    """The part of a ring on one side of an axis-parallel line: its points there and the points where its edges cross it."""
+
+    def corner(p: Column, q: Column) -> Column:
+        a, b = (p[axis] - bound) * keep, (q[axis] - bound) * keep
+        t = a / F.nullif(a - b, F.lit(0.0))
+        point = F.struct(p["x"].alias("x"), p["y"].alias("y"), (a >= 0).alias("ok"))
+        cross = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"), F.coalesce(a * b < 0, F.lit(False)).alias("ok"))
+        return F.array(point, cross)
+
+    def cut(r: Column) -> Column:
+        return F.filter(F.flatten(F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), corner)), lambda p: p["ok"])
+
+    return let(ring, cut)
+
+
+def clip_area(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of a closed ring of any shape inside an axis-aligned cell: cut by each of the four sides in turn."""
+    out = ring
+    for axis, bound, keep in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
+        out = half_plane(out, axis, bound, keep)
+    return let(out, lambda r: F.when(F.size(r) > 2, ring_area(F.concat(r, F.slice(r, 1, 1)))).otherwise(F.lit(0.0)))
+
+
+def polygon_cells(polygons: DataFrame, key: str, step: float) -> DataFrame:
+    """(key, bx, by, area) of the grid cells of a given width that polygons cover, holes left out: only cells of a polygon's box are tried."""
+    rings = polygons.select(key, F.explode("polygons").alias("p_")).select(key, F.posexplode("p_").alias("at_", "r_"))
+    for c in ("x", "y"):
+        values = F.col(f"r_.{c}")
+        rings = rings.withColumn(f"b{c}", F.explode(F.sequence(F.floor(F.array_min(values) / step), F.floor(F.array_max(values) / step))))
+    inside = clip_area(F.col("r_"), F.col("bx") * step, F.col("by") * step, (F.col("bx") + 1) * step, (F.col("by") + 1) * step)
+    return rings.groupBy(key, "bx", "by").agg(F.sum(F.when(F.col("at_") == 0, inside).otherwise(-inside)).alias("area")).where("area > 1e-12")
+
+
+
 def complete_scenes(bands: DataFrame, scene: str, band: str, required: Sequence[str]) -> DataFrame:
     """By scene the bands it lacks and whether it is complete."""
     out = bands.groupBy(scene).agg(F.collect_set(band).alias("have_"), F.count("*").alias("files"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -66,6 +68,23 @@ def attach_missing(df: DataFrame, dimension: DataFrame, on: Sequence[str]) -> Da
     return join_checked(df, dimension.select(*on, *new), on, "m:1") if new else df
 
 
+def rename_known(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Columns that go by one of several known names, compared without accents, case or punctuation, get the first name.
+
+    The first alias that is there wins; a column that is there under its own name stays; unknown columns stay as they are.
+    """
+    plain = lambda c: re.sub("[^a-z0-9]+", "_", unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()).strip("_")
+    have = {}
+    for c in df.columns:
+        have.setdefault(plain(c), c)
+    found = {}
+    for name, others in aliases.items():
+        old = next((have[plain(a)] for a in others if plain(a) in have), None)
+        if name not in df.columns and old is not None:
+            found[old] = name
+    return df.withColumnsRenamed(found)
+
+
 def drop_empty(df: DataFrame, keep: Sequence[str] = (), constant: bool = False) -> DataFrame:
     """Without columns that are all NULL (or constant too), found in one aggregate pass."""
     others = [c for c in df.columns if c not in keep]

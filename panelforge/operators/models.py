@@ -238,12 +238,12 @@ def global_ridge(df: DataFrame, columns: Sequence[str], target: str, alpha: floa
 
     n, m, c = gram(df.where(F.col(target).isNotNull()), [*columns, target])
     k = len(columns)
-    beta = np.linalg.solve(n * c[:k, :k] + alpha * np.eye(k), n * c[:k, k]) if n else np.zeros(k)
+    beta = np.linalg.solve(c[:k, :k] + alpha * np.eye(k), c[:k, k]) if n else np.zeros(k)
     return df.withColumn(name, linear(columns, m[:k], beta, m[k]))
 
 
 def pls_weights(c: np.ndarray, components: int) -> np.ndarray:
-    """Coefficients of partial least squares of the last column on the others, from their covariances, by deflation."""
+    """Coefficients of partial least squares of the last column on the others, from their cross products, by deflation."""
     k = len(c) - 1
     s, x = c[:k, k].copy(), c[:k, :k].copy()
     w_all, p_all, q_all = [], [], []

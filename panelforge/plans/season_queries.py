@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import evaluate, learning, models, neighbours, seasonal, selection, splits, stats
 from panelforge.operators.trajectories import with_features
-from panelforge.plans.oracles import hash_sql, laplacian_sql, ridge_sql
+from panelforge.plans.oracles import eliminate, hash_sql, laplacian_sql, ridge_sql
 from panelforge.plans.panel_queries import EV, MONTHS, events
 from panelforge.plans.registry import query, table
 from panelforge.plans.table_queries import CU, GEO, METHODS, PR, base, customers, label_edges, neighbour_rows, places, predictions
@@ -334,3 +335,118 @@ def residual_graph_correction(spark, d):
     rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), e[1].cast("double").alias("anchor"), F.when(F.col("vec_id") % 10 >= 3, e[2].cast("double")).alias("target"))
     g = neighbours.rbf_graph(label_edges(spark, d), 8).join(rows.select(F.col("id").alias("i"), (F.col("label") + 0).alias("label")), "i")
     return selection.residual_correction(g, rows, ["label"], "id")
+
+
+@query(
+    "d: morans_i expected p",
+    f"WITH {GEO}, kn AS (SELECT i, j, d FROM ed QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 3), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j FROM kn GROUP BY 1, 2), bo AS (SELECT i, j FROM sy UNION ALL SELECT j, i FROM sy), w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM bo), x AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS v, row_number() OVER (ORDER BY {hash_sql('5, vec_id')}, vec_id) - 1 AS place FROM embeddings), n AS (SELECT count(*) AS n FROM x), {DEALT}, c AS (SELECT avg(v) AS m, count(*) AS n, var_pop(v) * count(*) AS ss FROM x), e AS (SELECT a.replicate, any_value(n) / sum(w) * sum(w * (a.v - m) * (b.v - m)) / any_value(ss) AS e, -1.0 / (any_value(n) - 1) AS expected FROM w JOIN met a ON a.id = i JOIN met b ON b.id = j AND a.replicate = b.replicate, c GROUP BY a.replicate), o AS (SELECT e AS own FROM e WHERE replicate = 0) SELECT any_value(own) AS morans_i, any_value(expected) AS expected, (count(*) FILTER (replicate > 0 AND abs(e) >= abs(own) - 1e-12) + 1) * 1.0 / count(*) AS p FROM e, o",
+)
+def moran_permutation(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("v"))
+    return selection.moran_permutation(neighbours.row_weights(label_edges(spark, d), 3), v, "id", "v", 99)
+
+
+TRIO = ["x1", "x2", "x3"]
+COVARIANCES = f"f AS (SELECT id, coalesce(x1, 0) AS x1, x2, x3, y FROM cu), k AS (SELECT count(*) AS n, avg(y) AS my, {', '.join(f'avg({c}) AS m{i}, covar_pop({c}, y) AS s{i}' for i, c in enumerate(TRIO, 1))}, {', '.join(f'covar_pop({a}, {b}) AS c{i}{j}' for i, a in enumerate(TRIO, 1) for j, b in enumerate(TRIO, 1))} FROM f WHERE y IS NOT NULL)"
+FITTED = "my + " + " + ".join(f"b[{i}] * ({c} - m{i})" for i, c in enumerate(TRIO, 1))
+
+
+def filled(spark, d):
+    return customers(spark, d).withColumn("x1", F.coalesce("x1", F.lit(0.0))).select("id", "state", "muni", *TRIO, "y")
+
+
+@query("l: id, d: predicted", f"WITH {CU}, {COVARIANCES}, r_0 AS (SELECT 1 AS g, [{', '.join('[' + ', '.join(f'n * c{i}{j}' + (' + 30' if i == j else '') for j in (1, 2, 3)) + f', n * s{i}]' for i in (1, 2, 3))}] AS m FROM k), {eliminate('r', 3)}, be AS (SELECT list_transform(m, lambda r: r[4]) AS b FROM r_3) SELECT id, {FITTED} AS predicted FROM f, k, be")
+def global_ridge(spark, d):
+    return models.global_ridge(filled(spark, d), TRIO, "y", 30.0)
+
+
+PLS = f"WITH {CU}, {COVARIANCES}, a1 AS (SELECT [s1, s2, s3] AS s, {', '.join(f'[c{i}1, c{i}2, c{i}3] AS c{i}' for i in (1, 2, 3))} FROM k), a2 AS (SELECT *, list_transform(s, lambda x: x / sqrt(list_sum(list_transform(s, lambda z: z * z)))) AS w FROM a1), a3 AS (SELECT *, [list_dot_product(c1, w), list_dot_product(c2, w), list_dot_product(c3, w)] AS cw FROM a2), a4 AS (SELECT *, list_dot_product(w, cw) AS t FROM a3), a5 AS (SELECT *, list_transform(cw, lambda x: x / t) AS p, list_dot_product(s, w) / t AS q FROM a4), a6 AS (SELECT *, list_transform([1, 2, 3], lambda i: s[i] - t * q * p[i]) AS s_2, {', '.join(f'list_transform([1, 2, 3], lambda j: c{i}[j] - t * p[{i}] * p[j]) AS d{i}' for i in (1, 2, 3))} FROM a5), a7 AS (SELECT *, list_transform(s_2, lambda x: x / sqrt(list_sum(list_transform(s_2, lambda z: z * z)))) AS v FROM a6), a8 AS (SELECT *, [list_dot_product(d1, v), list_dot_product(d2, v), list_dot_product(d3, v)] AS dv FROM a7), a9 AS (SELECT *, list_dot_product(s_2, v) / list_dot_product(v, dv) AS q_2, list_dot_product(p, v) AS pv FROM a8), be AS (SELECT list_transform([1, 2, 3], lambda i: w[i] * (q - pv * q_2) + v[i] * q_2) AS b FROM a9)"
+
+
+@query("l: id, d: predicted", f"{PLS} SELECT id, {FITTED} AS predicted FROM f, k, be")
+def global_pls(spark, d):
+    return models.global_pls(filled(spark, d), TRIO, "y", 2)
+
+
+@query("l: id, d: anchor, b: has_residual", f"{PLS} SELECT id, {FITTED} AS anchor, y IS NOT NULL AS has_residual FROM f, k, be")
+def pls_anchor(spark, d):
+    """The anchor of all rows and residuals from fits without the row's own fold."""
+    out = models.pls_anchor(splits.grouped_folds(filled(spark, d), "id", 3), TRIO, "y", "fold", 3, 2)
+    return out.select("id", "anchor", F.col("residual").isNotNull().alias("has_residual"))
+
+
+@query("l: state seats", f"WITH {CU}, q AS (SELECT state, 40.0 * count(*) FILTER (NOT train) / sum(count(*) FILTER (NOT train)) OVER () AS quota, count(*) FILTER (train AND id % 7 = 0) AS room FROM cu GROUP BY state), s AS (SELECT state, i, row_number() OVER (ORDER BY round(2 * (i - quota), 9), state, i) AS r FROM q, range(0, 40) t(i) WHERE i < room) SELECT q.state, count(s.i) AS seats FROM q LEFT JOIN s ON s.state = q.state AND r <= 40 GROUP BY q.state")
+def greedy_allocation(spark, d):
+    c = customers(spark, d)
+    q = c.groupBy("state").agg(F.sum((~F.col("train")).cast("int")).alias("n"), F.sum((F.col("train") & (F.col("id") % 7 == 0)).cast("int")).alias("room"))
+    q = q.crossJoin(F.broadcast(q.agg(F.sum("n").alias("all_")))).withColumn("quota", 40.0 * F.col("n") / F.col("all_"))
+    return splits.greedy_seats(q, "state", "quota", "room", 40)
+
+
+@query("s: protocol, l: id fold", f"WITH {CU}, t AS (SELECT * FROM cu WHERE train) SELECT 'stratified' AS protocol, id, (row_number() OVER (PARTITION BY state ORDER BY {hash_sql('3, id')}, id) - 1) % 4 AS fold FROM t UNION ALL SELECT 'grouped', id, {hash_sql("3, state || '|' || muni")} % 4 FROM t")
+def inner_folds(spark, d):
+    """Inner folds of an outer training set, made as the outer protocol makes its own."""
+    t = customers(spark, d).where("train")
+    one, other = (splits.inner_folds(t, "id", p, "state", "muni", 4, 3).select(F.lit(p).alias("protocol"), "id", "fold") for p in ("stratified", "grouped"))
+    return one.unionByName(other)
+
+
+@query(
+    "l: split_id id, d: objective",
+    f"""WITH {CU}, b AS (SELECT *, x2 / 100 AS p1, x3 / 30 AS p2 FROM cu), tg AS (SELECT * FROM b WHERE NOT train), ex AS (SELECT state, count(*) AS n, 45.0 * count(*) / (SELECT count(*) FROM tg) AS x FROM tg GROUP BY state), se AS (SELECT state, floor(x) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x), 12) DESC, n DESC, state DESC) <= 45 - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS seats FROM ex),
+ ce AS (SELECT avg(p1) AS c1, avg(p2) AS c2 FROM tg), al AS (SELECT count(*) FILTER (NOT train) AS at_, count(*) FILTER (train) AS bt FROM b), sh AS (SELECT muni, count(*) FILTER (NOT train) AS a, count(*) FILTER (train) AS b FROM b GROUP BY muni),
+ po AS (SELECT b.*, exp(-sqrt(pow(p1 - c1, 2) + pow(p2 - c2, 2))) * greatest(0.25, least(4.0, (a * 1.0 / at_ + 0.02) / (sh.b * 1.0 / bt + 0.02))) AS w FROM b JOIN sh USING (muni), ce, al WHERE train), dr AS (SELECT po.*, draw, ({hash_sql('draw, id')} % 1099511627776 + 0.5) / 1099511627776 AS u FROM po, range(0, 15) t(draw)),
+ dn AS (SELECT * FROM dr JOIN se USING (state) QUALIFY row_number() OVER (PARTITION BY draw, state ORDER BY round(ln(u) / greatest(w, 1e-12), 9) DESC, id) <= seats), tot AS (SELECT draw, count(*) AS n FROM dn GROUP BY draw),
+ {', '.join(f"f_{c} AS (SELECT draw, {c}, count(*) AS k FROM dn GROUP BY ALL), g_{c} AS (SELECT {c}, count(*) * 1.0 / (SELECT at_ FROM al) AS p FROM tg GROUP BY {c}), v_{c} AS (SELECT t.draw, 0.5 * sum(abs(coalesce(k * 1.0 / n, 0) - coalesce(p, 0))) AS tv FROM tot t CROSS JOIN (SELECT DISTINCT {c} FROM b) a LEFT JOIN f_{c} f ON f.draw = t.draw AND f.{c} = a.{c} LEFT JOIN g_{c} g ON g.{c} = a.{c} GROUP BY t.draw)" for c in ("muni", "state"))},
+ me AS (SELECT draw, sqrt(pow(avg(p1) - any_value(c1), 2) + pow(avg(p2) - any_value(c2), 2)) AS far FROM dn, ce GROUP BY draw), sc AS (SELECT draw, draw // 5 AS split_id, far + v_muni.tv + 0.5 * v_state.tv AS objective FROM me JOIN v_muni USING (draw) JOIN v_state USING (draw)), be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY split_id ORDER BY round(objective, 9), draw) = 1) SELECT split_id, id, objective FROM dn JOIN be USING (draw)""",
+)
+def target_matched_splits(spark, d):
+    c = customers(spark, d).withColumn("p1", F.col("x2") / 100).withColumn("p2", F.col("x3") / 30).withColumn("held", ~F.col("train"))
+    return splits.target_matched(c, "id", "held", "state", "muni", ["p1", "p2"], 45, 3, 5)
+
+
+@query("d: adjusted_rand, l: n", f"WITH {CU}, c AS (SELECT state, segment, count(*) AS n FROM cu GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2.0) AS p, sum(n) AS n FROM c), a AS (SELECT sum(n * (n - 1) / 2.0) AS p FROM (SELECT sum(n) AS n FROM c GROUP BY state)), b AS (SELECT sum(n * (n - 1) / 2.0) AS p FROM (SELECT sum(n) AS n FROM c GROUP BY segment)) SELECT (t.p - a.p * b.p / (t.n * (t.n - 1) / 2.0)) / ((a.p + b.p) / 2 - a.p * b.p / (t.n * (t.n - 1) / 2.0)) AS adjusted_rand, t.n AS n FROM t, a, b")
+def adjusted_rand(spark, d):
+    return learning.adjusted_rand(customers(spark, d), "state", "segment")
+
+
+query("l: id cluster", name="gmm_regimes")(lambda s, d: learning.regimes(customers(s, d), "id", ["x2", "x3", "y_all"], 3, "gmm"))
+query("l: seed, d: adjusted_rand, l: n", name="regime_stability")(lambda s, d: learning.regime_stability(customers(s, d), "id", ["x2", "x3", "y_all"], 3, "kmeans", [1, 2, 3]))
+
+
+@query("l: id, d: predicted")
+def mixture_of_experts(spark, d):
+    """Experts blended by weights that depend on how common the row's group is."""
+    b = base(spark, d).withColumn("support", F.log(F.count("*").over(Window.partitionBy("user_id")).cast("double")))
+    return learning.mixture_of_experts(b, METHODS, ["support"], "observed").select("id", "predicted")
+
+
+@query("s: tier, d: weight rmse", f"WITH {PR}, s AS (SELECT tier, w, round(sqrt(avg(pow(w * m_user + (1 - w) * m_type - observed, 2))), 12) AS e FROM base, (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) t(w) GROUP BY ALL) SELECT tier, w AS weight, e AS rmse FROM s QUALIFY row_number() OVER (PARTITION BY tier ORDER BY e, w) = 1")
+def blend_weight(spark, d):
+    return learning.blend_weight(base(spark, d), ["tier"], "m_user", "m_type", "observed", [0, 0.25, 0.5, 0.75, 1])
+
+
+@query("d: auc average_precision brier")
+def tail_risk(spark, d):
+    """How well covariates tell the rows with the largest residuals."""
+    b = base(spark, d).withColumn("e", F.col("m_user") - F.col("observed"))
+    return stats.binary_metrics(learning.tail_risk(b, "id", "e", METHODS), "label", "score")
+
+
+@query("l: id", f"WITH {CU} SELECT id FROM cu ORDER BY {hash_sql('11, id')}, id LIMIT 100")
+def random_sample(spark, d):
+    """The feature is a sample: the 100 smallest hashes."""
+    return selection.sample_rows(customers(spark, d), "id", 100, 11).select("id")
+
+
+@query("l: split_id id, s: role", f"WITH {CU}, ex AS (SELECT state, count(*) AS n, 41.0 * count(*) / (SELECT count(*) FROM cu) AS x FROM cu GROUP BY state), se AS (SELECT state, floor(x) + CASE WHEN row_number() OVER (ORDER BY round(x - floor(x), 12) DESC, n DESC, state DESC) <= 41 - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS seats FROM ex) SELECT split_id, id, CASE WHEN row_number() OVER (PARTITION BY split_id, cu.state ORDER BY {hash_sql('split_id, id')}, id) <= seats THEN 'pseudo_target' ELSE 'pseudo_train' END AS role FROM cu JOIN se USING (state), range(0, 4) t(split_id)")
+def state_random_splits(spark, d):
+    c = customers(spark, d)
+    seats = splits.hamilton(c.groupBy("state").agg(F.count("*").cast("double").alias("n")), "state", "n", 41)
+    return splits.pseudo_targets(c, "id", "state", seats, 4)
+
+
+@query("l: state id")
+def spread_selection(spark, d):
+    """Four rows of each state that spread over its covariates; each state's rows are few here and go to one task."""
+    return selection.spread(customers(spark, d), "id", "state", ["x2", "x3", "y_all"], 4)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,11 +70,26 @@ def read_yearly(df: DataFrame, states: Sequence[int], crop_pattern: str, crop_co
     return rows.withColumn("area_key", F.concat(zero_pad(state, 2), zero_pad(municipality, 3)))
 
 
-def read_polygons(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """GeoJSON features: key, properties and the outer ring as array<struct<x, y>> (the first polygon of a multipolygon)."""
-    doc = spark.read.option("multiLine", True).schema("features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>").json(path)
+def read_polygons(spark: SparkSession, path: str, key: str, lines: bool = False) -> DataFrame:
+    """GeoJSON features: key, properties and polygons, an array of polygons, each an outer ring and its holes (rings of struct<x, y>).
+
+    lines: each line is a document, so that large files are split.
+    """
+    doc = spark.read.option("multiLine", not lines).schema("features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>").json(path)
     f = doc.select(F.explode("features").alias("f"))
     single = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     several = F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
-    ring = F.when(F.col("f.geometry.type") == "MultiPolygon", several[0][0]).otherwise(single[0])
-    return f.select(F.col("f.properties")[key].alias(key), F.col("f.properties").alias("properties"), F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    polygons = F.when(F.col("f.geometry.type") == "MultiPolygon", several).otherwise(F.array(single))
+    points = F.transform(polygons, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    return f.select(F.col("f.properties")[key].alias(key), F.col("f.properties").alias("properties"), points.alias("polygons"))
+
+
+def read_layers(spark: SparkSession, paths: Mapping[str, str], key: str, crs: Mapping[str, str], lines: bool = False) -> DataFrame:
+    """The polygons of several layers with the layer's name; layers in different reference systems are refused."""
+    if len(set(crs[name] for name in paths)) > 1:
+        raise ValueError(f"layers differ in their reference system: {dict(crs)}")
+    out = None
+    for name, path in paths.items():
+        one = read_polygons(spark, path, key, lines).withColumn("layer", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelforge.functions import expressions as X
-from panelforge.operators import annual, cells, checks, contract, filters, models, neighbours, panel, recipes, splits, stats, temporal
+from panelforge.operators import annual, cells, checks, contract, filters, learning, models, neighbours, panel, recipes, selection, splits, stats, temporal
 from panelforge.operators import trajectories as T
 from panelforge.sources import readers, writers
 from panelforge.streaming import windows
@@ -184,8 +184,8 @@ def test_laplacian_spreads_labels(spark):
     v = spark.createDataFrame([(1, 1, 0.0), (1, 2, None), (1, 3, 4.0)], "g int, id long, y double")
     got = {r["id"]: r["predicted"] for r in models.laplacian(e, v, ["g"], "id", "y").collect()}
     assert got[2] == pytest.approx(2.0, abs=1e-6)
-    with pytest.raises(Exception, match="dense solve"):
-        models.laplacian(e, v, ["g"], "id", "y", limit=2).collect()
+    large = {r["id"]: r["predicted"] for r in models.laplacian(e, v, ["g"], "id", "y", limit=2).collect()}
+    assert large == pytest.approx(got, abs=1e-7)
 
 
 def test_dtw_and_z_curve():
@@ -232,8 +232,18 @@ def test_sources_and_sinks(spark, tmp_path):
     inv = readers.inventory(files.withColumn("path", F.lit("/x/tmin_2025_04.tif")).limit(1), r"^(\w+)_(\d{4})_(\d{2})\.tif$", [("variable", "string"), ("year", "int"), ("month", "int")])
     assert tuple(one(inv.select("variable", "year", "month"))) == ("tmin", 2025, 4)
     (tmp_path / "p.geojson").write_text('{"features":[{"properties":{"ID":"A"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,1],[0,1],[0,0]]]}}]}')
-    ring = readers.read_polygons(spark, str(tmp_path / "p.geojson"), "ID").select("ID", cells.ring_area(F.col("ring")).alias("a"))
-    assert tuple(one(ring)) == ("A", 2.0)
+    (tmp_path / "q.geojson").write_text('{"features":[{"properties":{"ID":"B"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[4,0],[4,4],[0,4],[0,0]],[[1,1],[1,3],[3,3],[3,1],[1,1]]],[[[10,0],[12,0],[12,2],[10,0]]]]}}]}')
+    names = {"one": str(tmp_path / "p.geojson"), "two": str(tmp_path / "q.geojson")}
+    shapes = readers.read_layers(spark, names, "ID", {"one": "EPSG:1", "two": "EPSG:1"})
+    x, y = cells.polygon_centroid(F.col("polygons"))
+    got = {r["ID"]: tuple(r)[1:] for r in shapes.select("ID", cells.polygon_area(F.col("polygons")).alias("a"), x.alias("x"), y.alias("y")).collect()}
+    assert got["A"] == (2.0, 1.0, 0.5)
+    assert got["B"] == pytest.approx((14.0, (12 * 2 + 2 * 34 / 3) / 14, (12 * 2 + 2 * 2 / 3) / 14))
+    pieces = {(r["ID"], r["bx"], r["by"]): r["area"] for r in cells.polygon_cells(shapes, "ID", 1.5).collect()}
+    assert sum(v for (k, _, _), v in pieces.items() if k == "B") == pytest.approx(14.0)
+    assert pieces["A", 0, 0] == pytest.approx(1.5) and pieces["B", 0, 0] == pytest.approx(2.25 - 0.25)
+    with pytest.raises(ValueError):
+        readers.read_layers(spark, names, "ID", {"one": "EPSG:1", "two": "EPSG:2"})
     (tmp_path / "split.csv").write_text("id,y,Unnamed: 2\n1,2,\n")
     assert readers.read_split(spark, str(tmp_path / "split.csv")).columns == ["id", "y"]
     table = spark.createDataFrame([(1, 1.0, 2.0)], "id int, a double, b double")
@@ -283,6 +293,97 @@ def test_running_total_over_buckets(spark):
     assert stats.running_total(df.limit(0), "x", "n", "t").count() == 0
 
 
+def test_laplacian_is_the_same_on_both_sides_of_the_limit(spark):
+    rng = np.random.default_rng(3)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (150, 2)).tolist() if a != b}
+    edges = spark.createDataFrame([(1, a, b, 0.1 + (a * b) % 7 / 7) for x, y in pairs for a, b in ((x, y), (y, x))], "g long, i long, j long, w double")
+    labels = spark.createDataFrame([(1, i, float(i % 9) if i % 3 else None) for i in range(62)], "g long, id long, y double")
+    dense, sparse = ({r["id"]: r["predicted"] for r in models.laplacian(edges, labels, ["g"], "id", "y", limit=n).collect()} for n in (5000, 10))
+    assert sorted(dense) == sorted(sparse) == list(range(62))
+    assert all(dense[i] == pytest.approx(sparse[i], abs=1e-7) for i in dense)
+
+
+def test_ridge_arms():
+    rng = np.random.default_rng(4)
+    x, d = rng.normal(size=(12, 3)), np.sort(rng.random(12)) + 0.01
+    y = x @ [1.0, 2.0, 3.0] + rng.normal(size=12) * 0.1
+    q = rng.normal(size=3)
+    w = 1 / (d + 1e-6)
+    w = w * 12 / w.sum()
+    n = w.sum() ** 2 / (w @ w)
+    plain = models.arm_ridge(x, y, d, q)
+    assert plain == pytest.approx(models.ridge(x, y, w, q, 30.0))
+    assert models.arm_ridge(x, y, d, q, arm="adaptive") == pytest.approx(models.ridge(x, y, w, q, 30.0 * 12 / n))
+    assert models.arm_ridge(x, y, d, q, arm="shrunk") == pytest.approx(n / 12 * models.ridge(x, y, w, q, 30.0 * 12 / n) + (1 - n / 12) * np.average(y, weights=w))
+    y[3] += 100
+    robust = models.arm_ridge(x, y, d, q, alpha=0.1, arm="robust")
+    assert abs(robust - q @ [1.0, 2.0, 3.0]) < abs(models.arm_ridge(x, y, d, q, alpha=0.1) - q @ [1.0, 2.0, 3.0])
+
+
+def test_nested_search_never_reads_outer_labels(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=2).tolist(), float(rng.normal()), i % 3) for i in range(45)]
+    edges = spark.createDataFrame([(i, j, float(abs(i - j))) for i in range(45) for j in range(45) if i != j], "i long, j long, d double")
+    candidates = learning.grid(spark, {"k": [4, 8], "alpha": [0.1, 30], "power": [0, 1]})
+
+    def run(rows):
+        f = spark.createDataFrame(rows, "id long, x array<double>, y double, fold int")
+        return {(r["outer_fold"], r["i"]): (r["candidate"], r["predicted"]) for r in learning.nested_search(edges, f, "id", candidates, ["k", "alpha", "power"], 8).collect()}
+
+    first = run(rows)
+    assert sorted(i for _, i in first) == list(range(45))
+    second = run([(i, x, 1e6 if fold == 1 else y, fold) for i, x, y, fold in rows])
+    assert {k: v for k, v in first.items() if k[0] == 1} == {k: v for k, v in second.items() if k[0] == 1}
+
+
+def test_permutations_greedy_seats_and_rand(spark):
+    for n in (1, 2, 7, 30):
+        for m, s in splits.permutations(n, 5):
+            assert sorted((i * m + s) % n for i in range(n)) == list(range(n))
+    df = spark.createDataFrame([(i, i % 4) for i in range(40)], "id long, g int")
+    dealt = selection.dealt(df, "id", "g", 3).collect()
+    assert len(dealt) == 160
+    for r in range(4):
+        assert sorted(x["g"] for x in dealt if x["replicate"] == r) == sorted(i % 4 for i in range(40))
+    assert all(x["g"] == x["id"] % 4 for x in dealt if x["replicate"] == 0)
+    quotas, rooms = [3.4, 0.2, 5.1, 2.3], [2, 4, 9, 9]
+    taken = [0] * 4
+    for _ in range(11):
+        taken[min((g for g in range(4) if taken[g] < rooms[g]), key=lambda g: (2 * (taken[g] - quotas[g]) + 1, g))] += 1
+    q = spark.createDataFrame([(g, quotas[g], rooms[g]) for g in range(4)], "g int, quota double, room int")
+    assert {r["g"]: r["seats"] for r in splits.greedy_seats(q, "g", "quota", "room", 11).collect()} == dict(enumerate(taken))
+    two = spark.createDataFrame([(a, b) for a, b in zip([0, 0, 1, 1, 2, 2], [0, 0, 1, 2, 2, 2], strict=True)], "a int, b int")
+    assert one(learning.adjusted_rand(two, "a", "b"))["adjusted_rand"] == pytest.approx(4 / 9)
+    assert one(learning.adjusted_rand(two, "a", "a"))["adjusted_rand"] == 1.0
+
+
+def test_kendall_of_chunks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 2, float(rng.integers(0, 9)), float(rng.integers(0, 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    whole, chunks = ({r["g"]: r["tau"] for r in learning.kendall(df, "x", "y", ["g"], chunk=n).collect()} for n in (4096, 20))
+    assert whole == pytest.approx(chunks)
+
+
+def test_mixture_of_experts_learns_whom_to_trust(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, s, y + (0.01 if s > 0 else 3.0), y + (3.0 if s > 0 else 0.01), y if i % 5 else None) for i, (s, y) in enumerate(rng.normal(size=(200, 2)).tolist())]
+    df = spark.createDataFrame(rows, "id long, s double, a double, b double, y double")
+    out = learning.mixture_of_experts(df, ["a", "b"], ["s"], "y", l2=0.001).withColumn("e", F.abs(F.least("a", "b") - F.col("predicted")))
+    assert out.count() == 200
+    assert out.agg(F.avg("e").alias("e")).first()["e"] < 0.5
+    assert learning.mixture_of_experts(df.where("y is null"), ["a", "b"], ["s"], "y").where("abs(predicted - (a + b) / 2) > 1e-9").count() == 0
+
+
+def test_pls_of_all_components_is_least_squares():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 4))
+    y = x @ [1.0, -2.0, 0.5, 3.0] + rng.normal(size=50)
+    z = np.column_stack([x, y])
+    c = np.cov(z.T) * 49
+    assert models.pls_weights(c, 4) == pytest.approx(np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=None)[0])
+
+
 def test_spread_and_dual_scores():
     from panelforge.operators import selection
 
