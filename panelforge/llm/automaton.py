@@ -1,8 +1,9 @@
 """Repeated word sequences by suffix automata of reference shards.
 
-A reference shard holds the distinct candidate segments of a hash bin (see windows.py). Its automaton has bounded size and goes
-only to the task that holds the same bin of the documents' segments, which stream through it: the matching statistics give,
-at each word, the longest match and how often it occurs.
+A reference shard holds distinct candidate segments of a hash bin (see windows.py), all those of its anchors. Its automaton has
+bounded size and stays in the task that holds the same bin of the documents' segments, which stream through it: the matching
+statistics give, at each word, the longest match and how often it occurs. Broadcasting each automaton to all documents instead
+would cost shards times documents.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from panelforge.llm import windows
 
 
+REFERENCE_BYTES = 64 << 10
+
+
 class SuffixAutomaton:
     """Suffix automaton of several word sequences, with the number of places (counted with weights) where each state's strings end."""
 
@@ -104,6 +108,9 @@ class RepeatedWords(windows.Plan):
     def weights(self, ids, places):
         return np.array([min(2, len(p)) for p in places], np.int64)
 
+    def joined(self, weights):
+        return min(2, sum(weights))
+
     def decide(self, table: pa.Table) -> pa.Table:
         groups: dict[int, dict[bytes, list]] = {}  # anchor -> content -> [weight, [(blob, number)]]
         shards = []
@@ -114,32 +121,49 @@ class RepeatedWords(windows.Plan):
                 e[0] += w
                 e[1].append((b, i, w))
         rows: list[list] = [[] for _ in shards]
-        W = self.W
-        for contents in groups.values():
-            reference = SuffixAutomaton()
-            words = {c: c.split(b" ") for c in contents}
-            for c, (w, _) in contents.items():
-                reference.start()
-                for x in words[c]:
-                    reference.add(x, w)
-            reference.close()
-            for c, (_, where) in contents.items():
-                hits = [e - W + 1 for e, (n, places) in enumerate(reference.matching(words[c], W)) if n >= W and places > 1]
-                if not hits:
-                    continue
-                runs, first = [], hits[0]
-                for x, y in zip(hits, [*hits[1:], None], strict=True):
-                    if y != x + 1:
-                        runs.append((first, x + 1))
-                        first = y
-                for b, i, w in where:
+        for held in self.references(groups):
+            for content, runs in self.repeated(held):
+                for b, i, w in held[content][1]:
                     if w < 2:  # else the shard knows itself
                         rows[b].extend((i, f, t) for f, t in runs)
         return windows.answers([(s, np.array(r, "<u4").tobytes()) for s, r in zip(shards, rows, strict=True) if r], 1)
 
+    @staticmethod
+    def references(groups):
+        """The bin's reference shards: the segments of whole anchors, some REFERENCE_BYTES of them together."""
+        held, size = {}, 0
+        for contents in groups.values():
+            held |= contents
+            size += sum(map(len, contents))
+            if size >= REFERENCE_BYTES:
+                yield held
+                held, size = {}, 0
+        if held:
+            yield held
+
+    def repeated(self, held):
+        """(content, runs of windows) of the segments that have windows at several places: streamed through the shard's automaton."""
+        W, reference = self.W, SuffixAutomaton()
+        words = {c: c.split(b" ") for c in held}
+        for c, (w, _) in held.items():
+            reference.start()
+            for x in words[c]:
+                reference.add(x, w)
+        reference.close()
+        for c in held:
+            hits = [e - W + 1 for e, (n, places) in enumerate(reference.matching(words[c], W)) if n >= W and places > 1]
+            if not hits:
+                continue
+            runs, first = [], hits[0]
+            for x, y in zip(hits, [*hits[1:], None], strict=True):
+                if y != x + 1:
+                    runs.append((first, x + 1))
+                    first = y
+            yield c, runs
+
     def finish(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         ids, texts, wanted, blobs = self.load(docs, replies)
-        contents, _, places = self.candidates(ids, texts, wanted)
+        contents, anchors, places = self.candidates(ids, texts, wanted)
         said: dict[int, list] = {}
         for blob in blobs:
             for i, a, b in np.frombuffer(blob, "<u4").reshape(-1, 3).tolist():
@@ -153,6 +177,12 @@ class RepeatedWords(windows.Plan):
             elif i in said:
                 d, a, _ = where[0]
                 spans[d].extend((a + x, a + y - 1 + W) for x, y in said[i])
+        for number, where in enumerate(self.windows(contents, anchors).values(), len(contents)):
+            if number in said or sum(len(places[i]) for i, _ in where) > 1:
+                for i, j in where:
+                    if len(places[i]) == 1:  # else the whole segment is
+                        d, a, _ = places[i][0]
+                        spans[d].append((a + j, a + j + W))
         out, cut = [], []
         for doc_id, text, null, mine in zip(ids, texts, self.nulls, spans, strict=True):
             words = text.split()

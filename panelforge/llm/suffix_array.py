@@ -178,6 +178,9 @@ class RepeatedBytes(windows.Plan):
     def weights(self, ids, places):
         return np.array([min(NO_ID if ids[d] is None else ids[d] for d, _, _ in p) for p in places], np.int64)
 
+    def joined(self, weights):
+        return min(weights)
+
     def decide(self, table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
         contents, least, anchors, entries = [], [], [], []
@@ -223,7 +226,7 @@ class RepeatedBytes(windows.Plan):
 
     def finish(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         ids, texts, wanted, blobs = self.load(docs, replies)
-        contents, _, places = self.candidates(ids, texts, wanted)
+        contents, anchors, places = self.candidates(ids, texts, wanted)
         said: dict[int, list] = {}
         for blob in blobs:
             n = len(blob) // 20
@@ -241,6 +244,14 @@ class RepeatedBytes(windows.Plan):
                     spans[d].append((a, a + n - 1 + W))
                 elif found:
                     spans[d].extend((a + x, a + y - 1 + W) for x, y in found)
+        firsts = [min(value[d] for d, _, _ in where) for where in places]
+        for number, where in enumerate(self.windows(contents, anchors).values(), len(contents)):
+            least = min(firsts[i] for i, _ in where)
+            for i, j in where:
+                if firsts[i] > least or number in said:
+                    for d, a, _ in places[i]:
+                        if value[d] == firsts[i]:  # larger ids lose the whole segment above
+                            spans[d].append((a + j, a + j + W))
         out = []
         for doc_id, text, mine in zip(ids, texts, spans, strict=True):
             runs: list[list[int]] = []

@@ -13,13 +13,15 @@ Documents are dealt to shards by a hash of their id, in compressed blobs. Then:
 5. the shard maps the answers back to spans of its documents.
 
 Equal segments collapse within a shard before any shuffle, so a passage that a third of all documents share reaches its bin
-once a shard. Unrepeated text costs one anchor hash in some (W-k+2)/2 units and no more.
+once a shard. An anchor that more than HOT places hold may stand in as many different contexts: the segments of such an anchor are
+taken apart, and each distinct window goes to the bin of its own hash. Unrepeated text costs one anchor hash in some (W-k+2)/2 units and no more.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ POS_BITS = U64(20)
 POS_MASK = U64((1 << 20) - 1)
 PRIME = 0x9E3779B97F4A7C15 | 1
 SHARD_BYTES = 3 << 20
+HOT = 20_000  # places of an anchor beyond which its windows are dealt one by one
 BIN_BYTES = 10 << 20  # of the input to a bin
 _powers: dict[str, np.ndarray] = {}
 
@@ -241,7 +244,7 @@ class Plan:
     """What a substring operator fixes: window, anchor, unit, and its exact decision."""
 
     def __init__(self, W: int, k: int, words: bool, shards: int, bins: int):
-        self.W, self.k, self.words, self.shards, self.bins = W, k, words, shards, bins
+        self.W, self.k, self.words, self.shards, self.bins, self.hot = W, k, words, shards, bins, HOT
 
     # -- 0 --------------------------------------------------------------------------------------------------------
     def pack(self, batches):
@@ -316,7 +319,7 @@ class Plan:
             cuts = np.flatnonzero(np.diff(b[order])) + 1
             for part in np.split(order, cuts):
                 n = len(part).to_bytes(4, "little")
-                where = (shard[part] * 2 + several[part]).astype("<i8")
+                where = (shard[part] << 9 | np.minimum(count[part], 255) << 1 | several[part]).astype("<i8")
                 yield int(b[part[0]]), zstandard.ZstdCompressor(level=1).compress(n + planes(np.diff(h[part], prepend=U64(0)), where))
 
         def out(rows):
@@ -341,7 +344,7 @@ class Plan:
 
     # -- 2 --------------------------------------------------------------------------------------------------------
     def meet(self, table: pa.Table) -> pa.Table:
-        """A bin's sorted runs, merged; returns to each shard the hashes that more than one place holds."""
+        """A bin's sorted runs, merged; returns to each shard the hashes that more than one place holds, and which of them are hot."""
         hs, ss = [], []
         for blob in table.column("payload").to_pylist():
             blob = zstandard.decompress(blob)
@@ -353,11 +356,18 @@ class Plan:
         h, s = h[order], s[order]
         same = h[1:] == h[:-1]
         hit = np.append(same, False) | np.append(False, same) | ((s & 1) == 1)
-        h, s = h[hit], (s[hit] >> 1).astype(np.int64)
-        order = np.lexsort((h, s))
-        h, s = h[order], s[order]
-        rows = [(int(s[p[0]]), pack48(np.unique(h[p]))) for p in np.split(np.arange(len(s)), np.flatnonzero(np.diff(s)) + 1) if len(p)]
-        return answers(rows, 0)
+        h, s = h[hit], s[hit]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        held = np.add.reduceat(s >> 1 & 255, first) if len(first) else first
+        hot = np.repeat(held > self.hot, np.diff(np.append(first, len(h))))
+        s = (s >> 9).astype(np.int64)
+
+        def reply(h, s, kind):
+            order = np.lexsort((h, s))
+            h, s = h[order], s[order]
+            return answers([(int(s[p[0]]), pack48(np.unique(h[p]))) for p in np.split(np.arange(len(s)), np.flatnonzero(np.diff(s)) + 1) if len(p)], kind)
+
+        return pa.concat_tables([reply(h, s, 0), reply(h[hot], s[hot], 2)])
 
     # -- 3 --------------------------------------------------------------------------------------------------------
     def candidates(self, ids: list, texts: list[bytes], wanted: np.ndarray):
@@ -404,9 +414,21 @@ class Plan:
         kinds, blobs = replies.column("kind").to_pylist(), replies.column("payload").to_pylist()
         hashes = [unpack48(b) for k, b in zip(kinds, blobs, strict=True) if k == 0]
         wanted = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        self.hot_anchors = {x for k, b in zip(kinds, blobs, strict=True) if k == 2 for x in unpack48(b).tolist()}
         rest = [b for k, b in zip(kinds, blobs, strict=True) if k == 1]
         return ids, texts, wanted, rest
 
+    def windows(self, contents: list[bytes], anchors: list[int]) -> dict[bytes, list[tuple[int, int]]]:
+        """The distinct windows of the segments with a hot anchor: (segment, place in it) of each, in a fixed order."""
+        out: dict[bytes, list[tuple[int, int]]] = {}
+        for i, (content, anchor) in enumerate(zip(contents, anchors, strict=True)):
+            if anchor in self.hot_anchors:
+                units = content.split(b" ") if self.words else content
+                for j in range(len(units) - self.W + 1):
+                    key = b" ".join(units[j : j + self.W]) if self.words else units[j : j + self.W]
+                    out.setdefault(key, []).append((i, j))
+        return out
+
     def send(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         schema = pa.schema([("bin", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary())])
         ids, texts, wanted, _ = self.load(docs, replies)
@@ -414,14 +436,25 @@ class Plan:
         if not contents:
             return pa.Table.from_batches([], schema)
         shard = docs.column("shard")[0].as_py()
+        weight = self.weights(ids, places)
+        apart = self.windows(contents, anchors)
+        if apart:  # numbered after the segments
+            cold = np.array([a not in self.hot_anchors for a in anchors])
+            weight = np.append(weight, [self.joined([weight[i] for i, _ in where]) for where in apart.values()]).astype(np.int64)
+            anchors = [*anchors, *(xxhash.xxh64_intdigest(w) >> 16 for w in apart)]
+            contents = [*contents, *apart]
+            sent = np.append(np.flatnonzero(cold), np.arange(len(cold), len(contents)))
+        else:
+            sent = np.arange(len(contents))
         h = np.array(anchors, np.uint64)
-        b = bin_of(h, self.bins)
+        b = bin_of(h[sent], self.bins)
         order = np.argsort(b, kind="stable")
         rows = []
-        for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
-            columns = [np.diff(part, prepend=0), [len(contents[i]) for i in part], self.weights(ids, [places[i] for i in part]), h[part] & U64(0xFFFFFFFF)]
+        for at in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
+            part = sent[at]
+            columns = [np.diff(part, prepend=0), [len(contents[i]) for i in part], weight[part], h[part] & U64(0xFFFFFFFF)]
             blob = b"".join([len(part).to_bytes(4, "little"), planes(*columns), *[contents[i] for i in part]])
-            rows.append((int(b[part[0]]), shard, zstandard.ZstdCompressor(level=1).compress(blob)))
+            rows.append((int(b[at[0]]), shard, zstandard.ZstdCompressor(level=1).compress(blob)))
         bins, shards, payloads = zip(*rows, strict=True)
         return pa.table([pa.array(bins, pa.int32()), pa.array(shards, pa.int32()), pa.array(payloads, pa.binary())], schema=schema)
 
@@ -441,6 +474,10 @@ class Plan:
         """What a shard tells of each collapsed segment."""
         raise NotImplementedError
 
+    def joined(self, weights) -> int:
+        """What it tells of a window that several of its segments hold, from their weights."""
+        raise NotImplementedError
+
     def decide(self, table: pa.Table) -> pa.Table:
         raise NotImplementedError
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelforge.llm import automaton, components, decontaminate, langid, packing, queries, quotes, simhash, sstable, subspace, suffix_array, tokens, warc
+from panelforge.llm import automaton, components, decontaminate, langid, packing, queries, quotes, simhash, sstable, subspace, suffix_array, tokens, warc, windows
 
 DATA = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(60)] + ["été", "ñandú", "字"]
@@ -126,6 +126,33 @@ def test_op10_keeps_other_columns_and_clean_texts(spark, corpus):
             assert any(k[0] == i and (k[1] or "").encode().split() == [x for x, y in zip(w, g, strict=True) if not y] for k in got)
 
 
+@pytest.mark.parametrize("hot", [0, 30, 10**9])
+def test_hot_anchors(spark, monkeypatch, hot):
+    """A line in many contexts, and periodic texts: the same result whether an anchor's segments are taken apart or not."""
+    monkeypatch.setattr(windows, "HOT", hot)
+    rng = random.Random(17)
+    line = " ".join(f"hot{i}" for i in range(12))
+    tail = lambda: " ".join(rng.choice(["x", "y", "zz"]) for _ in range(40))
+    rows = [(i, f"{tail()} {line} {tail()}") for i in range(120)] + [(200, "a " * 90), (201, "a " * 60), (202, "ab" * 80), (203, rows_text := f"{line} " * 6), (204, rows_text), (None, rows_text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, len(w), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(w, g, strict=True) if not y)).hexdigest()) for i, w, g in words_without_repeats(rows))
+    assert Counter(tuple(r)[:4] for r in automaton.dedup_words(df).collect()) == want
+    first: dict[bytes, float] = {}
+    order = lambda i: float("inf") if i is None else i
+    for i, t in rows:
+        b = t.encode()
+        for a in range(len(b) - 49):
+            first[b[a : a + 50]] = min(first.get(b[a : a + 50], float("inf")), order(i))
+    want = Counter()
+    for i, t in rows:
+        b, gone = t.encode(), set()
+        for a in range(len(b) - 49):
+            if first[b[a : a + 50]] < order(i):
+                gone.update(range(a, a + 50))
+        want[i, len(b), len(gone), hashlib.sha256(bytes(x for n, x in enumerate(b) if n not in gone)).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_array.dedup_bytes(df).collect()) == want
+
+
 def test_automaton_counts_places():
     rng = random.Random(8)
     texts = [[rng.choice("ab") for _ in range(rng.randint(1, 12))] for _ in range(12)]
