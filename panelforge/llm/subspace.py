@@ -106,7 +106,8 @@ def linked(x: np.ndarray, y: np.ndarray, rotated_x: np.ndarray, rotated_y: np.nd
             distance *= -2
             distance += pp[strip, None]
             distance += qq[low:high]
-            near[:, order[low:high]] |= distance <= share
+            i, j = np.nonzero(distance <= share)
+            near[i, order[low + j]] = True
             if tally is not None:
                 tally[0] += distance.size
         i, j = np.nonzero(near)
