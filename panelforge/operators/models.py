@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import materialize
+from panelforge.session import discard, materialize
 
 
 def group_means(train: DataFrame, query: DataFrame, group: str, target: str, name: str = "predicted") -> DataFrame:
@@ -187,8 +187,9 @@ def sparse_laplacian(edges: DataFrame, labels: DataFrame, by: Sequence[str], key
     state = state.withColumn("deg", F.coalesce("deg", F.lit(0.0))).withColumn("known", known.cast("double")).withColumn("diag", F.col("known") + penalty * F.col("deg") + 1e-8)
     state = state.select(*node, "mean", "known", "deg", "diag", F.lit(0.0).alias("f"), F.coalesce(F.col(target) - F.col("mean"), F.lit(0.0)).alias("r"))
     state = materialize(state.withColumn("p", F.col("r") / F.col("diag")), "state")
-    first = state.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("first_"))
+    first = materialize(state.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("first_")), "first")
     for _ in range(rounds):
+        held = state
         pulled = edges.join(state.select(*keys, F.col(key).alias("j"), F.col("p").alias("pj")), [*keys, "j"]).groupBy(*keys, F.col("i").alias(key)).agg(F.sum(F.col("w") * F.col("pj")).alias("pull"))
         image = F.col("diag") * F.col("p") - penalty * F.coalesce("pull", F.lit(0.0))
         step = materialize(state.join(pulled, node, "left").withColumn("image", image).drop("pull"), "step")
@@ -198,6 +199,8 @@ def sparse_laplacian(edges: DataFrame, labels: DataFrame, by: Sequence[str], key
         new = moved.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("new_"))
         turned = moved.join(new, keys).withColumn("p", F.col("r") / F.col("diag") + F.when(F.col("rz") > 0, F.col("new_") / F.col("rz")).otherwise(F.lit(0.0)) * F.col("p"))
         state = materialize(turned.select(*node, "mean", "known", "deg", "diag", "f", "r", "p"), "state")
+        discard(held)
+        discard(step)
         left = state.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("left_")).join(first, keys)
         if not left.where(F.col("left_") > tolerance**2 * F.col("first_")).limit(1).count():
             break
