@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import materialize
+from panelforge.session import discard, materialize
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "star")
+        last, edges = edges, materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "star")
+        discard(last)
         now = _state(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

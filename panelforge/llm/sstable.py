@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import files, tokens
-from panelforge.session import partitions, release, scratch, ship
+from panelforge.session import partitions, plan_bytes, release, scratch, ship
 
 MAGIC = b"PFSSTB01"
 FOOTER = struct.Struct("<QQQQQQB8s")
 BLOCK = 64 << 10
+SHARD_BYTES = 128 << 20  # of the input to a shard, about
 BITS_PER_KEY = 10
 PROBES = 7
 
@@ -174,7 +175,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
     The manifest has shard (its number in key order), path, documents and tokens. Shards are ranges of the identifier, so their
     order is the order of identifiers. A task that is run again writes another file and the manifest names one of them.
     A null or empty text has no ids but the end id. Null identifiers come last. Rows with one identifier are all kept, in
-    the order of their ids' bytes. Extra columns are ignored. An empty table gives an empty manifest.
+    the order of their texts, and share a shard. Extra columns are ignored. An empty table gives an empty manifest.
     """
     spark = ship(docs.sparkSession)
 
@@ -182,30 +183,23 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = No
         writer, path, number = None, None, 0
         code = tokens.encoder(vocabulary)
         end = np.array([] if end_id is None else [end_id], code.type)
-        held: list[tuple[bytes, bytes]] = []
         for batch in batches:
             coded = code.encode(batch.column("text").to_pylist())
             for doc_id, ids, number in zip(batch.column("id").to_pylist(), coded, batch.column("shard").to_pylist(), strict=True):
                 if writer is None:
                     path = files.fresh(folder, ".sst")
                     writer = Writer(path, code.type.itemsize)
-                key = key_of(doc_id)
-                if held and held[0][0] != key:
-                    for entry in sorted(held):
-                        writer.add(*entry)
-                    held = []
-                held.append((key, np.concatenate([ids, end]).tobytes()))
+                writer.add(key_of(doc_id), np.concatenate([ids, end]).tobytes())
         if writer is not None:
-            for entry in sorted(held):
-                writer.add(*entry)
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [number], "path": [path], "documents": [writer.documents], "tokens": [writer.tokens]})
         release()
 
     schema = "shard long, path string, documents long, tokens long"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = source.repartitionByRange(4 * partitions(spark), F.col("id").asc_nulls_last())
-    ranged = ranged.withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.col("id").asc_nulls_last())
+    shards = max(4 * partitions(spark), (plan_bytes(docs) or 0) // SHARD_BYTES)
+    ranged = source.repartitionByRange(shards, F.col("id").asc_nulls_last())
+    ranged = ranged.withColumn("shard", F.spark_partition_id()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
     manifest = ranged.mapInArrow(shard, schema)
     path = f"{folder.rstrip('/')}/manifest"
     manifest.write.parquet(path)
