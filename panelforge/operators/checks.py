@@ -17,10 +17,22 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
         raise KeyError(f"missing columns: {missing}")
 
 
+def known_unique(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the optimiser can prove that keys don't repeat, as after an aggregate by them: no job is run."""
+    sets = df._jdf.queryExecution().optimizedPlan().distinctKeys().iterator()
+    while sets.hasNext():
+        names, attributes = set(), sets.next().iterator()
+        while attributes.hasNext():
+            names.add(attributes.next().name())
+        if names and names <= set(keys):
+            return True
+    return False
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Raises on a key that occurs twice; looks for one such key only."""
+    """Raises on a key that occurs twice; runs a job, which looks for one such key only, unless the plan proves it can't be."""
     require_columns(df, keys)
-    if df.groupBy(*keys).count().where("count > 1").limit(1).count():
+    if not known_unique(df, keys) and df.groupBy(*keys).count().where("count > 1").limit(1).count():
         raise ValueError(f"keys {list(keys)} are not unique")
     return df
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.expressions import haversine_km
+from panelforge.functions.expressions import EARTH_KM, haversine_km
+from panelforge.session import materialize
 
 
 QUERY_ROWS = 10_000
+REACH = 8  # buckets in each direction before a place meets all rows
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -52,6 +54,57 @@ def nearest(e: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_places(left: DataFrame, right: DataFrame, key: str, lat: str, lon: str, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, i, j, d, rank): the k places of the right side nearest to each of the left one, other than itself, over the sphere.
+
+    With `by` (columns of the right side) each left place has k in every group. Exact, without meeting all pairs: a place looks
+    at the grid buckets around it, and once more at twice the reach until its k-th neighbour lies nearer than anything outside
+    can; what a few rounds leave open meets all rows, in blocks. A round is written to the shared folder. Rows without
+    coordinates take no part; ties go to the smaller j; fewer than k come back where there are no more.
+    """
+    held = [F.col(key).alias("j"), *by, F.col(lat).cast("double").alias("lat_j"), F.col(lon).cast("double").alias("lon_j")]
+    r = right.select(*held).where("lat_j is not null and lon_j is not null")
+    box = r.agg(F.count("*").alias("n"), F.min("lat_j").alias("a"), F.max("lat_j").alias("b"), F.min("lon_j").alias("c"), F.max("lon_j").alias("d")).first()
+    pending = left.select(F.col(key).alias("i"), F.col(lat).cast("double").alias("lat_i"), F.col(lon).cast("double").alias("lon_i")).where("lat_i is not null and lon_i is not null")
+    groups = r.select(*by).distinct() if by else None
+    pending = pending.crossJoin(F.broadcast(groups)) if by else pending  # groups are folds or splits
+    spread = max((box["b"] - box["a"]) * (box["d"] - box["c"]), 1e-6) if box["n"] else 1.0
+    around = max(1, int(360 / max(0.001, min(90.0, (spread * k / max(1, box["n"])) ** 0.5))))  # buckets round the globe
+    step = 360 / around
+    by_y, by_x = (F.floor((F.col(c) + o) / step).cast("long") for c, o in (("lat_j", 90), ("lon_j", 180)))
+    r = materialize(r.withColumn("by_", by_y).withColumn("bx_", F.pmod(by_x, F.lit(around))), "places")
+    pair = haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j"))
+    names = [*by, "i"]
+
+    def best(met: DataFrame) -> DataFrame:
+        return nearest(met.where("i <> j").select(*names, "j", pair.alias("d"), "lat_i", "lon_i"), k, by)
+
+    out, reach = None, 1
+    while True:
+        whole = reach > REACH or 2 * reach + 1 >= around
+        if whole:
+            met = against(pending, r, "i") if not by else pending.withColumnsRenamed({c: f"{c}_l" for c in by})
+            met = met if not by else against(met, r, "i").where(" and ".join(f"{c} <=> {c}_l" for c in by))
+        else:
+            rows = F.sequence(F.floor((F.col("lat_i") + 90) / step) - reach, F.floor((F.col("lat_i") + 90) / step) + reach)
+            cols = F.transform(F.sequence(F.floor((F.col("lon_i") + 180) / step) - reach, F.floor((F.col("lon_i") + 180) / step) + reach), lambda x: F.pmod(x, F.lit(around)))
+            met = pending.withColumn("by_", F.explode(rows)).withColumn("bx_", F.explode(cols)).join(r, [*by, "by_", "bx_"])
+        found = materialize(best(met), "nearest")
+        kept = found.select(*names, "j", "d", "rank")
+        if whole:
+            return kept if out is None else out.unionByName(kept)
+        # the covered box ends `reach` steps away at least: northward, or at a meridian that far off
+        away = F.least(F.lit(reach * step), F.lit(90.0))
+        safe = EARTH_KM * F.least(F.radians(away), F.asin(F.sin(F.radians(away)) * F.cos(F.radians("lat_i"))))
+        done = found.where((F.col("rank") == k) & (F.col("d") <= safe)).select(*names)
+        sure = kept.join(done, names, "left_semi")
+        out = sure if out is None else out.unionByName(sure)
+        pending = materialize(pending.join(done, names, "left_anti"), "pending")
+        if not pending.limit(1).count():
+            return out
+        reach *= 2
+
+
 def normalized(e: DataFrame) -> DataFrame:
     """Distances over the median distance of the nearest neighbour."""
     scale = e.where("d is not null").groupBy("i").agg(F.min("d").alias("m_")).agg(F.median("m_").alias("scale_"))

@@ -10,7 +10,7 @@ from panelforge.operators.trajectories import with_features
 from panelforge.plans.oracles import eliminate, hash_sql, laplacian_sql, ridge_sql
 from panelforge.plans.panel_queries import EV, MONTHS, events
 from panelforge.plans.registry import query, table
-from panelforge.plans.table_queries import CU, GEO, METHODS, PR, base, customers, label_edges, neighbour_rows, places, predictions
+from panelforge.plans.table_queries import ALL, CU, GEO, METHODS, PR, base, customers, label_edges, near, neighbour_rows, places, predictions
 
 KINDS = {"tn": "click", "tx": "view", "pr": "purchase", "np": "signup", "ae": "error"}
 
@@ -119,7 +119,7 @@ FX = "f AS (SELECT vec_id AS id, label, list_transform(embedding[4:8], lambda x:
 
 @query(
     "l: outer_fold i candidate, d: predicted",
-    f"""WITH {GEO}, {FX}, fo AS (SELECT *, {hash_sql('0, id')} % 5 AS fold FROM f), e AS (SELECT o.outer_fold, ed.i, ed.j, ed.d FROM ed JOIN fo a ON a.id = ed.i JOIN fo b ON b.id = ed.j JOIN range(0, 5) o(outer_fold) ON o.outer_fold <> b.fold WHERE a.fold <> b.fold),
+    f"""WITH {ALL}, {FX}, fo AS (SELECT *, {hash_sql('0, id')} % 5 AS fold FROM f), e AS (SELECT o.outer_fold, ed.i, ed.j, ed.d FROM ed JOIN fo a ON a.id = ed.i JOIN fo b ON b.id = ed.j JOIN range(0, 5) o(outer_fold) ON o.outer_fold <> b.fold WHERE a.fold <> b.fold),
  ca AS (SELECT (row_number() OVER (ORDER BY a, b, c)) - 1 AS candidate, a AS k, b AS alpha, c AS power FROM (VALUES (6.0), (12.0)) x(a), (VALUES (1.0), (30.0)) y(b), (VALUES (0.0), (1.0)) z(c)),
  ne AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, i ORDER BY d, j) AS r FROM e QUALIFY r <= 12), nb AS (SELECT concat_ws('_', outer_fold, i, candidate) AS g, j, 1 / pow(d + 1e-6, power) AS w, b.x, b.y, a.x AS q, alpha FROM ne JOIN ca ON r <= k JOIN fo a ON a.id = i JOIN fo b ON b.id = j),
  {ridge_sql()}, p AS (SELECT CAST(split_part(g, '_', 1) AS BIGINT) AS outer_fold, CAST(split_part(g, '_', 2) AS BIGINT) AS i, CAST(split_part(g, '_', 3) AS BIGINT) AS candidate, predicted FROM sol),
@@ -130,27 +130,29 @@ def nested_search(spark, d):
     """Each outer fold takes the candidate that the other folds prefer and predicts its own rows once."""
     f = splits.grouped_folds(features(spark, d), "id", 5)
     candidates = learning.grid(spark, {"k": [6, 12], "alpha": [1, 30], "power": [0, 1]})
-    return learning.nested_search(label_edges(spark, d), f, "id", candidates, ["k", "alpha", "power"], 12)
+    p = places(spark, d)
+    e = neighbours.nearest_places(p, p.join(f.select("id", "fold"), "id"), "id", "lat", "lon", 12, ["fold"]).select("i", "j", "d")
+    return learning.nested_search(e, f, "id", candidates, ["k", "alpha", "power"], 12)
 
 
 def near_sql(where: str, k: int, weight: str = "1 / (d + 1e-6)", alpha: float = 30.0) -> str:
     return f"nb AS (SELECT i AS g, j, {weight} AS w, b.x, b.y, a.x AS q, {alpha} AS alpha FROM (SELECT * FROM ed WHERE {where} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= {k}) JOIN f a ON a.id = i JOIN f b ON b.id = j)"
 
 
-query("l: i, d: predicted", f"WITH {GEO}, {FX}, {near_sql('true', 12)}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="leave_one_out")(lambda s, d: learning.leave_one_out(label_edges(s, d), features(s, d), "id", 12))
+query("l: i, d: predicted", f"WITH {ALL}, {FX}, {near_sql('true', 12)}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="leave_one_out")(lambda s, d: learning.leave_one_out(near(s, d, 12), features(s, d), "id", 12))
 HELD = "i % 10 < 3 AND j % 10 >= 3"
-query("l: i, d: predicted", f"WITH {GEO}, {FX}, {near_sql(HELD, 24)}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="local_ridge")(lambda s, d: models.predict_local(neighbour_rows(s, d), []))
-query("l: i, d: predicted", f"WITH {GEO}, {FX}, {near_sql(HELD, 24, '1 / (1 + d)')}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="local_ridge_mixed")(lambda s, d: models.predict_local(neighbour_rows(s, d), [], models.mixed_ridge))
+query("l: i, d: predicted", f"WITH {ALL}, {FX}, {near_sql(HELD, 24)}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="local_ridge")(lambda s, d: models.predict_local(neighbour_rows(s, d), []))
+query("l: i, d: predicted", f"WITH {ALL}, {FX}, {near_sql(HELD, 24, '1 / (1 + d)')}, {ridge_sql()} SELECT g AS i, predicted FROM sol", name="local_ridge_mixed")(lambda s, d: models.predict_local(neighbour_rows(s, d), [], models.mixed_ridge))
 ARMS = ["normalized", "adaptive", "shrunk"]
 
 
 @query(
     "s: arm, l: i, d: predicted",
-    f"WITH {GEO}, {FX}, {near_sql(HELD, 12)}, ef AS (SELECT g, count(*) AS k, sum(w) AS s, pow(sum(w), 2) / sum(w * w) AS n FROM nb GROUP BY g), ar(arm) AS (VALUES ('normalized'), ('adaptive'), ('shrunk')), na AS (SELECT arm || '_' || nb.g AS g, j, w * k / s AS w, x, y, q, alpha * CASE WHEN arm = 'normalized' THEN 1 ELSE k / n END AS alpha FROM nb JOIN ef USING (g), ar), {ridge_sql(nb='na')}, o AS (SELECT split_part(g, '_', 1) AS arm, CAST(split_part(g, '_', 2) AS BIGINT) AS i, predicted, mean_y FROM sol) SELECT arm, i, CASE WHEN arm = 'shrunk' AND k >= 3 THEN least(1, n / k) * predicted + (1 - least(1, n / k)) * mean_y ELSE predicted END AS predicted FROM o JOIN ef ON ef.g = o.i",
+    f"WITH {ALL}, {FX}, {near_sql(HELD, 12)}, ef AS (SELECT g, count(*) AS k, sum(w) AS s, pow(sum(w), 2) / sum(w * w) AS n FROM nb GROUP BY g), ar(arm) AS (VALUES ('normalized'), ('adaptive'), ('shrunk')), na AS (SELECT arm || '_' || nb.g AS g, j, w * k / s AS w, x, y, q, alpha * CASE WHEN arm = 'normalized' THEN 1 ELSE k / n END AS alpha FROM nb JOIN ef USING (g), ar), {ridge_sql(nb='na')}, o AS (SELECT split_part(g, '_', 1) AS arm, CAST(split_part(g, '_', 2) AS BIGINT) AS i, predicted, mean_y FROM sol) SELECT arm, i, CASE WHEN arm = 'shrunk' AND k >= 3 THEN least(1, n / k) * predicted + (1 - least(1, n / k)) * mean_y ELSE predicted END AS predicted FROM o JOIN ef ON ef.g = o.i",
 )
 def local_ridge_arms(spark, d):
-    near = neighbour_rows(spark, d, 12)
-    out = [models.predict_local(near, [], models.arm_ridge, arm=a).withColumn("arm", F.lit(a)) for a in ARMS]
+    rows = neighbour_rows(spark, d, 12)
+    out = [models.predict_local(rows, [], models.arm_ridge, arm=a).withColumn("arm", F.lit(a)) for a in ARMS]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -194,9 +196,9 @@ def shortlist_per_family(spark, d):
     return learning.shortlist(m, "family", 4, ["rmse", "split_id", "candidate"])
 
 
-@query("l: i j, d: d", f"WITH {GEO}, n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM n WHERE r <= 2 GROUP BY 1, 2")
+@query("l: i j, d: d", f"WITH {ALL}, n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM n WHERE r <= 2 GROUP BY 1, 2")
 def symmetric_neighbours(spark, d):
-    return neighbours.symmetric(neighbours.nearest(label_edges(spark, d), 2))
+    return neighbours.symmetric(near(spark, d, 2))
 
 
 @query("s: segment, l: n, d: mean_y std_y share", f"WITH {CU} SELECT segment, count(*) AS n, avg(y_all) AS mean_y, stddev_samp(y_all) AS std_y, count(*) * 1.0 / (SELECT count(*) FROM cu) AS share FROM cu GROUP BY segment")
@@ -319,31 +321,33 @@ def yearly_file_audit(spark, d):
     return selection.audit_files(f, "yr", "name", "digest", list(range(1990, 2003))).withColumnRenamed("check", "check_")
 
 
-RBF = f"{GEO}, kn AS (SELECT i, j, d FROM ed QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 8), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM kn GROUP BY 1, 2), le AS (SELECT em.label, bo.i, bo.j, CASE WHEN s > 0 THEN exp(-0.5 * pow(d / s, 2)) ELSE 1 END AS w FROM (SELECT i, j, d FROM sy UNION ALL SELECT j, i, d FROM sy) bo JOIN em ON em.id = bo.i, (SELECT median(d) AS s FROM sy))"
+RBF = f"{ALL}, kn AS (SELECT i, j, d FROM ed QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 8), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM kn GROUP BY 1, 2), le AS (SELECT 0 AS label, bo.i, bo.j, CASE WHEN s > 0 THEN exp(-0.5 * pow(d / s, 2)) ELSE 1 END AS w FROM (SELECT i, j, d FROM sy UNION ALL SELECT j, i, d FROM sy) bo, (SELECT median(d) AS s FROM sy))"
 
 
-@query("l: label id, d: predicted", f"WITH RECURSIVE {RBF}, ln AS (SELECT label, vec_id AS id, CASE WHEN vec_id % 10 >= 3 THEN CAST(embedding[3] AS DOUBLE) END AS y FROM embeddings), {laplacian_sql()} SELECT label, id, f AS predicted FROM lap")
+def smoothing_graph(spark, d):
+    return neighbours.rbf_graph(near(spark, d, 8), 8).withColumn("part", F.lit(0))
+
+
+@query("l: id, d: predicted", f"WITH RECURSIVE {RBF}, ln AS (SELECT 0 AS label, vec_id AS id, CASE WHEN vec_id % 10 >= 3 THEN CAST(embedding[3] AS DOUBLE) END AS y FROM embeddings), {laplacian_sql()} SELECT id, f AS predicted FROM lap")
 def graph_laplacian(spark, d):
-    lab = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.when(F.col("vec_id") % 10 >= 3, F.col("embedding")[2].cast("double")).alias("y"))
-    g = neighbours.rbf_graph(label_edges(spark, d), 8).join(lab.select(F.col("id").alias("i"), (F.col("label") + 0).alias("label")), "i")
-    return models.laplacian(g, lab, ["label"], "id", "y")
+    lab = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("part"), F.when(F.col("vec_id") % 10 >= 3, F.col("embedding")[2].cast("double")).alias("y"))
+    return models.laplacian(smoothing_graph(spark, d), lab, ["part"], "id", "y")
 
 
-@query("l: label id, d: predicted", f"WITH RECURSIVE {RBF}, rw AS (SELECT label, vec_id AS id, CAST(embedding[2] AS DOUBLE) AS anchor, CASE WHEN vec_id % 10 >= 3 THEN CAST(embedding[3] AS DOUBLE) END AS target FROM embeddings), ln AS (SELECT label, id, target - anchor AS y FROM rw), {laplacian_sql()} SELECT rw.label, rw.id, anchor + f AS predicted FROM lap JOIN rw USING (label, id)")
+@query("l: id, d: predicted", f"WITH RECURSIVE {RBF}, rw AS (SELECT 0 AS label, vec_id AS id, CAST(embedding[2] AS DOUBLE) AS anchor, CASE WHEN vec_id % 10 >= 3 THEN CAST(embedding[3] AS DOUBLE) END AS target FROM embeddings), ln AS (SELECT label, id, target - anchor AS y FROM rw), {laplacian_sql()} SELECT rw.id, anchor + f AS predicted FROM lap JOIN rw USING (id)")
 def residual_graph_correction(spark, d):
     e = F.col("embedding")
-    rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), e[1].cast("double").alias("anchor"), F.when(F.col("vec_id") % 10 >= 3, e[2].cast("double")).alias("target"))
-    g = neighbours.rbf_graph(label_edges(spark, d), 8).join(rows.select(F.col("id").alias("i"), (F.col("label") + 0).alias("label")), "i")
-    return selection.residual_correction(g, rows, ["label"], "id")
+    rows = table(spark, d, "embeddings").select(F.lit(0).alias("part"), F.col("vec_id").alias("id"), e[1].cast("double").alias("anchor"), F.when(F.col("vec_id") % 10 >= 3, e[2].cast("double")).alias("target"))
+    return selection.residual_correction(smoothing_graph(spark, d), rows, ["part"], "id")
 
 
 @query(
     "d: morans_i expected p",
-    f"WITH {GEO}, kn AS (SELECT i, j, d FROM ed QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 3), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j FROM kn GROUP BY 1, 2), bo AS (SELECT i, j FROM sy UNION ALL SELECT j, i FROM sy), w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM bo), x AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS v, row_number() OVER (ORDER BY {hash_sql('5, vec_id')}, vec_id) - 1 AS place FROM embeddings), n AS (SELECT count(*) AS n FROM x), {DEALT}, c AS (SELECT avg(v) AS m, count(*) AS n, var_pop(v) * count(*) AS ss FROM x), e AS (SELECT a.replicate, any_value(n) / sum(w) * sum(w * (a.v - m) * (b.v - m)) / any_value(ss) AS e, -1.0 / (any_value(n) - 1) AS expected FROM w JOIN met a ON a.id = i JOIN met b ON b.id = j AND a.replicate = b.replicate, c GROUP BY a.replicate), o AS (SELECT e AS own FROM e WHERE replicate = 0) SELECT any_value(own) AS morans_i, any_value(expected) AS expected, (count(*) FILTER (replicate > 0 AND abs(e) >= abs(own) - 1e-12) + 1) * 1.0 / count(*) AS p FROM e, o",
+    f"WITH {ALL}, kn AS (SELECT i, j, d FROM ed QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 3), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j FROM kn GROUP BY 1, 2), bo AS (SELECT i, j FROM sy UNION ALL SELECT j, i FROM sy), w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM bo), x AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS v, row_number() OVER (ORDER BY {hash_sql('5, vec_id')}, vec_id) - 1 AS place FROM embeddings), n AS (SELECT count(*) AS n FROM x), {DEALT}, c AS (SELECT avg(v) AS m, count(*) AS n, var_pop(v) * count(*) AS ss FROM x), e AS (SELECT a.replicate, any_value(n) / sum(w) * sum(w * (a.v - m) * (b.v - m)) / any_value(ss) AS e, -1.0 / (any_value(n) - 1) AS expected FROM w JOIN met a ON a.id = i JOIN met b ON b.id = j AND a.replicate = b.replicate, c GROUP BY a.replicate), o AS (SELECT e AS own FROM e WHERE replicate = 0) SELECT any_value(own) AS morans_i, any_value(expected) AS expected, (count(*) FILTER (replicate > 0 AND abs(e) >= abs(own) - 1e-12) + 1) * 1.0 / count(*) AS p FROM e, o",
 )
 def moran_permutation(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("v"))
-    return selection.moran_permutation(neighbours.row_weights(label_edges(spark, d), 3), v, "id", "v", 99)
+    return selection.moran_permutation(neighbours.row_weights(near(spark, d, 3), 3), v, "id", "v", 99)
 
 
 TRIO = ["x1", "x2", "x3"]

@@ -318,6 +318,15 @@ def label_edges(spark, d, how="place"):
     return neighbours.edges(p, p, "id", f, cols, ["label"]).select("i", "j", "d")
 
 
+ALL = f"{EM}, ed AS (SELECT a.id AS i, b.id AS j, {KM} AS d FROM em a JOIN em b ON a.id <> b.id)"
+
+
+def near(spark, d, k, asked="true", known="true"):
+    """The k nearest places, over all places."""
+    p = places(spark, d)
+    return neighbours.nearest_places(p.where(asked), p.where(known), "id", "lat", "lon", k)
+
+
 @query("l: i j, d: d", f"WITH {GEO}, sc AS (SELECT median(m) AS s FROM (SELECT i, min(d) AS m FROM ed GROUP BY i)) SELECT i, j, d / s AS d FROM ed, sc")
 def normalized_distance(spark, d):
     return neighbours.normalized(label_edges(spark, d))
@@ -330,18 +339,18 @@ def mixed_distance(spark, d):
     return neighbours.mixed({"geo": (geo, 0.3), "feature": (feature, 0.7)})
 
 
-KN = f"{GEO}, kn AS (SELECT i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) WHERE r <= 3), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM kn GROUP BY 1, 2), bo AS (SELECT i, j, d FROM sy UNION ALL SELECT j, i, d FROM sy)"
+KN = f"{ALL}, kn AS (SELECT i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) WHERE r <= 3), sy AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS d FROM kn GROUP BY 1, 2), bo AS (SELECT i, j, d FROM sy UNION ALL SELECT j, i, d FROM sy)"
 
 
 @query("l: i j, d: d w", f"WITH {KN}, s AS (SELECT median(d) AS s FROM sy) SELECT i, j, d, exp(-0.5 * pow(d / s, 2)) AS w FROM bo, s")
 def knn_graph_rbf(spark, d):
-    return neighbours.rbf_graph(label_edges(spark, d), 3)
+    return neighbours.rbf_graph(near(spark, d, 3), 3)
 
 
 @query("l: n, d: morans_i expected", f"WITH {KN}, w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM bo), v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS v FROM embeddings), c AS (SELECT avg(v) AS m, count(*) AS n, var_pop(v) * count(*) AS ss FROM v) SELECT any_value(n) AS n, any_value(n) / sum(w) * sum(w * (a.v - m) * (b.v - m)) / any_value(ss) AS morans_i, -1.0 / (any_value(n) - 1) AS expected FROM w JOIN v a ON i = a.id JOIN v b ON j = b.id, c")
 def moran_i(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("v"))
-    return neighbours.morans_i(neighbours.row_weights(label_edges(spark, d), 3), v, "id", "v")
+    return neighbours.morans_i(neighbours.row_weights(near(spark, d, 3), 3), v, "id", "v")
 
 
 @query("l: id cell, d: distance_km", f"WITH {EM}, ce AS (SELECT la * 1000 + lo AS cell, la * 1.0 AS lat, -120.0 + lo AS lon FROM range(0, 41) a(la), range(0, 41) b(lo)), p AS (SELECT a.id, b.cell, {KM} AS km FROM em a JOIN ce b ON abs(floor(a.lat) - floor(b.lat)) <= 1 AND abs(floor(a.lon) - floor(b.lon)) <= 1), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, cell) AS i FROM p) SELECT id, cell, km AS distance_km FROM r WHERE i = 1")
@@ -351,17 +360,15 @@ def nearest_cell(spark, d):
     return neighbours.nearest_cell(places(spark, d), ce, "id", "cell", "lat", "lon", 1.0)
 
 
-@query("l: i, d: predicted", f"WITH {GEO}, q AS (SELECT i, j, d FROM ed WHERE i % 10 < 3 AND j % 10 >= 3), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM q) WHERE r <= 6) SELECT i, coalesce(avg(v) FILTER (d <= 1e-12), sum(v / (d + 1e-8)) / sum(1 / (d + 1e-8))) AS predicted FROM k JOIN (SELECT vec_id, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings) ON j = vec_id GROUP BY i")
+@query("l: i, d: predicted", f"WITH {ALL}, q AS (SELECT i, j, d FROM ed WHERE i % 10 < 3 AND j % 10 >= 3), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM q) WHERE r <= 6) SELECT i, coalesce(avg(v) FILTER (d <= 1e-12), sum(v / (d + 1e-8)) / sum(1 / (d + 1e-8))) AS predicted FROM k JOIN (SELECT vec_id, CAST(embedding[3] AS DOUBLE) AS v FROM embeddings) ON j = vec_id GROUP BY i")
 def idw_knn(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("j"), F.col("embedding")[2].cast("double").alias("v"))
-    e = label_edges(spark, d).where("i % 10 < 3 and j % 10 >= 3")
-    return neighbours.idw(neighbours.nearest(e, 6).join(v, "j"), "v", [])
+    return neighbours.idw(near(spark, d, 6, "id % 10 < 3", "id % 10 >= 3").join(v, "j"), "v", [])
 
 
 def neighbour_rows(spark, d, k=24):
     p = places(spark, d).select("id", F.slice(F.transform("e", lambda x: x.cast("double")), 4, 5).alias("x"), F.col("e")[2].cast("double").alias("y"))
-    near = neighbours.nearest(label_edges(spark, d).where("i % 10 < 3 and j % 10 >= 3"), k)
-    return near.join(p.select(F.col("id").alias("j"), "x", "y"), "j").join(p.select(F.col("id").alias("i"), F.col("x").alias("q")), "i").select("i", "j", "d", "x", "y", "q")
+    return near(spark, d, k, "id % 10 < 3", "id % 10 >= 3").join(p.select(F.col("id").alias("j"), "x", "y"), "j").join(p.select(F.col("id").alias("i"), F.col("x").alias("q")), "i").select("i", "j", "d", "x", "y", "q")
 
 
 query("l: i, d: predicted", name="local_ridge_huber")(lambda s, d: models.predict_local(neighbour_rows(s, d, 10), [], models.huber_ridge))
@@ -690,10 +697,10 @@ def feature_inventory(spark, d):
     return p.groupBy(family.alias("family"), F.col("p_type").alias("mode")).agg(F.count("*").alias("n"), F.sum((F.col("p_size") > 25).cast("long")).alias("n_numeric"))
 
 
-@query("l: id, s: tier", f"WITH {GEO}, n AS (SELECT i, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) WHERE r <= 3 GROUP BY i), q AS (SELECT *, (SELECT count(*) FROM n b WHERE b.m >= a.m) * 1.0 / (SELECT count(*) FROM n) AS s FROM n a) SELECT i AS id, CASE WHEN s >= 0.8 THEN 'A' WHEN s >= 0.6 THEN 'B' WHEN s >= 0.4 THEN 'C' WHEN s >= 0.2 THEN 'D' ELSE 'E' END AS tier FROM q")
+@query("l: id, s: tier", f"WITH {ALL}, n AS (SELECT i, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM ed) WHERE r <= 3 GROUP BY i), q AS (SELECT *, (SELECT count(*) FROM n b WHERE b.m >= a.m) * 1.0 / (SELECT count(*) FROM n) AS s FROM n a) SELECT i AS id, CASE WHEN s >= 0.8 THEN 'A' WHEN s >= 0.6 THEN 'B' WHEN s >= 0.4 THEN 'C' WHEN s >= 0.2 THEN 'D' ELSE 'E' END AS tier FROM q")
 def support_tiers(spark, d):
     """Share of rows at least as far from their neighbours, cut into five tiers: a running total over distinct distances."""
-    m = neighbours.nearest(label_edges(spark, d), 3).groupBy("i").agg(F.avg("d").alias("m"))
+    m = near(spark, d, 3).groupBy("i").agg(F.avg("d").alias("m"))
     steps = stats.running_total(m.groupBy("m").agg(F.count("*").alias("n")), "m", "n", "reached", descending=True)
     whole = m.agg(F.count("*").alias("all_"))
     at_least = steps.crossJoin(F.broadcast(whole)).select("m", (F.col("reached") / F.col("all_")).alias("s"))

@@ -357,6 +357,32 @@ def test_permutations_greedy_seats_and_rand(spark):
     assert one(learning.adjusted_rand(two, "a", "a"))["adjusted_rand"] == 1.0
 
 
+@pytest.mark.parametrize(("reach", "by"), [(8, []), (1, []), (8, ["g"])])
+def test_nearest_places_equals_brute_force(spark, monkeypatch, reach, by):
+    """Clusters, lone places, both sides of the date line and the poles; also where rounds end early."""
+    monkeypatch.setattr(neighbours, "REACH", reach)
+    rng = np.random.default_rng(9)
+    at = np.concatenate([rng.normal([20, -100], 0.5, (80, 2)), rng.normal([0, 179.9], 0.3, (30, 2)), rng.normal([89, 0], 0.5, (20, 2)), rng.uniform([-90, -180], [90, 180], (30, 2)), [[20.0, -100.0]] * 3])
+    at[:, 0] = np.clip(at[:, 0], -90, 90)
+    at[:, 1] = (at[:, 1] + 180) % 360 - 180
+    rows = [(i, float(a), float(b), i % 3) for i, (a, b) in enumerate(at)]
+    df = spark.createDataFrame([*rows, (999, None, 1.0, 0)], "id long, lat double, lon double, g int")
+    rad = np.radians(at)
+    h = np.sin((rad[:, None, 0] - rad[None, :, 0]) / 2) ** 2 + np.cos(rad[:, None, 0]) * np.cos(rad[None, :, 0]) * np.sin((rad[:, None, 1] - rad[None, :, 1]) / 2) ** 2
+    d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, h)))
+    got = {}
+    for r in neighbours.nearest_places(df.drop("g") if by else df, df, "id", "lat", "lon", 4, by).collect():
+        got.setdefault((r["i"], *(r[c] for c in by)), []).append((r["rank"], r["d"]))
+    want = {}
+    for i in range(len(at)):
+        for g in range(3) if by else [None]:
+            near = sorted(d[i, j] for j in range(len(at)) if j != i and (g is None or j % 3 == g))[:4]
+            want[(i, g) if by else (i,)] = near
+    assert sorted(got) == sorted(want)
+    for key, near in want.items():
+        assert [x for _, x in sorted(got[key])] == pytest.approx(near, abs=1e-6)
+
+
 def test_kendall_of_chunks(spark):
     rng = np.random.default_rng(6)
     rows = [(i % 2, float(rng.integers(0, 9)), float(rng.integers(0, 9))) for i in range(300)]
