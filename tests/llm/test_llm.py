@@ -482,6 +482,27 @@ def test_rows_keep_their_columns_and_are_judged_by_themselves(spark):
     assert rows_of(decontaminate.clean(df, bench)) == rows_of(df.where(F.coalesce(F.col("text") != texts[3], F.lit(True))))
 
 
+def test_near_copies_of_a_whole_table(spark):
+    """All documents of a given table against exact similarities of all pairs that share a shingle."""
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in docs.collect()}
+    holders: dict[int, list[int]] = {}
+    for i, s in rows.items():
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    shared: Counter = Counter()
+    for ids in holders.values():
+        shared.update((a, b) for x, a in enumerate(ids) for b in ids[x + 1 :])
+    empty = [i for i, s in rows.items() if not s]
+    links = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(rows[a]) + len(rows[b]) - n) - 1e-9] + [(empty[0], b) for b in empty[1:]]
+    label = {i: i for i in rows}
+    for _ in range(20):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sum(label[i] != i for i in rows) > 20
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == {i: c for i, c in label.items() if i != c}
+
+
 def test_near_copies_of_filler_texts(spark):
     """Sets decide, not majorities: texts that share one repeated word are no copies."""
     rng = random.Random(14)
