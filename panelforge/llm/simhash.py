@@ -392,21 +392,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         release()
 
     def rest(batches):
-        """Pairs at a shingle of classes in different components."""
+        """Pairs at a shingle of classes in different components.
+
+        The smaller set of a pair has the shingle early, in the first (1 - similarity) / (1 + similarity) of its order: only
+        such rows look for partners, so a shingle that all its sets have late costs nothing.
+        """
         for key, fp, at, label in groups_of(batches, ["key", "fp", "at", "label"]):
             order = np.lexsort((label, key))
             key, fp, label, n, place = key[order], fp[order], label[order], at[order] >> 32, at[order] & 0xFFFFFFFF
+
+            def bounds(new):
+                first = np.flatnonzero(new)
+                size = np.diff(np.append(first, len(new)))
+                return np.repeat(first, size), np.repeat(first + size, size)
+
             new = np.append(True, key[1:] != key[:-1])
-            group = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
-            new = new | np.append(True, label[1:] != label[:-1])
-            after = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
-            count = group - after
+            start, end = bounds(new)
+            own, after = bounds(new | np.append(True, label[1:] != label[:-1]))
+            asks = np.flatnonzero(((n - place) * (1 + similarity) >= 2 * similarity * n - 1e-9) & ((own > start) | (after < end)))
+            count = own[asks] - start[asks] + end[asks] - after[asks]
             work, a = np.cumsum(count), 0
-            while a < len(key):
+            while a < len(asks):
                 b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
                 c = count[a:b]
-                i = np.repeat(np.arange(a, b), c)
-                j = np.repeat(after[a:b], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                i = np.repeat(asks[a:b], c)
+                j = start[i] + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                j += np.where(j >= own[i], after[i] - own[i], 0)
                 ok = may_reach(n[i], place[i], n[j], place[j], similarity)
                 x, y = fp[i[ok]], fp[j[ok]]
                 if len(x):
