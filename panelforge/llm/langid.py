@@ -2,9 +2,10 @@
 
 Fitting takes a bounded sample: SAMPLE_DOCS labelled documents a language, those with the smallest hash of their id, an equal
 share of the dictionary from the head of each (SAMPLE_CHARS at most), lower-cased. Every text is lower-cased too and
-compressed whole, in chunks, once a dictionary. A chunk's size is what it adds to a piece of the dictionary, since a short text
-alone might not be compressed at all; texts of all lengths are measured alike. The smallest size names the language. The score is
-the margin over the next language, as a share of that language's size.
+compressed whole, in chunks. A chunk's size is what it adds to a piece of the dictionary, since a short text alone might not be
+compressed at all. The chunks of a text take turns over the dictionary and its slices, and go round until each of those has had a
+turn: sizes of short texts are coarse, and several measurements tell them apart. The smallest sum names the language. The score is
+the margin over the next language, as a share of that language's sum.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from panelforge.session import ship
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 96 << 10
 MODEL_BYTES = 24 << 20  # of all dictionaries: beyond 256 languages each has less
-CHUNK = 4 << 10
+CHUNK = 512
+SLICES = 6
 LEVEL = 6
 MARGIN = 0.002
 LEAD = 256
@@ -62,15 +64,29 @@ def coder(dictionary: bytes) -> zstandard.ZstdCompressor:
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = []
+        self.parts = []  # for each language: the dictionary and its slices, each with a lead and the lead's size
         for name in self.names:
-            lead, code = dictionaries[name][:LEAD], coder(dictionaries[name])
-            self.coders.append((code, lead, len(code.compress(lead))))
+            whole = dictionaries[name]
+            step = max(1, len(whole) // SLICES)
+            self.parts.append([self.part(whole), *(self.part(whole[a : a + step]) for a in range(0, step * SLICES, step))])
+
+    @staticmethod
+    def part(dictionary: bytes) -> tuple:
+        code, lead = coder(dictionary), dictionary[:LEAD]
+        return code, lead, len(code.compress(lead))
 
     def sizes(self, data: bytes) -> list[int]:
-        """What a whole text adds to the lead of each dictionary, compressed with it, summed over chunks."""
+        """What the chunks of a whole text add to the leads, summed over their turns."""
         chunks = [data[a : a + CHUNK] for a in range(0, len(data), CHUNK)]
-        return [sum(max(1, len(code.compress(lead + x)) - base) for x in chunks) for code, lead, base in self.coders]
+        turns = chunks * -(-(SLICES + 1) // len(chunks))
+        out = []
+        for parts in self.parts:
+            total = 0
+            for n, x in enumerate(turns):
+                code, lead, base = parts[n % len(parts)]
+                total += max(1, len(code.compress(lead + x)) - base)
+            out.append(total)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); without a letter: (und, 0)."""
