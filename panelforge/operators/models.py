@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import discard, materialize
+from panelforge.session import discard, materialize, partitions
 
 
 def group_means(train: DataFrame, query: DataFrame, group: str, target: str, name: str = "predicted") -> DataFrame:
@@ -128,7 +128,8 @@ def arm_ridge(x, y, d, q, alpha: float = 30.0, power: float = 1.0, arm: str = "n
 def gather(neighbours: DataFrame, by: Sequence[str]) -> DataFrame:
     """A row for each (by, i): its neighbours' d, y and x (flat) nearest first, and its own q. The groups have at most k rows."""
     cell = F.struct(F.col("d").isNull().alias("u"), "d", "j", F.col("y").cast("double").alias("y"), "x")
-    rows = neighbours.groupBy(*by, "i").agg(F.array_sort(F.collect_list(cell)).alias("c_"), F.first("q").alias("q"))
+    dealt = neighbours.repartition(partitions(neighbours.sparkSession), *by, "i")  # solves cost more than their few bytes tell
+    rows = dealt.groupBy(*by, "i").agg(F.array_sort(F.collect_list(cell)).alias("c_"), F.first("q").alias("q"))
     return rows.select(*by, "i", F.col("c_.d").alias("d"), F.col("c_.y").alias("y"), F.flatten("c_.x").alias("x"), "q")
 
 

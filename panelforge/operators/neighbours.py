@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.expressions import EARTH_KM, haversine_km
-from panelforge.session import materialize
+from panelforge.session import materialize, partitions
 
 
 QUERY_ROWS = 10_000
+FEW_ROWS = 5_000  # of a right side that all queries meet at once
 REACH = 8  # buckets in each direction before a place meets all rows
 
 
@@ -72,7 +73,7 @@ def nearest_places(left: DataFrame, right: DataFrame, key: str, lat: str, lon: s
     around = max(1, int(360 / max(0.001, min(90.0, (spread * k / max(1, box["n"])) ** 0.5))))  # buckets round the globe
     step = 360 / around
     by_y, by_x = (F.floor((F.col(c) + o) / step).cast("long") for c, o in (("lat_j", 90), ("lon_j", 180)))
-    r = materialize(r.withColumn("by_", by_y).withColumn("bx_", F.pmod(by_x, F.lit(around))), "places")
+    r = r if (box["n"] or 0) <= FEW_ROWS else materialize(r.withColumn("by_", by_y).withColumn("bx_", F.pmod(by_x, F.lit(around))), "places")
     pair = haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j"))
     names = [*by, "i"]
 
@@ -81,15 +82,19 @@ def nearest_places(left: DataFrame, right: DataFrame, key: str, lat: str, lon: s
 
     out, reach = None, 1
     while True:
-        whole = reach > REACH or 2 * reach + 1 >= around
-        if whole:
+        few = (box["n"] or 0) <= FEW_ROWS  # then rounds cost more than they spare
+        whole = few or reach > REACH or 2 * reach + 1 >= around
+        if few:
+            asked = pending.repartition(partitions(pending.sparkSession), "i")
+            met = asked.join(F.broadcast(r), list(by)) if by else asked.crossJoin(F.broadcast(r))
+        elif whole:
             met = against(pending, r, "i") if not by else pending.withColumnsRenamed({c: f"{c}_l" for c in by})
             met = met if not by else against(met, r, "i").where(" and ".join(f"{c} <=> {c}_l" for c in by))
         else:
             rows = F.sequence(F.floor((F.col("lat_i") + 90) / step) - reach, F.floor((F.col("lat_i") + 90) / step) + reach)
             cols = F.transform(F.sequence(F.floor((F.col("lon_i") + 180) / step) - reach, F.floor((F.col("lon_i") + 180) / step) + reach), lambda x: F.pmod(x, F.lit(around)))
             met = pending.withColumn("by_", F.explode(rows)).withColumn("bx_", F.explode(cols)).join(r, [*by, "by_", "bx_"])
-        found = materialize(best(met), "nearest")
+        found = best(met) if few else materialize(best(met), "nearest")
         kept = found.select(*names, "j", "d", "rank")
         if whole:
             return kept if out is None else out.unionByName(kept)

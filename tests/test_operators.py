@@ -357,10 +357,11 @@ def test_permutations_greedy_seats_and_rand(spark):
     assert one(learning.adjusted_rand(two, "a", "a"))["adjusted_rand"] == 1.0
 
 
-@pytest.mark.parametrize(("reach", "by"), [(8, []), (1, []), (8, ["g"])])
+@pytest.mark.parametrize(("reach", "by"), [(8, []), (1, []), (8, ["g"]), (1, ["g"]), (0, []), (0, ["g"])])
 def test_nearest_places_equals_brute_force(spark, monkeypatch, reach, by):
     """Clusters, lone places, both sides of the date line and the poles; also where rounds end early."""
-    monkeypatch.setattr(neighbours, "REACH", reach)
+    monkeypatch.setattr(neighbours, "REACH", reach or 8)
+    monkeypatch.setattr(neighbours, "FEW_ROWS", 0 if reach else 5000)
     rng = np.random.default_rng(9)
     at = np.concatenate([rng.normal([20, -100], 0.5, (80, 2)), rng.normal([0, 179.9], 0.3, (30, 2)), rng.normal([89, 0], 0.5, (20, 2)), rng.uniform([-90, -180], [90, 180], (30, 2)), [[20.0, -100.0]] * 3])
     at[:, 0] = np.clip(at[:, 0], -90, 90)
