@@ -51,12 +51,23 @@ def coverage(df: DataFrame, key: str, sensor: str, date: str, cloud: str, variab
     return pivot_named(df.where(F.col(sensor).isNotNull()), [key], sensor, sensors, aggregates, prefix)
 
 
-def position_means(df: DataFrame, key: str, sensor: str, position: str, variable: str, sensors: Sequence, positions: Sequence[int], prefix: str) -> DataFrame:
-    """Mean by entity, sensor and position in the season, wide: prefix__<sensor>__<variable>__mNN."""
+def position_means(df: DataFrame, key: str, sensor: str, position: str, variable: str, sensors: Sequence, positions: Sequence[int], prefix: str, order: str | None = None) -> DataFrame:
+    """Mean by entity, sensor and position in the season, wide: prefix__<sensor>__<variable>__mNN.
+
+    With `order`, a column that tells the rows of a cell apart, values are added one after another in that order: means are then
+    the same to the last bit however the rows are partitioned, which ties between means depend on. A cell's values meet in a task.
+    """
     tag = F.concat_ws("__", slug(F.col(sensor).cast("string")), F.format_string("m%02d", F.col(position)))
     values = [f"{s}__m{p:02d}" for s in names_of(sensors).values() for p in positions]
     rows = df.where(F.col(sensor).isNotNull()).withColumn("tag_", tag)
-    out = rows.groupBy(key).pivot("tag_", values).agg(F.avg(variable))
+    if order:
+        cell = F.when(F.col(variable).isNotNull(), F.struct(F.col(order).alias("o"), F.col(variable).cast("double").alias("v")))
+        cells = rows.groupBy(key, "tag_").agg(F.array_sort(F.collect_list(cell)).alias("c_"))
+        total = F.aggregate("c_", F.lit(0.0), lambda a, c: a + c["v"])
+        rows, average = cells.select(key, "tag_", F.when(F.size("c_") > 0, total / F.size("c_")).alias("mean_")), F.first("mean_")
+    else:
+        average = F.avg(variable)
+    out = rows.groupBy(key).pivot("tag_", values).agg(average)
     return out.withColumnsRenamed({v: f"{prefix}__{v.replace('__', f'__{variable}__')}" for v in values})
 
 

@@ -441,3 +441,29 @@ def test_learning_pieces(spark):
     assert learning.convex_weights(np.eye(2), np.array([2.0, -1.0])) == pytest.approx([1.0, 0.0])
     t = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 3.0), ("b", 1.0, 1.0)], "g string, x double, y double")
     assert {r["g"]: r["tau"] for r in learning.kendall(t, "x", "y", ["g"]).collect()} == {"a": pytest.approx(1 / 3), "b": None}
+
+
+def test_position_means_in_order(spark):
+    rows = [(n, 1, "a", 4, v) for n, v in enumerate([0.1, 0.2, 0.3, None])]
+    df = spark.createDataFrame(rows[::-1], "n long, id long, s string, p int, v double").repartition(3, "n")
+    wide = panel.position_means(df, "id", "s", "p", "v", ["a"], [4, 5], "t", order="n")
+    r = one(wide)
+    assert r["t__a__v__m04"] == (0.1 + 0.2 + 0.3) / 3 != (0.3 + 0.2 + 0.1) / 3
+    assert r["t__a__v__m05"] is None
+
+
+@pytest.mark.parametrize("name", ["range_position"])
+def test_ties_of_means_follow_sql(spark, tmp_path, name):
+    """Files in any order of rows: whether a mean lies below the range is decided as by sums in the order of event_id."""
+    import duckdb
+
+    from panelforge import plans
+
+    ev = [(1, "click", 0.1), (2, "click", 0.2), (3, "click", 0.3), (4, "view", 0.3), (5, "view", 0.2), (6, "view", 0.1), (8, "view", 5.0)]
+    sql = "SELECT * FROM (VALUES {}) t(event_id, ts, user_id, event_type, value, props)".format(", ".join(f"({n}::BIGINT, TIMESTAMP '2024-01-{29 if v == 5 else 1:02d} 00:00:00', 9::BIGINT, '{s}', {v}::DOUBLE, '{{\"k\": 1}}')" for n, s, v in ev))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS {sql} ORDER BY event_id")
+    (tmp_path / "events.parquet").mkdir()
+    con.execute(f"COPY (SELECT * FROM events ORDER BY event_id DESC) TO '{tmp_path}/events.parquet/a.parquet' (FORMAT parquet)")
+    got = plans.QUERIES[name](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == con.execute(plans.ORACLE[name]).fetchall()
