@@ -51,11 +51,14 @@ class Encoder:
     def sure(self, piece: str) -> bool:
         return len(piece) <= LONGEST_PIECE and SURE.fullmatch(piece) is not None and self.special.search(piece) is None
 
-    def learn(self, key: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> None:
-        """Adds new pieces; those that can't be cut out are not added."""
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        good = [i for i, t in enumerate(texts) if self.sure(t)]
-        if len(self.number) + len(good) > CACHE_PIECES:
+    def learn(self, key: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> bool:
+        """Adds new pieces, whose keys ascend; those that can't be cut out are not added. Tells whether known ones were dropped."""
+        line = b" ".join(pieces).decode("utf-8", "replace")  # pieces hold no space
+        texts = line.split(" ")
+        plain = self.special.search(line) is None
+        good = [i for i, t in enumerate(texts) if (plain and 0 < len(t) <= LONGEST_PIECE and t.isascii() and t.isprintable()) or self.sure(t)]
+        full = len(self.number) + len(good) > CACHE_PIECES
+        if full:
             n = CACHE_PIECES // 2
             old = self.number < n
             self.key, self.check, self.number = self.key[old], self.check[old], self.number[old]
@@ -73,11 +76,18 @@ class Encoder:
             stops.append(stops[-1][-1] + stop)
         first = len(self.stop) - 1
         self.flat, self.stop = np.concatenate(parts), np.concatenate(stops)
-        key = np.concatenate([self.key, key[good]])
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.check = np.concatenate([self.check, check[good]])[order]
-        self.number = np.concatenate([self.number, np.arange(first, first + len(good), dtype=np.int32)])[order]
+        place = np.searchsorted(self.key, key[good], "right") + np.arange(len(good))  # the sorted table is merged, not sorted again
+        rest = np.ones(len(self.key) + len(good), bool)
+        rest[place] = False
+
+        def merged(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+            out = np.empty(len(rest), old.dtype)
+            out[place], out[rest] = new, old
+            return out
+
+        self.number = merged(self.number, np.arange(first, first + len(good), dtype=np.int32))
+        self.key, self.check = merged(self.key, key[good]), merged(self.check, check[good])
+        return full
 
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Numbers of pieces, -1 where unknown; key ascends."""
@@ -114,8 +124,13 @@ class Encoder:
         group[order] = np.cumsum(lead) - 1
         number = self.find(key[distinct], check[distinct])
         new = distinct[number < 0]
-        self.learn(key[new], check[new], [data[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
-        number = self.find(key[distinct], check[distinct])[group]
+        if len(new):
+            dropped = self.learn(key[new], check[new], [data[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            if dropped:
+                number = self.find(key[distinct], check[distinct])
+            else:
+                number[number < 0] = self.find(key[new], check[new])
+        number = number[group]
         number[check != check[distinct][group]] = -1
         unknown = number < 0
         unknown[first] = False

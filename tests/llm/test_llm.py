@@ -769,3 +769,16 @@ def test_pipeline_on_odd_tables(spark, tmp_path, empty):
     packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count()
     assert packed == len(kept)
     assert kept == (set() if empty else {*range(20), None} - {5})
+
+
+def test_encoder_asks_little_of_plain_words(monkeypatch):
+    """Plain pieces are looked at together; tables stay sorted as they grow and are cut; ids are the library's."""
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    code = tokens.Encoder(queries.vocabulary())
+    asked, sure = [], code.sure
+    monkeypatch.setattr(code, "sure", lambda piece: asked.append(piece) or sure(piece))
+    for n in range(6):
+        text = "first " + " ".join(f"word{n}x{i} caf\u00e9{i}" for i in range(8)) + " a  b"
+        assert code.encode([text, None])[0].tolist() == code.whole(text).tolist()
+        assert (code.key[1:] > code.key[:-1]).all() and len(code.number) <= 40
+    assert not any(piece.startswith("word") for piece in asked)
