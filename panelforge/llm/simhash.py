@@ -7,7 +7,8 @@ fingerprint goes to the at most 17 anchors within radius plus threshold, in both
 home there are compared with all that came. Equal texts collapse to one fingerprint first. An anchor's links leave it as a
 forest, never as all pairs.
 
-The pipeline's near copies are found on shingle sets instead: candidates by prefix filtering, each verified exactly.
+The pipeline's near copies are candidates of the same search, on fingerprints of shingle sets, each verified exactly on the sets.
+Fingerprints of sets at a similarity of 0.8 often differ in more bits, so prefix filtering adds the pairs they leave out.
 """
 
 from __future__ import annotations
@@ -336,7 +337,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """(id, mark, head_id, head_mark) of each row with an id; mark: a hash of its text; head: the least (id, mark) of its group.
 
     Two rows are linked if the Jaccard similarity of their shingle sets is at least `similarity`; every link is verified on the
-    whole sets, and no such pair is left out. A group is a component of links. Rows with one set collapse. Similar sets share a
+    whole sets, and no such pair is left out. A group is a component of links. Rows with one set collapse. Sets whose SimHash
+    fingerprints are equal or linked by link() are compared; for pairs with more differing bits, similar sets share a
     shingle of their prefixes in any one order, here from rare to frequent ones. Each set at a shingle is first compared with
     one set there; after the components of those links, sets of different components are compared where places in the order
     and sizes still allow it. Texts without words, null or not, are copies of each other. Rows that share an id are documents
@@ -352,17 +354,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     def take(batches):
         frequent, counts = shared_order.value
         for batch in batches:
-            fp, n, first = [], [], []
+            fp, sim, n, first = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, size)
                 fp.append(class_of(s))
+                sim.append(fingerprint(s))
                 n.append(len(s))
                 first.append(prefix(s, frequent, counts, similarity).tobytes())
-            names = ["id", "mark", "fp", "n", "prefix"]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary())], names=names)
+            names = ["id", "mark", "fp", "sim", "n", "prefix"]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(fp, pa.int64()), pa.array(sim, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary())], names=names)
         release()
 
-    rows = materialize(source.mapInArrow(take, "id long, mark long, fp long, n long, prefix binary"), "prefixes")
+    rows = materialize(source.mapInArrow(take, "id long, mark long, fp long, sim long, n long, prefix binary"), "prefixes")
     known = materialize(rows.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("x")).select("fp", "x.id", "x.mark"), "sets")
 
     def spread(batches):
@@ -429,7 +432,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     heads = rows.join(known, ["fp", "id", "mark"], "left_semi").where("n > 0").dropDuplicates(["fp"]).select("fp", "n", "prefix")
     met = heads.mapInArrow(spread, "key long, fp long, at long").repartition(4 * partitions(spark), "key").sortWithinPartitions("key")
     shared = materialize(met.mapInArrow(meet, "key long, fp long, at long, hub long, near boolean"), "shared")
-    tried = shared.where("near").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    prints = materialize(rows.where("n > 0").select("fp", "sim").distinct(), "prints")
+    homes_ = materialize(prints.groupBy("sim").agg(F.min("fp").alias("one")), "sims")  # a class for each fingerprint
+    alike = prints.join(homes_, "sim").where("fp <> one").select("fp", F.col("one").alias("hub"))
+    linked_sims = link(homes_.select(F.col("sim").alias("fp")))
+    ones = [homes_.select(F.col("sim").alias(c), F.col("one").alias(o)) for c, o in (("a", "fp"), ("b", "hub"))]
+    by_anchor = linked_sims.join(ones[0], "a").join(ones[1], "b").select("fp", "hub")
+    met_by = alike.unionByName(by_anchor).unionByName(shared.where("near").select("fp", "hub"))
+    tried = met_by.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
     tried = materialize(verified(tried, known, source, size, similarity), "compared")
     links = tried.where("similar").select("a", "b")
     label = components(links).select(F.col("node").alias("fp"), "component")

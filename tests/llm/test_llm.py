@@ -782,3 +782,14 @@ def test_encoder_asks_little_of_plain_words(monkeypatch):
         assert code.encode([text, None])[0].tolist() == code.whole(text).tolist()
         assert (code.key[1:] > code.key[:-1]).all() and len(code.number) <= 40
     assert not any(piece.startswith("word") for piece in asked)
+
+
+def test_near_copies_come_through_simhash(spark, monkeypatch):
+    """The stage meets texts by their fingerprints' anchors; links found there are verified before they count."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(f"v{i}" for i in range(300)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, link = [], simhash.link
+    monkeypatch.setattr(simhash, "link", lambda fps, *a: seen.append({r["fp"] for r in fps.collect()}) or link(fps, *a))
+    assert [tuple(r) for r in simhash.similar(df).collect()] == [(2, 1)]
+    assert seen == [{simhash.fingerprint(simhash.shingle_set(text, 5)) for _, text in rows}]
