@@ -503,3 +503,24 @@ def test_mixed_distance_meets_pairs_once(spark):
 
     plan = plans.QUERIES["mixed_distance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_mixed_distance_of_blocks(spark, tmp_path, monkeypatch):
+    """A frequent label is shared by several groups that measure each pair once; gaps and lengths of vectors as in the row by row form."""
+    from panelforge import plans
+    from panelforge.plans import table_queries as Q
+
+    rng = np.random.default_rng(3)
+    rows = [(n, [float(x) for x in np.float32(rng.normal(size=4))], 1 if n % 9 else 2) for n in range(80)]
+    rows += [(80, [0.1, 0.2, None, 0.4], 1), (81, [0.1, 0.2], 1), (82, [None, 0.2, 0.3, 0.4], 1), (83, [0.5, 0.5, 0.5, 0.5], None), (84, rows[1][1], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    df = plans.QUERIES["mixed_distance"](spark, str(tmp_path))
+    assert "FlatMapGroupsInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+    p = Q.places(spark, str(tmp_path))
+    place, feature = neighbours.by_place("lat", "lon"), neighbours.by_embedding("e")
+    both = lambda a, b: neighbours.weighted({"geo": (place(a, b) / 100, 0.3), "feature": (F.when(a["id"] % 7 != 0, feature(a, b)), 0.7)})
+    want = {(r["i"], r["j"]): r["d"] for r in neighbours.edges(p, p, "id", both, ["id", "lat", "lon", "e"], ["label"]).collect()}
+    got = df.collect()
+    assert len(got) == len(want) and want[82, 7] > 60  # a place without coordinates is half the globe away
+    assert {(r["i"], r["j"]): r["d"] for r in got} == pytest.approx(want, abs=1e-6)
