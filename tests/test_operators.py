@@ -588,6 +588,9 @@ def near_events(tmp_path, con):
             for p in days:
                 add(u, "click", p, *near(m))
                 add(u, "view", p, rng.uniform(0, 90))
+    add(160, "click", 4, 5.0)  # 100 (y - low) / (high - low) is above 100 by rounding
+    add(160, "view", 4, 5.0)
+    add(160, "view", 6, 3.64)
     rows = ", ".join(f"({n + n // 6 + 1}::BIGINT, TIMESTAMP '2024-01-{d:02d} 00:00:00', {u}::BIGINT, '{s}', {v}::DOUBLE, '{{\"k\": 1}}')" for n, (u, s, d, v) in enumerate(ev))
     con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props) ORDER BY event_id")
     con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
